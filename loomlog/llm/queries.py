@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, langid, packing, simhash, urls
 from .shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,10 +25,20 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op4_bpe": op4_bpe,
+    "op7_language": op7_language,
+    "op8_urls": op8_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {}
