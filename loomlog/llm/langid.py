@@ -12,7 +12,7 @@ is predicted.
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +23,40 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import slices
+
 #: Bytes of the longest context.
 ORDER = 4
 #: The labelled sample a language is learned from: so many rows at most, and of those
 #: (in the order of a hash of the id) as many whole texts as fit in so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 1_000_000
-#: Entries of a worker's memos.
+#: Entries of a worker's memo.
 MEMO = 400_000
 UNKNOWN = "und"
 
 LETTER = regex.compile(r"\p{L}")
 
 
-def grams_of(word: bytes) -> Iterator[bytes]:
-    """Each byte of a word and of the space after it, behind its longest context."""
-    coded = b" " + word + b" "
-    for i in range(1, len(coded)):
-        yield coded[max(0, i - ORDER) : i + 1]
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte of the words (none empty) and of the space after each, behind its
+    longest context: as numbers, and where each word's begin.
+
+    A number has the length of the context above five bytes, the context and the byte.
+    """
+    coded = np.frombuffer(f" {' '.join(words)} ".encode(), np.uint8)
+    place = np.arange(1, len(coded))
+    space = np.maximum.accumulate(np.where(coded == 32, np.arange(len(coded)), 0))[:-1]
+    length = np.minimum(place - space, ORDER)
+    grams = coded[1:].astype(np.int64) + (length << 8 * (ORDER + 1))
+    for back in range(1, ORDER + 1):
+        before = np.zeros(len(place), np.int64)
+        before[back - 1 :] = coded[: len(coded) - back]
+        grams += np.where(length >= back, before << 8 * back, 0)
+    return grams, np.flatnonzero(coded[:-1] == 32)
+
+
+def spelled(gram: int) -> bytes:
+    return gram.to_bytes(8, "big")[-1 - (gram >> 8 * (ORDER + 1)) :]
 
 
 class ContextTree:
@@ -75,40 +92,35 @@ class Model:
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
         self.trees = [
-            ContextTree(dict(zip(part["gram"], part["n"])))
+            ContextTree(dict(zip(map(spelled, part["gram"].tolist()), part["n"].tolist())))
             for part in (counts[counts["lang"] == lang] for lang in self.langs)
         ]
-        self.words = self._none()
-        self.grams: dict[bytes, tuple[float, ...]] = {}
-
-    def _none(self) -> dict[str, np.ndarray]:
-        return {"": np.zeros(len(self.trees))}
+        self.costs = np.zeros((0, len(self.trees)))
+        self.row: dict[int, int] = {}
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Code lengths of words, by language."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MEMO:
-            self.words = self._none()
-            new = [w for w in words if w]
-        rows, ends, grams = [], [], self.grams
-        for w in new:
-            for gram in grams_of(w.lower().encode()):
-                cost = grams.get(gram)
-                if cost is None:
-                    cost = tuple(t.bits(gram) for t in self.trees)
-                    if len(grams) >= MEMO:
-                        grams.clear()
-                    grams[gram] = cost
-                rows.append(cost)
-            ends.append(len(rows))
+        some = [w for w in words if w]
+        bits = np.zeros((len(words), len(self.trees)))
+        if not some:
+            return bits
+        grams, starts = grams_of(some)
+        index, distinct = pd.factorize(grams)
+        new = [g for g in distinct.tolist() if g not in self.row]
+        if len(self.row) + len(new) > MEMO:
+            self.row, self.costs, new = {}, self.costs[:0], distinct.tolist()
         if new:
-            sums = np.add.reduceat(np.array(rows), [0, *ends[:-1]], axis=0)
-            self.words.update(zip(new, sums))
-        return np.array([self.words[w] for w in words]).reshape(len(words), len(self.trees))
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+            more = [[t.bits(gram) for t in self.trees] for gram in map(spelled, new)]
+            self.costs = np.vstack([self.costs, more])
+        row = np.fromiter(map(self.row.__getitem__, distinct.tolist()), np.int64, len(distinct))
+        sums = np.add.reduceat(self.costs[row][index], starts, axis=0)
+        bits[[bool(w) for w in words]] = sums
+        return bits
 
     def code_lengths(self, texts: pa.Array) -> np.ndarray:
         """Bits of each whole text, by language; of a null text, zero."""
-        cuts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        cuts = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         pieces = cuts.flatten().dictionary_encode()
         bits = self.of_words(pieces.dictionary.to_pylist())
         at = cuts.offsets.to_numpy() - cuts.offsets[0].as_py()
@@ -141,13 +153,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """``lang, gram, n``: how often each byte followed each of its longest contexts in
     the sample.  Rows that are held out, or lack id, text or language, take no part.
     The sample bounds the rows that reach a task, the result and the driver."""
-    order = F.xxhash64("id")
-    first = Window.partitionBy("lang").orderBy(order, "id", "text")
-    sample = (
+    labelled = (
         docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
         .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
         .where("text is not null and lang is not null")
         .where(F.octet_length("text") <= SAMPLE_BYTES)
+        .withColumn("place", F.xxhash64("id"))
+    )
+    # One row a language; so that few more rows than the sample are shuffled.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(1.5 * SAMPLE_ROWS) / F.col("rows"))
+    first = Window.partitionBy("lang").orderBy("place", "id", "text")
+    sample = (
+        labelled.join(sizes, "lang")
+        .where(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= SAMPLE_ROWS)
         .withColumn("bytes", F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0)))
@@ -155,16 +174,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        words: Counter[bytes] = Counter()
-        for text in pdf["text"]:
-            words.update(text.lower().encode().split())
-        grams: Counter[bytes] = Counter()
-        for word, n in words.items():
-            for gram in grams_of(word):
-                grams[gram] += n
-        return pd.DataFrame({"lang": key[0], "gram": list(grams), "n": list(grams.values())})
+        cuts = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(pdf["text"], pa.string())))
+        grams, _ = grams_of([w for w in cuts.flatten().to_pylist() if w])
+        gram, n = np.unique(grams, return_counts=True)
+        return pd.DataFrame({"lang": key[0], "gram": gram, "n": n})
 
-    return sample.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, gram binary, n long").toPandas()
+    return sample.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, gram long, n long").toPandas()
 
 
 _models: dict[str, Model] = {}
@@ -172,7 +187,6 @@ _models: dict[str, Model] = {}
 
 def predictor(docs: DataFrame, counts: pd.DataFrame):
     """An Arrow UDF from text to ``struct<lang string, score double>``."""
-    counts = counts.assign(gram=counts["gram"].map(bytes))
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counts))
 
     @F.arrow_udf("lang string, score double")
@@ -183,8 +197,8 @@ def predictor(docs: DataFrame, counts: pd.DataFrame):
             _models[key] = Model(frame)
         for texts in batches:
             langs, scores = [], []
-            for at in range(0, len(texts), 1024):
-                some = _models[key].predict(texts.slice(at, 1024))
+            for part in slices(pa.record_batch([texts, texts], ["text", "text"])):
+                some = _models[key].predict(part.column(1))
                 langs += some[0]
                 scores += some[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])

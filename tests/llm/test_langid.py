@@ -52,7 +52,7 @@ def brute_bits(words, text):
 def test_code_lengths_match_brute_force(spark):
     df = spark.createDataFrame(documents(40), "doc_id long, text string, lang string")
     counts = langid.learn(df)
-    model = langid.Model(counts.assign(gram=counts["gram"].map(bytes)))
+    model = langid.Model(counts)
     learned = {lang: [w for i, t, x in documents(40) if x == lang and zlib.crc32(str(i).encode()) % 4 != 2 for w in t.lower().split()] for lang in ("de", "en")}
     texts = ["", "The fox", "Hund über 99", "zzz qqq! the"]
     got = model.code_lengths(pa.array(texts))
@@ -81,9 +81,18 @@ def test_nothing_to_learn_from(spark):
     assert langid.predict(df.limit(0)).count() == 0
 
 
+def test_grams():
+    grams, starts = langid.grams_of(["abcdef", "é"])
+    assert [langid.spelled(g) for g in grams.tolist()] == [b" a", b" ab", b" abc", b" abcd", b"abcde", b"bcdef", b"cdef ", b" \xc3", b" \xc3\xa9", b" \xc3\xa9 "]
+    assert starts.tolist() == [0, 7]
+
+
 @pytest.mark.parametrize("memo", [1, 400_000])
 def test_memo_does_not_change_results(monkeypatch, memo):
-    counts = pd.DataFrame({"lang": ["a", "b", "b"], "gram": [b" x", b" y", b" x"], "n": [3, 2, 1]})
-    want = langid.Model(counts).code_lengths(pa.array(["x y x", None, "yy"]))
+    grams, _ = langid.grams_of(["x", "y", "xy"])
+    counts = pd.DataFrame({"lang": ["a"] * len(grams) + ["b"] * 2, "gram": [*grams, *grams[:2]], "n": 1})
+    texts = pa.array(["x y x", None, "yy  x"])
+    want = langid.Model(counts).code_lengths(texts)
     monkeypatch.setattr(langid, "MEMO", memo)
-    assert (langid.Model(counts).code_lengths(pa.array(["x y x", None, "yy"])) == want).all()
+    model = langid.Model(counts)
+    assert (model.code_lengths(texts) == want).all() and (model.code_lengths(texts) == want).all()
