@@ -135,8 +135,8 @@ def decode_responses(texts: DataFrame) -> DataFrame:
         "*",
         e["sequence"].alias("sequence"),
         e["operationId"].alias("operation_id"),
-        e["origin.clientId"].alias("client_id"),
-        e["origin.clientSequence"].alias("client_sequence"),
-        e["origin.intentHash"].alias("intent_hash"),
+        e["origin"]["clientId"].alias("client_id"),
+        e["origin"]["clientSequence"].alias("client_sequence"),
+        e["origin"]["intentHash"].alias("intent_hash"),
         e["operation"].alias("operation"),
     ).drop("item")
