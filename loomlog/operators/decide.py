@@ -67,20 +67,23 @@ def classify(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def accept(judged: DataFrame, bucket: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
+    """The rows without a ``reason``, numbered on from their stream's head
+    (``stream_id, head_sequence``).  ``bucket`` as in ``number_densely``."""
+    rows, after = judged.where("reason is null"), None
+    if heads is not None:
+        rows = rows.join(heads.select("stream_id", F.col("head_sequence").alias("__head")), "stream_id", "left")
+        after = "__head"
+    return number_densely(rows, ["stream_id"], bucket, order, "sequence", after).drop("__head")
+
+
 def decide(new: DataFrame, reason: Column, bucket: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """Decisions on new proposals: rejected where ``reason`` isn't null, the others
-    accepted and numbered on from their stream's head (``stream_id, head_sequence``).
-    Rejections take no number.  ``bucket`` as in ``number_densely``."""
+    accepted and numbered.  Rejections take no number."""
     judged = new.withColumn("reason", reason)
-    if heads is None:
-        accepted = number_densely(judged.where("reason is null"), ["stream_id"], bucket, order, "sequence")
-    else:
-        based = judged.where("reason is null").join(heads.select("stream_id", F.col("head_sequence").alias("__head")), "stream_id", "left")
-        accepted = number_densely(based, ["stream_id"], bucket, order, "sequence", "__head").drop("__head")
-    rejected = judged.where("reason is not null").withColumn("sequence", F.lit(None).cast("long"))
-    status = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("status")
-    both = accepted.unionByName(rejected)
-    return both.select("*", status)
+    accepted = accept(judged, bucket, order, heads).withColumn("status", F.lit("accepted"))
+    rejected = judged.where("reason is not null").withColumns({"sequence": F.lit(None).cast("long"), "status": F.lit("rejected")})
+    return accepted.unionByName(rejected)
 
 
 def fold(

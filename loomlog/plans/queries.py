@@ -68,12 +68,12 @@ def request_limit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decide_row_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = T.reason()
     status = F.when(reason.isNull(), "accepted").otherwise("rejected")
-    return T.proposals(spark, sf_dir).select("operation_id", status.alias("status"), reason.alias("reason"))
+    return T.proposals(spark, sf_dir, positions=False).select("operation_id", status.alias("status"), reason.alias("reason"))
 
 
 @query
 def canonical_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.log(spark, sf_dir).select("stream_id", "sequence", "operation_id")
+    return T.log(spark, sf_dir, positions=False).select("stream_id", "sequence", "operation_id")
 
 
 @query
@@ -144,13 +144,13 @@ def stateful_decide_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     def apply(enabled: bool, row: dict) -> bool:
         return enabled or row["event_type"] == "signup"
 
-    rows = T.proposals(spark, sf_dir).select("stream_id", "operation_id", "event_type", "ts", E_ID)
+    rows = T.proposals(spark, sf_dir, positions=False).select("stream_id", "operation_id", "event_type", "ts", E_ID)
     return D.fold(rows, False, judge, apply, ["ts", E_ID]).select("stream_id", "operation_id", "sequence", "reason", "status")
 
 
 @query
 def counter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = M.running_total(T.log(spark, sf_dir), F.col(E_ID) % 7 - 3)
+    total = M.running_total(T.log(spark, sf_dir, positions=False), F.col(E_ID) % 7 - 3)
     return total.select("stream_id", "sequence", F.col("total").cast("long"))
 
 
@@ -159,14 +159,14 @@ def counter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def log_contiguity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = T.log(spark, sf_dir).where(F.col("sequence") % 97 != 0)
+    broken = T.log(spark, sf_dir, positions=False).where(F.col("sequence") % 97 != 0)
     return V.gaps(broken, F.floor(F.col("sequence") / 10_000))
 
 
 @query
 def snapshot_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.log(spark, sf_dir)
-    decisions = entries.where(F.col("sequence") % 500 != 3)
+    decisions = entries.where(F.col("sequence") % 500 != 3).withColumn("status", F.lit("accepted"))
     moved = F.when(F.col("sequence") % 700 == 5, F.col("client_sequence") + 1).otherwise(F.col("client_sequence"))
     return V.snapshot_violations(entries.where(F.col("sequence") % 600 != 7).withColumn("client_sequence", moved), decisions)
 
@@ -174,7 +174,7 @@ def snapshot_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_cursor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On pages of a log that lacks entries."""
-    broken = P.pages(T.log(spark, sf_dir).where(F.col("sequence") % 611 != 0))
+    broken = P.pages(T.log(spark, sf_dir, positions=False).where(F.col("sequence") % 611 != 0))
     return V.page_violations(broken).select("stream_id", F.col("page").cast("long"), "violation")
 
 
@@ -196,12 +196,12 @@ def replica_record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.page(T.log(spark, sf_dir), "s3", 100, 1 << 40).select("sequence", "operation_id")
+    return P.page(T.log(spark, sf_dir, positions=False), "s3", 100, 1 << 40).select("sequence", "operation_id")
 
 
 @query
 def log_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pages(T.log(spark, sf_dir)).select(
+    return P.pages(T.log(spark, sf_dir, positions=False)).select(
         "stream_id", F.col("page").cast("long"), "first_sequence", "last_sequence", "entries", "head_sequence", "more"
     )
 
@@ -213,32 +213,32 @@ STATE = ("stream_id", "user_id", "sequence", "event_type", "intent_hash")
 
 @query
 def state_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.state(T.log(spark, sf_dir)).select(*STATE)
+    return M.state(T.log(spark, sf_dir, positions=False)).select(*STATE)
 
 
 @query
 def state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.state(T.log(spark, sf_dir), 200).select(*STATE)
+    return M.state(T.log(spark, sf_dir, positions=False), 200).select(*STATE)
 
 
 @query
 def state_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.state(T.log(spark, sf_dir)).where(F.col("pk") == "[7]").select(*STATE)
+    return M.state(T.log(spark, sf_dir, positions=False)).where(F.col("pk") == "[7]").select(*STATE)
 
 
 @query
 def state_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.first_row_with(M.state(T.log(spark, sf_dir)), "user_state", F.col("event_type"), "click").select(*STATE)
+    return M.first_row_with(M.state(T.log(spark, sf_dir, positions=False)), "user_state", F.col("event_type"), "click").select(*STATE)
 
 
 @query
 def state_rows_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.ordered_rows(M.state(T.log(spark, sf_dir)), "user_state").select("pk", *STATE)
+    return M.ordered_rows(M.state(T.log(spark, sf_dir, positions=False)), "user_state").select("pk", *STATE)
 
 
 @query
 def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.tombstones(T.log(spark, sf_dir)).select("stream_id", "user_id", "sequence")
+    return M.tombstones(T.log(spark, sf_dir, positions=False)).select("stream_id", "user_id", "sequence")
 
 
 LINE = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -287,7 +287,7 @@ def optimistic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def intent_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.proposals(spark, sf_dir).select("operation_id", "intent_hash")
+    return T.proposals(spark, sf_dir, positions=False).select("operation_id", "intent_hash")
 
 
 @query

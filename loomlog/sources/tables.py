@@ -15,19 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proposals(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
     """Events as proposals: a stream for each tenth of the users, a client for each
     user.  Events of type ``error`` delete the user's row, others put it; every 17th
-    lacks a required column."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    numbered = number_densely(events, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], "client_sequence")
+    lacks a required column.  Without ``positions`` they have no ``client_sequence``,
+    which takes a numbering that not every query needs."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    if positions:
+        rows = number_densely(rows, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], "client_sequence")
     put = F.col("event_type") != "error"
     col_type = F.when(F.col("event_id") % 17 != 0, F.col("event_type"))
     row = json_object({"event_type": json_string(col_type), "user_id": json_integer(F.col("user_id"))})
-    return numbered.select(
+    return rows.select(
         F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("stream_id"),
         F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("client_id"),
-        "client_sequence",
+        *(["client_sequence"] if positions else []),
         F.concat(F.lit("op-"), F.col("event_id").cast("string")).alias("operation_id"),
         "ts",
         "event_id",
@@ -51,8 +53,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decide(proposals(spark, sf_dir), reason(), F.date_trunc("day", "ts"), ["ts", "event_id"])
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions(spark, sf_dir).where("status = 'accepted'")
+def log(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
+    judged = proposals(spark, sf_dir, positions).withColumn("reason", reason())
+    return D.accept(judged, F.date_trunc("day", "ts"), ["ts", "event_id"])
 
 
 def replicas(entries: DataFrame) -> DataFrame:
@@ -71,6 +74,5 @@ def outbox(entries: DataFrame) -> DataFrame:
     return (
         entries.join(at, ["stream_id", "client_id"])
         .where(F.col("sequence") > F.col("confirmed_sequence"))
-        .drop("status")
         .withColumn("status", F.when(F.col("event_id") % 2 == 0, "pending").otherwise("accepted"))
     )
