@@ -35,23 +35,41 @@ CROWD, CHUNK = 64, 512
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1]).astype(np.uint8).copy().view("<u8").ravel()
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 def simhashes(words: pa.ListArray) -> np.ndarray:
-    """SimHash (signed) over the words of each list, repeats included; none: 0."""
+    """SimHash (signed) over the pairs of neighbouring words of each list, repeats
+    included (a single word: the word and nothing; none: 0)."""
     flat = words.flatten().dictionary_encode()
     digests = b"".join(xxhash.xxh64_digest(w.encode()) for w in flat.dictionary.to_pylist())
+    out = np.zeros(len(words), np.int64)
     if not digests:
-        return np.zeros(len(words), np.int64)
-    # Eight counters of a byte side by side in a number: 255 words fit without carry.
-    table = _SPREAD[np.frombuffer(digests, np.uint8).reshape(-1, 8)]
+        return out
     at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)[flat.indices.to_numpy()]
+    after = np.append(hashes[1:], np.uint64(0))
+    after[at[1:][np.diff(at) > 0] - 1] = 0
+    pairs = _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + after)
     size = np.diff(at)
+    size = size - (size > 1)
     runs = -(-size // 255)
     some = np.flatnonzero(runs)
     first = np.repeat(at[:-1][some], runs[some])
     step = np.arange(len(first)) - np.repeat(np.cumsum(runs[some]) - runs[some], runs[some])
-    sums = np.add.reduceat(table[flat.indices.to_numpy()], first + 255 * step, axis=0)
+    start = first + 255 * step
+    end = np.minimum(start + 255, np.repeat(at[:-1][some] + size[some], runs[some]))
+    # Eight counters of a byte side by side in a number: 255 pairs fit without carry.
+    # The last word of a line begins no pair, so what lies between two runs is cut off.
+    bits = _SPREAD[pairs.astype("<u8").view(np.uint8).reshape(-1, 8)]
+    bounds = np.stack([start, end], axis=1).ravel()
+    bits = np.vstack([bits, np.zeros((1, 8), bits.dtype)])
+    sums = np.add.reduceat(bits, bounds, axis=0)[::2]
     ones = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64).astype(np.int64), np.cumsum(runs[some]) - runs[some], axis=0)
-    out = np.zeros(len(words), np.int64)
     out[some] = np.packbits(2 * ones > size[some, None], axis=1, bitorder="little").view("<i8").ravel()
     return out
 
@@ -79,45 +97,61 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(keep)
 
 
-def edit_similarity(a: str, b: str, least: float = 0.0) -> float:
-    """1 - Levenshtein distance / longer length; 0 where it is clearly under ``least``."""
+def _shared_start(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def edit_similarity(a: str, b: str) -> float:
+    """1 - Levenshtein distance / longer length; of two empty texts 1."""
     most = max(len(a), len(b))
-    if not most:
-        return 1.0
-    if abs(len(a) - len(b)) > (1 - least) * most:
-        return 0.0
-    i = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        i += 1
+    return 1 - distance(a, b) / most if most else 1.0
+
+
+def distance(a: str | list[str], b: str | list[str]) -> int:
+    """Levenshtein distance of two sequences."""
+    i = _shared_start(a, b)
     a, b = a[i:], b[i:]
-    j = 0
-    for x, y in zip(reversed(a), reversed(b)):
-        if x != y:
-            break
-        j += 1
-    a, b = a[: len(a) - j], b[: len(b) - j]
+    i = _shared_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - i], b[: len(b) - i]
     if not a or not b:
-        return 1 - max(len(a), len(b)) / most
+        return max(len(a), len(b))
     # Myers: the column of the matrix as two bit vectors of +1 and -1 steps.
     at: dict[str, int] = {}
     for n, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << n
     mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = mask, 0, len(a)
+    up, down, found = mask, 0, len(a)
     for y in b:
         same = at.get(y, 0)
         diagonal = ((same & up) + up ^ up) | same | down
         right, left = down | ~(diagonal | up) & mask, up & diagonal
-        distance += bool(right & top) - bool(left & top)
+        found += bool(right & top) - bool(left & top)
         right, left = right << 1 | 1, left << 1
         up, down = (left | ~(diagonal | right)) & mask, right & diagonal & mask
-    return 1 - distance / most
+    return found
 
 
 def _alike(a: str, b: str) -> bool:
-    return edit_similarity(a, b, SIMILAR) >= SIMILAR
+    """Whether the edit similarity is ``SIMILAR`` or more.  Long lines are compared word
+    by word first: so many edits of words can't be more edits of characters than the
+    longest words have."""
+    most = max(len(a), len(b))
+    allowed = (1 - SIMILAR) * most
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    if most > 200:
+        v, w = a.split(" "), b.split(" ")
+        longest = sorted(map(len, v + w), reverse=True)
+        if sum(n + 1 for n in longest[: distance(v, w)]) <= allowed:
+            return True
+    return edit_similarity(a, b) >= SIMILAR
 
 
 @F.arrow_udf(BooleanType())
@@ -127,8 +161,8 @@ def _alike_rows(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     """A spanning forest of the links among the lines of one pair of blocks."""
-    pdf = pdf.drop_duplicates("line")
-    line, text, bits = pdf["line"].tolist(), pdf["text"].tolist(), pdf["bits"].to_numpy().view(np.uint64)
+    pdf = pdf.drop_duplicates("number")
+    line, text, bits = pdf["number"].tolist(), pdf["text"].tolist(), pdf["bits"].to_numpy().view(np.uint64)
     left, edges = np.ones(len(line), bool), []
     for root in range(len(line)):
         todo = [root] if left[root] else []
@@ -140,7 +174,7 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
             left[new] = False
             edges += [(line[at], line[n]) for n in new]
             todo += new
-    return pd.DataFrame(edges, columns=["a", "b"])
+    return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def _keys(bits: str) -> Column:
@@ -153,59 +187,56 @@ def _keys(bits: str) -> Column:
 
 
 def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``line, text`` in normal form, from each wanted line's first occurrence."""
-    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("nr", "line")).alias("asked"))
+    """``number, text`` in normal form, from each wanted line's first occurrence."""
+    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("nr", "number")).alias("asked"))
     joined = source.join(asked, source["id"].eqNullSafe(asked["id"]) & (source["th"] == asked["th"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, texts = [], []
+            numbers, texts = [], []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = text.split("\n")
-                lines += [x["line"] for x in asked]
+                numbers += [x["number"] for x in asked]
                 texts += [parts[x["nr"]] for x in asked]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()), normal(pa.array(texts, pa.string()))[1]], ["line", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), normal(pa.array(texts, pa.string()))[1]], ["number", "text"])
 
-    found = joined.select(source["text"], "asked").mapInArrow(run, "line binary, text string")
-    return found.dropDuplicates(["line"])
+    found = joined.select(source["text"], "asked").mapInArrow(run, "number long, text string")
+    return found.dropDuplicates(["number"])
 
 
 def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between distinct lines (``line, bits, id, th, nr``).
+    """Links ``a``, ``b`` between distinct lines (``number, bits, id, th, nr``).
 
     A key that up to ``CROWD`` lines have gives all its pairs; the lines of a more
     crowded one are dealt into blocks, whose pairs each give a spanning forest: no link
-    is lost to the groups, and neither a task nor the result holds all pairs.
+    is lost to the groups, and neither a task nor the result holds all pairs.  Keys of
+    one line only, which most are, are found first, from the keys alone.
     """
-    keyed = written(distinct.select(F.explode(_keys("bits")).alias("key"), "line", "bits"))
-    crowds = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
-    crowded, calm = None, keyed
-    if not crowds.isEmpty():
-        crowded = written(keyed.join(crowds, "key"))
-        calm = keyed.join(crowds.select("key"), "key", "left_anti")
-    a, b = calm.toDF("key", "a", "x"), calm.toDF("key", "b", "y")
+    keyed = distinct.select(F.explode(_keys("bits")).alias("key"), "number", "bits")
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    met = written(keyed.join(shared, "key"))
+    a, b = (met.where(F.col("n") <= CROWD).select("key", "number", "bits").toDF("key", *c) for c in ("ax", "by"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS)
     pairs = written(a.join(b, "key").where(near).select("a", "b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line"))
-    if crowded is not None:
-        wanted = wanted.union(crowded.select("line"))
-    texts = written(_texts_of(source, distinct.join(wanted.distinct(), "line")))
+    crowded = met.where(F.col("n") > CROWD)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("number")).union(crowded.select("number")).distinct()
+    texts = written(_texts_of(source, distinct.join(wanted, "number")))
     found = (
         pairs.join(texts.toDF("a", "left"), "a")
         .join(texts.toDF("b", "right"), "b")
         .where(_alike_rows("left", "right"))
         .select("a", "b")
     )
-    if crowded is None:
+    if crowded.isEmpty():
         return found
     blocks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = (
-        crowded.withColumn("block", F.pmod(F.xxhash64("line"), blocks).cast("int"))
+        crowded.withColumn("block", F.pmod(F.xxhash64("number"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", "line", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(texts, "line")
+        .select("key", "number", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(texts, "number")
     )
-    return found.union(dealt.groupBy("key", "i", "j").applyInPandas(_forest, "a binary, b binary"))
+    return found.union(dealt.groupBy("key", "i", "j").applyInPandas(_forest, "a long, b long"))
 
 
 @F.arrow_udf(StringType())
@@ -235,13 +266,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     distinct = written(
         found.groupBy("line")
         .agg(first.alias("first"), F.min("bits").alias("bits"), F.count("*").alias("n"))
-        .select("line", "bits", "n", "first.*")
+        .select(F.monotonically_increasing_id().alias("number"), "line", "bits", "n", "first.*")
     )
-    linked = components(links(source, distinct.drop("n")), "a", "b").withColumnRenamed("node", "line")
-    heads = distinct.join(linked, "line").groupBy("component").agg(first.alias("keep"))
-    merged = linked.join(heads, "component").select("line", "keep")
+    linked = components(links(source, distinct.drop("n", "line")), "a", "b").withColumnRenamed("node", "number")
+    heads = distinct.join(linked, "number").groupBy("component").agg(first.alias("keep"))
+    merged = linked.join(heads, "component").select("number", "keep")
     repeated = (
-        distinct.join(merged, "line", "left")
+        distinct.join(merged, "number", "left")
         .where((F.col("n") > 1) | F.col("keep").isNotNull())
         .select("line", F.coalesce("keep", F.struct("id", "nr", "th")).alias("keep"))
     )

@@ -24,16 +24,35 @@ def levenshtein(a, b):
 def test_edit_similarity(a, b):
     most = max(len(a), len(b))
     assert abs(lines.edit_similarity(a, b) - (1 - levenshtein(a, b) / most if most else 1)) < 1e-12
-    assert (lines.edit_similarity(a, b, 0.8) >= 0.8) == (lines.edit_similarity(a, b) >= 0.8)
+    assert lines._alike(a, b) == (lines.edit_similarity(a, b) >= 0.8)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["word", "other", "a", "longer-word"]), min_size=50, max_size=80), st.lists(st.tuples(st.integers(0, 49), st.sampled_from(["", "x", "different"])), max_size=30))
+def test_long_lines_compare_as_short_ones(words, changes):
+    changed = list(words)
+    for n, w in changes:
+        changed[n] = w
+    a, b = " ".join(words), " ".join(changed)
+    assert lines.distance(a, b) == levenshtein(a, b)
+    assert lines._alike(a, b) == (lines.edit_similarity(a, b) >= 0.8)
 
 
 def brute_bits(words):
-    hashes = [int.from_bytes(xxhash.xxh64_digest(w.encode()), "little") for w in words]
+    if not words:
+        return 0
+    one = lambda w: int.from_bytes(xxhash.xxh64_digest(w.encode()), "big")
+    hashes = []
+    for n in range(max(1, len(words) - 1)):
+        z = (one(words[n]) * 0x9E3779B97F4A7C15 + (one(words[n + 1]) if n + 1 < len(words) else 0)) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        hashes.append(z ^ z >> 31)
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def test_simhashes():
-    rows = [[], ["a"], ["a", "b", "a"], [f"w{i % 97}" for i in range(1000)], []]
+    rows = [[], ["a"], ["a", "b", "a"], ["x", "y"], [f"w{i % 97}" for i in range(1000)], ["z"] * 256, ["q"] * 257, []]
     assert lines.simhashes(pa.array(rows, pa.list_(pa.string()))).view(np.uint64).tolist() == [brute_bits(r) for r in rows]
 
 
