@@ -1,10 +1,10 @@
 """Fuzzy line deduplication across a corpus.
 
 Lines are normalised (lower case, single spaces) and equal ones merged by a hash of 128
-bits.  Each distinct line has a SimHash over its words.  Cut into five blocks, two
-SimHashes that differ in three bits at most agree on two blocks, so lines meet under the
-ten pairs of blocks; those within three bits are verified by edit similarity on their
-texts.  Of each connected group of lines the first occurrence stays.
+bits.  Each distinct line has a SimHash over its pairs of words.  Cut into five blocks,
+two SimHashes that differ in three bits at most agree on two blocks, so lines meet under
+the ten pairs of blocks; those within three bits are verified by edit similarity on
+their texts.  Of each connected group of lines the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -27,10 +27,16 @@ from .shared import written
 
 #: Differing bits up to which lines are verified, and the similarity that links them.
 RADIUS, SIMILAR = 3, 0.8
-#: Blocks of a SimHash: first bit and bits.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Distinct lines from which keys of three blocks of six are used (20 of 32 bits) in
+#: place of two of five (10 of 25 or 26); both meet wherever three bits differ.
+MANY = 1 << 27
 #: Lines of one key beyond which they are compared in blocks, and lines of a block.
 CROWD, CHUNK = 64, 512
+#: Keys that a sample of one line in SAMPLED shows to be crowded aren't sorted with the
+#: others: the HEAVY most frequent, of more than SEEN sampled lines.
+SAMPLED, SEEN, HEAVY = 64, 1_000, 10_000
+#: Bits that tell which lines' texts are wanted, as a power of two.
+WANTED_BITS = 24
 
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1]).astype(np.uint8).copy().view("<u8").ravel()
 
@@ -177,50 +183,148 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def _keys(bits: str) -> Column:
-    def block(n: int) -> Column:
-        first, size = BLOCKS[n]
-        return F.shiftrightunsigned(bits, first).bitwiseAND(F.lit((1 << size) - 1))
-
-    pairs = combinations(range(len(BLOCKS)), 2)
-    return F.array(*(F.lit(k << 26).cast("long") + F.shiftleft(block(i), 13) + block(j) for k, (i, j) in enumerate(pairs)))
+def _keys(bits: str, lines: int) -> Column:
+    """A key of each choice of blocks that agree if three others hold a difference."""
+    count = 5 if lines < MANY else 6
+    ends = [64 * n // count for n in range(count + 1)]
+
+    def block(n: int) -> tuple[Column, int]:
+        size = ends[n + 1] - ends[n]
+        return F.shiftrightunsigned(bits, ends[n]).bitwiseAND(F.lit((1 << size) - 1)), size
+
+    keys = []
+    for k, chosen in enumerate(combinations(range(count), count - RADIUS)):
+        key = F.lit(k).cast("long")
+        for n in chosen:
+            value, size = block(n)
+            key = F.shiftleft(key, size).bitwiseOR(value)
+        keys.append(key)
+    return F.array(*keys)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, number, bits`` in the order of the key to pairs ``a, b`` within
+    three bits, or, of a key that more than ``most`` lines have, to a row a line with
+    ``b`` null.  What is held is one batch and one key's first ``most`` lines."""
+    names = ["key", "a", "b", "bits"]
+
+    def rows(key, a, b, bits):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bits, pa.int64())], names)
+
+    def pairs(key: np.ndarray, number: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(np.append(start, len(key)))
+        left = np.repeat(start + size, size) - np.arange(len(key)) - 1
+        for step in range(1, int(size.max())):
+            i = np.flatnonzero(left >= step)
+            i = i[np.bitwise_count(bits[i].view(np.uint64) ^ bits[i + step].view(np.uint64)) <= RADIUS]
+            if len(i):
+                a, b = number[i], number[i + step]
+                yield rows(np.zeros(len(i), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(i), np.int64))
+
+    held = [np.zeros(0, np.int64)] * 3
+    crowd: int | None = None
+    for batch in batches:
+        now = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+        key = now[0]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        size = np.diff(np.append(start, len(key)))
+        last = int(start[-1])
+        crowded = size > most
+        if crowd is not None and key[0] == crowd:
+            crowded[0] = True
+        of = np.repeat(crowded, size)
+        if of.any():
+            yield rows(key[of], now[1][of], [None] * int(of.sum()), now[2][of])
+        crowd = int(key[-1]) if crowded[-1] else None
+        done = ~of
+        done[last:] = False
+        if done.any():
+            yield from pairs(*(x[done] for x in now))
+        held = [x[last:][:0] if crowded[-1] else x[last:] for x in now]
+    if len(held[0]):
+        yield from pairs(*held)
+
+
+def _marks(id_: np.ndarray, th: np.ndarray, nr: np.ndarray) -> np.ndarray:
+    mixed = _mixed(id_.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ th.view(np.uint64))
+    return (_mixed(mixed + nr.astype(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
 
 
 def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``number, text`` in normal form, from each wanted line's first occurrence."""
-    asked = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("nr", "number")).alias("asked"))
-    joined = source.join(asked, source["id"].eqNullSafe(asked["id"]) & (source["th"] == asked["th"]))
+    """``number, text`` in normal form, from each wanted line's first occurrence.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A bitmap of fixed size tells nearly always which lines of a document are wanted, so
+    that documents aren't shuffled for this; a join settles it."""
+    page = 1 << 15
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers, texts = [], []
-            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = text.split("\n")
-                numbers += [x["number"] for x in asked]
-                texts += [parts[x["nr"]] for x in asked]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), normal(pa.array(texts, pa.string()))[1]], ["number", "text"])
+            ids = pc.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False)
+            at = np.unique(_marks(ids, batch.column(1).to_numpy(), batch.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at // page), pa.array(at % page)], ["page", "bit"])
+
+    def paged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(page, np.uint8)
+        bits[pdf["bit"].to_numpy()] = 1
+        return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    marked = wanted.select("id", "th", "nr").mapInArrow(marks, "page long, bit long").distinct()
+    pages = marked.groupBy("page").applyInPandas(paged, "page long, bits binary").toPandas()
+    bitmap = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
+    for r in pages.itertuples():
+        bitmap[r.page * page // 8 : (r.page + 1) * page // 8] = np.frombuffer(r.bits, np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(bitmap)
 
-    found = joined.select(source["text"], "asked").mapInArrow(run, "number long, text string")
-    return found.dropDuplicates(["number"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = pc.add(pc.count_substring(batch.column(1), "\n"), 1).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), count)
+            nr = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            ids = pc.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False)
+            at = _marks(ids[row], batch.column(2).to_numpy()[row], nr)
+            hit = np.flatnonzero(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            lines, parts, of = [], [], -1
+            for i, n in zip(row[hit].tolist(), nr[hit].tolist()):
+                if i != of:
+                    parts, of = batch.column(1)[i].as_py().split("\n"), i
+                lines.append(parts[n])
+            some = pa.array(row[hit])
+            columns = [batch.column(0).take(some), batch.column(2).take(some), pa.array(nr[hit].astype(np.int32)), normal(pa.array(lines, pa.string()))[1]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "nr", "text"])
+
+    found = source.mapInArrow(run, "id long, th long, nr int, text string").dropDuplicates(["id", "th", "nr"])
+    same = wanted["id"].eqNullSafe(found["id"]) & (wanted["th"] == found["th"]) & (wanted["nr"] == found["nr"])
+    return wanted.join(found, same).select("number", "text")
 
 
 def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between distinct lines (``number, bits, id, th, nr``).
 
-    A key that up to ``CROWD`` lines have gives all its pairs; the lines of a more
-    crowded one are dealt into blocks, whose pairs each give a spanning forest: no link
-    is lost to the groups, and neither a task nor the result holds all pairs.  Keys of
-    one line only, which most are, are found first, from the keys alone.
+    Lines are sorted by key and compared as they stream by; no link of a key is lost.
+    The lines of a crowded key are dealt into blocks instead, whose pairs each give a
+    spanning forest: neither a task nor the result holds all pairs.  The most crowded
+    keys are told from a sample beforehand and not sorted into one task.
     """
-    keyed = distinct.select(F.explode(_keys("bits")).alias("key"), "number", "bits")
-    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
-    met = written(keyed.join(shared, "key"))
-    a, b = (met.where(F.col("n") <= CROWD).select("key", "number", "bits").toDF("key", *c) for c in ("ax", "by"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS)
-    pairs = written(a.join(b, "key").where(near).select("a", "b").distinct())
-    crowded = met.where(F.col("n") > CROWD)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("number")).union(crowded.select("number")).distinct()
-    texts = written(_texts_of(source, distinct.join(wanted, "number")))
+    keyed = distinct.select(F.explode(_keys("bits", distinct.count())).alias("key"), "number", "bits")
+    sample = keyed.where(F.pmod(F.xxhash64("number"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    heavy = written(sample.where(F.col("n") > SEEN).orderBy(F.desc("n"), "key").limit(HEAVY).select("key"))
+    # At most HEAVY keys: small enough to broadcast.
+    rest = keyed.join(F.broadcast(heavy), "key", "left_anti")
+    most = CROWD
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _meetings(batches, most)
+
+    met = written(rest.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long, bits long"))
+    pairs = written(met.where("b is not null").select("a", "b").distinct())
+    crowded = written(
+        met.where("b is null").select("key", F.col("a").alias("number"), "bits").union(keyed.join(F.broadcast(heavy), "key"))
+    )
+    numbers = pairs.select(F.explode(F.array("a", "b")).alias("number")).union(crowded.select("number")).distinct()
+    texts = written(_texts_of(source, written(distinct.join(numbers, "number").select("number", "id", "th", "nr"))))
     found = (
         pairs.join(texts.toDF("a", "left"), "a")
         .join(texts.toDF("b", "right"), "b")
@@ -229,10 +333,11 @@ def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
     )
     if crowded.isEmpty():
         return found
-    blocks = F.ceil(F.col("n") / CHUNK).cast("int")
+    sizes = crowded.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
     dealt = (
-        crowded.withColumn("block", F.pmod(F.xxhash64("number"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        crowded.join(sizes, "key")
+        .withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", "number", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(texts, "number")
     )

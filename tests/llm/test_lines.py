@@ -101,9 +101,28 @@ def rows():
     return out + [out[-1], (41, "unique line\n\n" + base[3])]
 
 
-@pytest.mark.parametrize("crowd", [64, 0])
-def test_equals_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("most", [1, 3, 64])
+@pytest.mark.parametrize("batch", [1, 4, 1000])
+def test_meetings(most, batch):
+    rng = random.Random(most * batch)
+    rows = sorted((rng.randrange(9) ** 2, n, rng.randrange(64)) for n in range(60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + batch])], ["key", "number", "bits"]) for i in range(0, 60, batch)]
+    got = [r for b in lines._meetings(iter(batches), most) for r in b.to_pylist()]
+    by_key = {}
+    for key, n, bits in rows:
+        by_key.setdefault(key, []).append((n, bits))
+    pairs = [(a, b) for g in by_key.values() if len(g) <= most for a, x in g for b, y in g if a < b and (x ^ y).bit_count() <= 3]
+    crowd = [(k, n, x) for k, g in by_key.items() if len(g) > most for n, x in g]
+    assert sorted((r["a"], r["b"]) for r in got if r["b"] is not None) == sorted(pairs)
+    assert sorted((r["key"], r["a"], r["bits"]) for r in got if r["b"] is None) == crowd
+
+
+@pytest.mark.parametrize("crowd,seen,many", [(64, 1000, 1 << 27), (0, 0, 1 << 27), (0, 1000, 0)])
+def test_equals_brute_force(spark, monkeypatch, crowd, seen, many):
     monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "SEEN", seen)
+    monkeypatch.setattr(lines, "SAMPLED", 1 if seen == 0 else 64)
+    monkeypatch.setattr(lines, "MANY", many)
     monkeypatch.setattr(lines, "CHUNK", 7)
     df = spark.createDataFrame([(*r, "c", 1) for r in rows()], "doc_id long, text string, line string, th int")
     got = lines.dedup(df)
