@@ -26,21 +26,27 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's memo and bytes of the longest piece in it.
-MEMO, MEMO_BYTES = 400_000, 48
+from .shared import kept
+
+#: Entries of a generation of a worker's memo and characters of the longest piece in it.
+MEMO, MEMO_BYTES = 350_000, 48
 
 
 class Memo(dict):
-    """What ``make`` gives for a key; starts afresh when it is full."""
+    """What ``make`` gives for a key.  When it is full it becomes the old generation, from
+    which keys that are still met come back."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_BYTES:
             if len(self) >= MEMO:
+                self.old = self.copy()
                 self.clear()
             self[key] = value
         return value
@@ -223,15 +229,9 @@ class Bpe:
         return self.decimals.spell(ids)[:-1]
 
 
-_models: dict[str, Bpe] = {}
-
-
 def model(description: bytes) -> Bpe:
     """The model of this worker for a description; made once."""
-    key = hashlib.sha256(description).hexdigest()
-    if key not in _models:
-        _models[key] = Bpe(description)
-    return _models[key]
+    return kept(hashlib.sha256(description).hexdigest(), lambda: Bpe(description))
 
 
 def described(path: str) -> bytes:

@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .shared import kept
 
 #: Bytes of the longest context.
 ORDER = 4
 #: The labelled sample a language is learned from: so many rows at most, and of those
 #: (in the order of a hash of the id) as many whole texts as fit in so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 1_000_000
+#: Languages that are learned, the most frequent.
+LANGUAGES = 500
 #: Entries of a worker's memo.
 MEMO = 400_000
 UNKNOWN = "und"
@@ -160,12 +163,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .where(F.octet_length("text") <= SAMPLE_BYTES)
         .withColumn("place", F.xxhash64("id"))
     )
-    # One row a language; so that few more rows than the sample are shuffled.
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    # At most LANGUAGES rows: broadcast, so that few more rows than the sample are shuffled.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(1.5 * SAMPLE_ROWS) / F.col("rows"))
     first = Window.partitionBy("lang").orderBy("place", "id", "text")
     sample = (
-        labelled.join(sizes, "lang")
+        labelled.join(F.broadcast(sizes), "lang")
         .where(F.pmod("place", F.lit(1 << 20)) < share * (1 << 20))
         .withColumn("nth", F.row_number().over(first))
         .where(F.col("nth") <= SAMPLE_ROWS)
@@ -182,9 +185,6 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return sample.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, gram long, n long").toPandas()
 
 
-_models: dict[str, Model] = {}
-
-
 def predictor(docs: DataFrame, counts: pd.DataFrame):
     """An Arrow UDF from text to ``struct<lang string, score double>``."""
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counts))
@@ -192,13 +192,11 @@ def predictor(docs: DataFrame, counts: pd.DataFrame):
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         key, frame = shared.value
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(frame)
+        model = kept(key, lambda: Model(frame))
         for texts in batches:
             langs, scores = [], []
-            for part in slices(pa.record_batch([texts, texts], ["text", "text"])):
-                some = _models[key].predict(part.column(1))
+            for part in slices(pa.record_batch([texts, texts], ["text", "same"]), 2):
+                some = model.predict(part.column(1))
                 langs += some[0]
                 scores += some[1]
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in a Python worker.  A worker keeps the tables of
+    one key only: those of another operator before it are let go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def shared_folder(spark: SparkSession) -> str:
