@@ -25,7 +25,7 @@ from .shared import written
 #: The id that ends a document.
 END = 1
 #: Pieces of one length are numbered in parts of about so many rows.
-NUMBERED = 100_000
+NUMBERED = 20_000
 #: Ranks are below 2 ** RANK_BITS.
 RANK_BITS = 44
 
@@ -140,11 +140,13 @@ def pack(pieces: DataFrame, most: int) -> DataFrame:
     """
     spark = pieces.sparkSession
     pieces = written(pieces)
-    parts = -(-pieces.count() // NUMBERED)
-    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, parts))))
-    sizes = written(dealt.groupBy("length", "__part").agg(F.count("*").alias("__n")))
-    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+    # At most ``most`` rows, one a length.
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     shared = spark.sparkContext.broadcast(plan(counts, most))
+    parts = spark.createDataFrame([(x, -(-n // NUMBERED)) for x, n in counts.items()], "length long, __parts long")
+    part = F.pmod(F.xxhash64("doc_id", "piece"), F.col("__parts"))
+    dealt = pieces.join(F.broadcast(parts), "length").select(*pieces.columns, part.alias("__part"))
+    sizes = dealt.groupBy("length", "__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__part")) - F.col("__n")
     starts = sizes.select("length", "__part", before.alias("__before"))
     nth = F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece"))
