@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .graph import components
 from .shared import written
@@ -233,12 +234,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each near-duplicate group, all
-    their columns unchanged; rows that repeat an id are one document and stay once,
-    and rows with a null id stay only where a group has no other."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, words)
+    their columns unchanged; of rows that share this id, the one with the smallest hash
+    of its text.  Rows that repeat both id and text are one document and stay once, and
+    rows with a null id stay only where a group has no other."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    fps = written(
+        rows.mapInArrow(lambda batches: _fingerprinted(batches, words), f"id {rows.schema['id'].dataType.simpleString()}, th binary, fp long")
+    )
+    linked = components(links(fps.select("fp").distinct()), "a", "b").withColumnRenamed("node", "fp")
+    grouped = fps.join(linked, "fp", "left").select("id", "th", F.coalesce("component", "fp").alias("component"))
+    return keep_first(docs, grouped, id_col, text_col)
+
+
+def _fingerprinted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        fp = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), text_hashes(texts), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
+
+
+def text_hashes(texts: list[str | None]) -> pa.Array:
+    """128 bits of each text; of none, no bytes."""
+    return pa.array([b"" if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def _text_hash(text: pa.Array) -> pa.Array:
+    return text_hashes(text.to_pylist())
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of ``docs`` the first row, by id, then hash of text, of each ``component`` of
+    ``grouped`` (``id, th, component``); null ids come last."""
     kept = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__kept"))
+        grouped.groupBy("component")
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+        .select(F.col("first.id").alias("__id"), F.col("first.th").alias("__kept"))
         .distinct()
     )
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates([id_col])
+    hashed = docs.withColumn("__th", _text_hash(F.col(text_col)))
+    same = hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__th"] == kept["__kept"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "__th"]).drop("__th")

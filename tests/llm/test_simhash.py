@@ -86,3 +86,10 @@ def test_empty_repeated_and_null_ids(spark):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == [("7", "7"), ("7", "7"), ("None", "7"), ("None", "None")]
     assert simhash.keep_one(spark.createDataFrame(rows, schema)).count() == 2
+
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (7, text(5)), (8, text(1)), (None, text(4))]
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(1))], key=str)
