@@ -5,11 +5,16 @@ bits.  Each distinct line has a SimHash over its pairs of words.  Cut into five
 two SimHashes that differ in three bits at most agree on two blocks, so lines meet under
 the ten pairs of blocks; those within three bits are verified by edit similarity on
 their texts.  Of each connected group of lines the first occurrence stays.
+
+With ``wide`` lines meet under MinHash bands over their pairs of words, short ones also
+over their trigrams, in place of the SimHash, which edits within the similarity carry
+far beyond three bits.  Counts of letters, a lower bound of the edits, spare comparisons
+without losing a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +40,8 @@ CROWD, CHUNK = 64, 512
 #: Keys that a sample of one line in SAMPLED shows to be crowded aren't sorted with the
 #: others: the HEAVY most frequent, of more than SEEN sampled lines.
 SAMPLED, SEEN, HEAVY = 64, 1_000, 10_000
+#: Bands of three minima under which lines meet, and bytes up to which trigrams count too.
+BANDS, SHORT = 16, 48
 #: Bits that tell which lines' texts are wanted, as a power of two.
 WANTED_BITS = 24
 
@@ -48,6 +55,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def _pairs(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each word's hash that of the word and the next of its line."""
+    after = np.append(hashes[1:], np.uint64(0))
+    after[at[1:][np.diff(at) > 0] - 1] = 0
+    return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + after)
+
+
 def simhashes(words: pa.ListArray) -> np.ndarray:
     """SimHash (signed) over the pairs of neighbouring words of each list, repeats
     included (a single word: the word and nothing; none: 0)."""
@@ -58,9 +72,7 @@ def simhashes(words: pa.ListArray) -> np.ndarray:
         return out
     at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
     hashes = np.frombuffer(digests, ">u8").astype(np.uint64)[flat.indices.to_numpy()]
-    after = np.append(hashes[1:], np.uint64(0))
-    after[at[1:][np.diff(at) > 0] - 1] = 0
-    pairs = _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + after)
+    pairs = _pairs(hashes, at)
     size = np.diff(at)
     size = size - (size > 1)
     runs = -(-size // 255)
@@ -86,7 +98,107 @@ def normal(lines: pa.Array) -> tuple[pa.ListArray, pa.Array]:
     return words, pc.binary_join(words, " ")
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bands(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = BANDS, rows: int = 3) -> np.ndarray:
+    """MinHash bands (n x count, 32 bits) of the hashes from ``start`` to ``end`` of each
+    set; no set is empty."""
+    bounds = np.stack([start, end], axis=1).ravel()
+    out = np.zeros((len(start), count), np.uint32)
+    if not len(start):
+        return out
+    distinct, at = np.unique(hashes, return_inverse=True)
+    at = np.append(at, 0)
+    for n in range(count):
+        band = np.full(len(start), n, np.uint64)
+        for row in range(rows):
+            seed = np.uint64((n * rows + row + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            least = np.minimum.reduceat((_mixed(distinct + seed) >> np.uint64(32)).astype(np.uint32)[at], bounds)[::2]
+            band = _mixed(band * np.uint64(0xBF58476D1CE4E5B9) + least)
+        out[:, n] = band >> np.uint64(32)
+    return out
+
+
+#: The count of eight that each byte of a text belongs to: common letters lie apart, and
+#: bytes within a character (8) aren't counted.
+_LETTER = np.array([8 if 0x80 <= b < 0xC0 else (" etaoinsrhldcumfpgwybvk".find(chr(b)) % 8 if chr(b) in " etaoinsrhldcumfpgwybvk" else b % 8) for b in range(256)])
+
+
+def letters(text: pa.Array) -> np.ndarray:
+    """Eight counts of characters (255 at most) side by side in a signed long each."""
+    data, at = _bytes(text)
+    line = np.repeat(np.arange(len(text)), np.diff(at))
+    counts = np.bincount(line * 9 + _LETTER[data], minlength=9 * len(text)).reshape(-1, 9)[:, :8]
+    return np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view("<i8").ravel()
+
+
+def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins and the last ends."""
+    listed = text.cast(pa.large_binary())
+    if isinstance(listed, pa.ChunkedArray):
+        listed = listed.combine_chunks()
+    at = np.frombuffer(listed.buffers()[1], np.int64)[listed.offset : listed.offset + len(listed) + 1]
+    data = np.frombuffer(listed.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def reachable(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of such counts of letters can be alike: each edit adds a character
+    at most and takes one at most.  Full counts tell nothing."""
+    a = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).astype(np.int16)
+    b = np.ascontiguousarray(y).view(np.uint8).reshape(-1, 8).astype(np.int16)
+    step = a - b
+    edits = np.maximum(np.maximum(step, 0).sum(axis=1), np.maximum(-step, 0).sum(axis=1))
+    most = np.maximum(a.sum(axis=1), b.sum(axis=1))
+    return (edits <= (1 - SIMILAR) * most + 1e-9) | (a == 255).any(axis=1) | (b == 255).any(axis=1)
+
+
+def within_radius(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= RADIUS
+
+
+def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
+    """The bands of each line: those over its pairs of words, and, of a short line, over
+    its trigrams (of bytes, with a space at both ends)."""
+    flat = words.flatten().dictionary_encode()
+    digests = b"".join(xxhash.xxh64_digest(w.encode()) for w in flat.dictionary.to_pylist())
+    at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+    out: list[bytes] = [b""] * len(words)
+    some = np.flatnonzero(np.diff(at))
+    if not len(some):
+        return pa.array(out, pa.binary())
+    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)[flat.indices.to_numpy()]
+    size = np.diff(at)[some]
+    of_pairs = bands(_pairs(hashes, at), at[:-1][some], at[:-1][some] + size - (size > 1))
+    for n, row in zip(some.tolist(), of_pairs):
+        out[n] = row.tobytes()
+    length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
+    short = some[length[some] <= SHORT]
+    if len(short):
+        padded = [b" " + t + b" " for t in text.take(pa.array(short)).cast(pa.binary()).to_pylist()]
+        data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
+        grams = _mixed((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) + np.uint64(1))
+        end = np.cumsum([len(t) for t in padded])
+        start = end - [len(t) for t in padded]
+        for n, row in zip(short.tolist(), bands(np.append(grams, grams[-1:]), start, end - 2)):
+            out[n] += row.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def band_keys(distinct: DataFrame, width: int) -> DataFrame:
+    """``key, number, bits``: a row for each band of column ``bands``, of which a key
+    names the place and ``width`` places follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
+            band = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").astype(np.int64)
+            place = np.arange(len(band)) - np.repeat(np.cumsum(size) - size, size)
+            row = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            yield pa.RecordBatch.from_arrays([pa.array(place % width << 32 | band), batch.column(0).take(row), batch.column(1).take(row)], ["key", "number", "bits"])
+
+    return distinct.select("number", "bits", "bands").mapInArrow(run, "key long, number long, bits long")
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 4):
             cut = pc.split_pattern(pc.fill_null(part.column(1), ""), "\n")
@@ -96,9 +208,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, text = normal(cut.flatten())
             keep = pc.not_equal(text, "")
             hashes = pa.array([xxhash.xxh3_128_digest(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+            bits, of = (letters(text), signatures(words, text)) if wide else (simhashes(words), pa.nulls(len(text), pa.binary()))
             out = pa.RecordBatch.from_arrays(
-                [part.column(0).take(row), part.column(2).take(row), pa.array(number, pa.int32()), hashes, pa.array(simhashes(words))],
-                ["id", "th", "nr", "line", "bits"],
+                [part.column(0).take(row), part.column(2).take(row), pa.array(number, pa.int32()), hashes, pa.array(bits), of],
+                ["id", "th", "nr", "line", "bits", "bands"],
             )
             yield out.filter(keep)
 
@@ -160,23 +273,22 @@ def _alike(a: str, b: str) -> bool:
     return edit_similarity(a, b) >= SIMILAR
 
 
-@F.arrow_udf(BooleanType())
-def _alike_rows(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([_alike(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+def _forest(pdf: pd.DataFrame, close: Near, alike: Callable[[str, str], bool]) -> pd.DataFrame:
     """A spanning forest of the links among the lines of one pair of blocks."""
     pdf = pdf.drop_duplicates("number")
-    line, text, bits = pdf["number"].tolist(), pdf["text"].tolist(), pdf["bits"].to_numpy().view(np.uint64)
+    line, text, bits = pdf["number"].tolist(), pdf["text"].tolist(), pdf["bits"].to_numpy()
     left, edges = np.ones(len(line), bool), []
     for root in range(len(line)):
         todo = [root] if left[root] else []
         left[root] = False
         while todo:
             at = todo.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(bits ^ bits[at]) <= RADIUS))
-            new = [n for n in near.tolist() if _alike(text[at], text[n])]
+            others = np.flatnonzero(left)
+            near = others[close(bits[others], np.full(len(others), bits[at]))]
+            new = [n for n in near.tolist() if alike(text[at], text[n])]
             left[new] = False
             edges += [(line[at], line[n]) for n in new]
             todo += new
@@ -202,9 +314,9 @@ def _keys(bits: str, lines: int) -> Column:
     return F.array(*keys)
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, number, bits`` in the order of the key to pairs ``a, b`` within
-    three bits, or, of a key that more than ``most`` lines have, to a row a line with
+def _meetings(batches: Iterator[pa.RecordBatch], most: int, close: Near = within_radius) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, number, bits`` in the order of the key to pairs ``a, b`` whose
+    bits are ``close``, or, of a key that more than ``most`` lines have, to a row a line with
     ``b`` null.  What is held is one batch and one key's first ``most`` lines."""
     names = ["key", "a", "b", "bits"]
 
@@ -217,7 +329,7 @@ def _meetings(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
         left = np.repeat(start + size, size) - np.arange(len(key)) - 1
         for step in range(1, int(size.max())):
             i = np.flatnonzero(left >= step)
-            i = i[np.bitwise_count(bits[i].view(np.uint64) ^ bits[i + step].view(np.uint64)) <= RADIUS]
+            i = i[close(bits[i], bits[i + step])]
             if len(i):
                 a, b = number[i], number[i + step]
                 yield rows(np.zeros(len(i), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(i), np.int64))
@@ -300,15 +412,28 @@ def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found, same).select("number", "text")
 
 
-def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between distinct lines (``number, bits, id, th, nr``).
+def links(source: DataFrame, distinct: DataFrame, wide: bool = False) -> DataFrame:
+    """Links ``a``, ``b`` between distinct lines (``number, bits, bands, id, th, nr``)."""
+    if wide:
+        keyed = band_keys(distinct, 2 * BANDS)
+    else:
+        keyed = distinct.select(F.explode(_keys("bits", distinct.count())).alias("key"), "number", "bits")
+
+    def texts(numbers: DataFrame) -> DataFrame:
+        return _texts_of(source, written(distinct.join(numbers, "number").select("number", "id", "th", "nr")))
+
+    return met_links(keyed, texts, reachable if wide else within_radius, _alike)
 
-    Lines are sorted by key and compared as they stream by; no link of a key is lost.
+
+def met_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], close: Near, alike: Callable[[str, str], bool]) -> DataFrame:
+    """Links ``a``, ``b`` between the texts that meet under a key (``key, number, bits``),
+    have ``close`` bits and are ``alike``.
+
+    Rows are sorted by key and compared as they stream by; no link of a key is lost.
     The lines of a crowded key are dealt into blocks instead, whose pairs each give a
     spanning forest: neither a task nor the result holds all pairs.  The most crowded
     keys are told from a sample beforehand and not sorted into one task.
     """
-    keyed = distinct.select(F.explode(_keys("bits", distinct.count())).alias("key"), "number", "bits")
     sample = keyed.where(F.pmod(F.xxhash64("number"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
     heavy = written(sample.where(F.col("n") > SEEN).orderBy(F.desc("n"), "key").limit(HEAVY).select("key"))
     # At most HEAVY keys: small enough to broadcast.
@@ -316,7 +441,14 @@ def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
     most = CROWD
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _meetings(batches, most)
+        return _meetings(batches, most, close)
+
+    @F.arrow_udf(BooleanType())
+    def alike_rows(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([alike(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _forest(pdf, close, alike)
 
     met = written(rest.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long, bits long"))
     pairs = written(met.where("b is not null").select("a", "b").distinct())
@@ -324,11 +456,11 @@ def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
         met.where("b is null").select("key", F.col("a").alias("number"), "bits").union(keyed.join(F.broadcast(heavy), "key"))
     )
     numbers = pairs.select(F.explode(F.array("a", "b")).alias("number")).union(crowded.select("number")).distinct()
-    texts = written(_texts_of(source, written(distinct.join(numbers, "number").select("number", "id", "th", "nr"))))
+    texts = written(texts_of(numbers))
     found = (
         pairs.join(texts.toDF("a", "left"), "a")
         .join(texts.toDF("b", "right"), "b")
-        .where(_alike_rows("left", "right"))
+        .where(alike_rows("left", "right"))
         .select("a", "b")
     )
     if crowded.isEmpty():
@@ -341,7 +473,7 @@ def links(source: DataFrame, distinct: DataFrame) -> DataFrame:
         .select("key", "number", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(texts, "number")
     )
-    return found.union(dealt.groupBy("key", "i", "j").applyInPandas(_forest, "a long, b long"))
+    return found.union(dealt.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))
 
 
 @F.arrow_udf(StringType())
@@ -355,25 +487,26 @@ def _without(text: pa.Array, dropped: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
     """``docs`` with all their columns, ``text`` without the lines of which a like one
     occurs earlier (by id, then line number; a null id first), and ``lines_dropped``.
 
     Lines without a word stay.  A text may become empty; no row is dropped.  A null
     text stays null.  Rows that repeat both id and text are one document: each keeps
-    the same lines.  Other columns are not read, whatever their names.
+    the same lines.  Other columns are not read, whatever their names.  ``wide`` finds
+    lines of edit similarity 0.8 that differ in more than three bits, too.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).where(
         "text is not null"
     )
-    found = written(source.mapInArrow(_occurrences, "id long, th long, nr int, line binary, bits long"))
+    found = written(source.mapInArrow(lambda b: _occurrences(b, wide), "id long, th long, nr int, line binary, bits long, bands binary"))
     first = F.min(F.struct("id", "nr", "th"))
     distinct = written(
         found.groupBy("line")
-        .agg(first.alias("first"), F.min("bits").alias("bits"), F.count("*").alias("n"))
-        .select(F.monotonically_increasing_id().alias("number"), "line", "bits", "n", "first.*")
+        .agg(first.alias("first"), F.min("bits").alias("bits"), F.min("bands").alias("bands"), F.count("*").alias("n"))
+        .select(F.monotonically_increasing_id().alias("number"), "line", "bits", "bands", "n", "first.*")
     )
-    linked = components(links(source, distinct.drop("n", "line")), "a", "b").withColumnRenamed("node", "number")
+    linked = components(links(source, distinct.drop("n", "line"), wide), "a", "b").withColumnRenamed("node", "number")
     heads = distinct.join(linked, "number").groupBy("component").agg(first.alias("keep"))
     merged = linked.join(heads, "component").select("number", "keep")
     repeated = (

@@ -35,7 +35,7 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup(docs)
+    return lines.dedup(docs, wide=True)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,38 @@ def test_empty_and_long(spark):
     other = long_line.replace("word777 ", "")
     got = {r.doc_id: (r.text, r.lines_dropped) for r in lines.dedup(spark.createDataFrame([(2, other + "\nx"), (1, long_line)], schema)).collect()}
     assert got == {1: (long_line, 0), 2: ("x", 1)}
+
+
+def edited(rng, line, share):
+    """``line`` with so many of its words replaced, or a letter appended to one."""
+    w = line.split()
+    if not share:
+        w[rng.randrange(len(w))] += rng.choice("xyz")
+    for n in rng.sample(range(len(w)), int(share * len(w))):
+        w[n] = "".join(rng.sample(w[n], len(w[n])))[::-1] + rng.choice("xyz")
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("crowd", [64, 0])
+def test_wide_finds_lines_of_edit_similarity(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    monkeypatch.setattr(lines, "CHUNK", 7)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqé") for _ in range(rng.randrange(2, 9)))
+    base = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 6, 8, 12, 16, 32, 60) for _ in range(20)]
+    rows = list(enumerate(base + [edited(rng, line, share) for line in base for share in (0, 0.1)]))
+    near = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and lines.edit_similarity(a, b) >= 0.8
+    linked = {(i, t) for n, (i, t) in enumerate(rows) if any(near(t, u) for _, u in rows[:n])}
+    apart = {(i, t) for i, t in rows} - linked
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), wide=True).where("lines_dropped = 1").select("doc_id").collect()
+    gone = [r.doc_id for r in got]
+    assert len(linked) > 250 and len(gone) >= 0.97 * len(linked)
+    assert not set(gone) & {i for i, _ in apart}
+
+
+def test_counts_of_letters_bound_the_edits():
+    rng = random.Random(4)
+    a = ["".join(rng.choice("abcé 漢") for _ in range(rng.randrange(1, 30))) for _ in range(2000)] + ["a" * 300]
+    b = ["".join(c if rng.random() < 0.9 else "x" for c in t) for t in a]
+    reach = lines.reachable(lines.letters(pa.array(a)), lines.letters(pa.array(b)))
+    assert all(r for r, x, y in zip(reach, a, b) if lines.edit_similarity(x, y) >= 0.8) and not reach.all()
