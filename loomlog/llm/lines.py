@@ -28,7 +28,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 from .bpe import slices
 from .graph import components
-from .shared import written
+from .shared import give_back, mixed, tidy, unused, written
 
 #: Differing bits up to which lines are verified, and the similarity that links them.
 RADIUS, SIMILAR = 3, 0.8
@@ -48,18 +48,11 @@ WANTED_BITS = 24
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1]).astype(np.uint8).copy().view("<u8").ravel()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (splitmix64)."""
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def _pairs(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each word's hash that of the word and the next of its line."""
     after = np.append(hashes[1:], np.uint64(0))
     after[at[1:][np.diff(at) > 0] - 1] = 0
-    return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + after)
+    return mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
 def simhashes(words: pa.ListArray) -> np.ndarray:
@@ -111,8 +104,8 @@ def bands(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = B
         band = np.full(len(start), n, np.uint64)
         for row in range(rows):
             seed = np.uint64((n * rows + row + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            least = np.minimum.reduceat((_mixed(distinct + seed) >> np.uint64(32)).astype(np.uint32)[at], bounds)[::2]
-            band = _mixed(band * np.uint64(0xBF58476D1CE4E5B9) + least)
+            least = np.minimum.reduceat((mixed(distinct + seed) >> np.uint64(32)).astype(np.uint32)[at], bounds)[::2]
+            band = mixed(band * np.uint64(0xBF58476D1CE4E5B9) + least)
         out[:, n] = band >> np.uint64(32)
     return out
 
@@ -175,7 +168,7 @@ def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
     if len(short):
         padded = [b" " + t + b" " for t in text.take(pa.array(short)).cast(pa.binary()).to_pylist()]
         data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
-        grams = _mixed((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) + np.uint64(1))
+        grams = mixed((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) + np.uint64(1))
         end = np.cumsum([len(t) for t in padded])
         start = end - [len(t) for t in padded]
         for n, row in zip(short.tolist(), bands(np.append(grams, grams[-1:]), start, end - 2)):
@@ -195,7 +188,7 @@ def band_keys(distinct: DataFrame, width: int) -> DataFrame:
             row = pa.array(np.repeat(np.arange(batch.num_rows), size))
             yield pa.RecordBatch.from_arrays([pa.array(place % width << 32 | band), batch.column(0).take(row), batch.column(1).take(row)], ["key", "number", "bits"])
 
-    return distinct.select("number", "bits", "bands").mapInArrow(run, "key long, number long, bits long")
+    return distinct.select("number", "bits", "bands").mapInArrow(tidy(run), "key long, number long, bits long")
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
@@ -361,8 +354,8 @@ def _meetings(batches: Iterator[pa.RecordBatch], most: int, close: Near = within
 
 
 def _marks(id_: np.ndarray, th: np.ndarray, nr: np.ndarray) -> np.ndarray:
-    mixed = _mixed(id_.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ th.view(np.uint64))
-    return (_mixed(mixed + nr.astype(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+    seeded = mixed(id_.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ th.view(np.uint64))
+    return (mixed(seeded + nr.astype(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
 
 
 def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -383,7 +376,7 @@ def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
         bits[pdf["bit"].to_numpy()] = 1
         return pd.DataFrame({"page": [key[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    marked = wanted.select("id", "th", "nr").mapInArrow(marks, "page long, bit long").distinct()
+    marked = wanted.select("id", "th", "nr").mapInArrow(tidy(marks), "page long, bit long").distinct()
     pages = marked.groupBy("page").applyInPandas(paged, "page long, bits binary").toPandas()
     bitmap = np.zeros((1 << WANTED_BITS) // 8, np.uint8)
     for r in pages.itertuples():
@@ -407,7 +400,7 @@ def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(some), batch.column(2).take(some), pa.array(nr[hit].astype(np.int32)), normal(pa.array(lines, pa.string()))[1]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "th", "nr", "text"])
 
-    found = source.mapInArrow(run, "id long, th long, nr int, text string").dropDuplicates(["id", "th", "nr"])
+    found = source.mapInArrow(tidy(run), "id long, th long, nr int, text string").dropDuplicates(["id", "th", "nr"])
     same = wanted["id"].eqNullSafe(found["id"]) & (wanted["th"] == found["th"]) & (wanted["nr"] == found["nr"])
     return wanted.join(found, same).select("number", "text")
 
@@ -450,7 +443,7 @@ def met_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], clos
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         return _forest(pdf, close, alike)
 
-    met = written(rest.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "key long, a long, b long, bits long"))
+    met = written(rest.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(meet), "key long, a long, b long, bits long"))
     pairs = written(met.where("b is not null").select("a", "b").distinct())
     crowded = written(
         met.where("b is null").select("key", F.col("a").alias("number"), "bits").union(keyed.join(F.broadcast(heavy), "key"))
@@ -479,12 +472,15 @@ def met_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], clos
 @F.arrow_udf(StringType())
 def _without(text: pa.Array, dropped: pa.Array) -> pa.Array:
     out = []
-    for t, d in zip(text.to_pylist(), dropped.to_pylist()):
+    for t, d in zip((x.as_py() for x in text), dropped.to_pylist()):
         if t is not None and d:
             gone = set(d)
             t = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
         out.append(t)
-    return pa.array(out, pa.string())
+    cleaned = pa.array(out, pa.string())
+    del out
+    give_back()
+    return cleaned
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
@@ -499,7 +495,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).where(
         "text is not null"
     )
-    found = written(source.mapInArrow(lambda b: _occurrences(b, wide), "id long, th long, nr int, line binary, bits long, bands binary"))
+    found = written(source.mapInArrow(tidy(lambda b: _occurrences(b, wide)), "id long, th long, nr int, line binary, bits long, bands binary"))
     first = F.min(F.struct("id", "nr", "th"))
     distinct = written(
         found.groupBy("line")
@@ -515,15 +511,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide:
         .select("line", F.coalesce("keep", F.struct("id", "nr", "th")).alias("keep"))
     )
     here = F.struct("id", "nr", "th")
+    own, of_id, of_th, gone, left = (unused(docs, n) for n in ("__own", "__id", "__th", "__gone", "__left"))
     dropped = (
         found.join(repeated, "line")
         .where(~here.eqNullSafe(F.col("keep")))
         .groupBy("id", "th")
-        .agg(F.collect_set("nr").alias("__dropped"))
-        .toDF("__id", "__th", "__dropped")
+        .agg(F.collect_set("nr").alias(gone))
+        .toDF(of_id, of_th, gone)
     )
-    joined = docs.withColumn("__own", F.xxhash64(text_col))
-    joined = joined.join(dropped, joined[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    cleaned = joined.withColumn("__text", _without(F.col(text_col), F.col("__dropped")))
-    kept = [F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_dropped"]
-    return cleaned.select(*kept, F.coalesce(F.size("__dropped"), F.lit(0)).alias("lines_dropped"))
+    joined = docs.withColumn(own, F.xxhash64(text_col))
+    joined = joined.join(dropped, joined[id_col].eqNullSafe(F.col(of_id)) & (F.col(own) == F.col(of_th)), "left")
+    cleaned = joined.withColumn(left, _without(F.col(text_col), F.col(gone)))
+    kept = [F.col(left).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_dropped"]
+    return cleaned.select(*kept, F.coalesce(F.size(gone), F.lit(0)).alias("lines_dropped"))

@@ -20,13 +20,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from .bpe import ranges, slices
 from .graph import components
-from .shared import written
+from .shared import mixed, tidy, unused, written
 
 #: Generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -66,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    return source.mapInArrow(tidy(run), "id long, fp long")
 
 
 @cache
@@ -186,7 +188,7 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     compared in one task, which returns a spanning forest of its links: no link is
     lost to the components, and neither a task nor the result holds all pairs.
     """
-    rows = written(distinct_fps.mapInArrow(_key_rows, "key long, fp long, indexed boolean"))
+    rows = written(distinct_fps.mapInArrow(tidy(_key_rows), "key long, fp long, indexed boolean"))
     index = rows.where("indexed").select("key", F.col("fp").alias("b"))
     probe = rows.where("not indexed").select("key", F.col("fp").alias("a"))
     crowds = written(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
@@ -239,7 +241,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     rows with a null id stay only where a group has no other."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     fps = written(
-        rows.mapInArrow(lambda batches: _fingerprinted(batches, words), f"id {rows.schema['id'].dataType.simpleString()}, th binary, fp long")
+        rows.mapInArrow(tidy(lambda batches: _fingerprinted(batches, words)), f"id {rows.schema['id'].dataType.simpleString()}, th binary, fp long")
     )
     linked = components(links(fps.select("fp").distinct()), "a", "b").withColumnRenamed("node", "fp")
     grouped = fps.join(linked, "fp", "left").select("id", "th", F.coalesce("component", "fp").alias("component"))
@@ -248,19 +250,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        fp = np.fromiter((fingerprint(t, words) for t in texts), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), text_hashes(texts), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
+        fp = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), text_hashes(batch.column(1)), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
 
-def text_hashes(texts: list[str | None]) -> pa.Array:
+def text_hashes(texts: pa.Array) -> pa.Array:
     """128 bits of each text; of none, no bytes."""
-    return pa.array([b"" if t is None else xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+    coded = (t.as_buffer() for t in texts)
+    return pa.array([b"" if t is None else xxhash.xxh3_128_digest(t) for t in coded], pa.binary())
 
 
 @F.arrow_udf(BinaryType())
 def _text_hash(text: pa.Array) -> pa.Array:
-    return text_hashes(text.to_pylist())
+    return text_hashes(text)
 
 
 def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -272,9 +274,10 @@ def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str)
         .select(F.col("first.id").alias("__id"), F.col("first.th").alias("__kept"))
         .distinct()
     )
-    hashed = docs.withColumn("__th", _text_hash(F.col(text_col)))
-    same = hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__th"] == kept["__kept"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, "__th"]).drop("__th")
+    th = unused(docs, "__th")
+    hashed = docs.withColumn(th, _text_hash(F.col(text_col)))
+    same = hashed[id_col].eqNullSafe(kept["__id"]) & (hashed[th] == kept["__kept"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_col, th]).drop(th)
 
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
@@ -283,6 +286,24 @@ def shingles(text: str | None, words: int = 5) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) >= words else {b" ".join(w)}
 
 
+def shingle_hashes(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each shingle (with repeats) of the texts, and where each text's begin and
+    the last's end.  Each distinct word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    flat = lists.flatten().dictionary_encode()
+    digests = b"".join(xxhash.xxh64_digest(w.as_buffer()) for w in flat.dictionary)
+    word = np.frombuffer(digests, ">u8").astype(np.uint64)[flat.indices.to_numpy()]
+    at = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    size = np.diff(at)
+    start, ends = ranges(at[:-1], np.maximum(size - words + 1, 1))
+    end = np.repeat(at[1:], np.diff(ends))
+    hashes = np.zeros(len(start), np.uint64)
+    for n in range(words):
+        there = start + n < end
+        hashes = np.where(there, mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + word[np.minimum(start + n, len(word) - 1)]), hashes)
+    return hashes, ends
+
+
 def similar(a: str, b: str) -> bool:
     """Whether the Jaccard similarity of five-word shingles is 0.8 or more."""
     x, y = shingles(a), shingles(b)
@@ -297,21 +318,22 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sizes, found = [], []
-            for t in texts:
-                hashes = np.array([xxhash.xxh64_intdigest(x) for x in shingles(t)], np.uint64)
-                sizes.append(len(hashes))
-                found.append(bands(np.append(hashes, hashes[-1:]), np.zeros(1, np.int64), np.array([len(hashes)]), 16, 4).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), text_hashes(texts), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["id", "th", "bits", "bands"]
-            )
+            for part in slices(batch, 1):
+                hashes, at = shingle_hashes(part.column(1))
+                found = bands(np.append(hashes, np.uint64(0)), at[:-1], at[1:], 16, 4)
+                row = np.repeat(np.arange(part.num_rows), np.diff(at))
+                order = np.lexsort((hashes, row))
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (np.diff(hashes[order]) != 0) | (np.diff(row[order]) != 0)
+                sizes = np.bincount(row[order][fresh], minlength=part.num_rows)
+                columns = [part.column(0), text_hashes(part.column(1)), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "bits", "bands"])
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = written(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th binary, bits long, bands binary"))
+    found = written(rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, th binary, bits long, bands binary"))
     distinct = written(found.groupBy("th").agg(F.min("bits").alias("bits"), F.min("bands").alias("bands")).withColumn("number", F.monotonically_increasing_id()))
 
     def texts(numbers: DataFrame) -> DataFrame:

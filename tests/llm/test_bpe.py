@@ -1,8 +1,11 @@
 import hashlib
+import json
+import random
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,11 +39,30 @@ def test_equals_library(library, own, text):
     assert own.decode(np.array(ids, np.int64)).decode() == library.decode(ids, skip_special_tokens=False)
 
 
-def test_memo_starts_afresh_when_full(own, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 3)
-    words = "alpha beta gamma delta epsilon alpha zeta".split()
-    assert own.encode(" ".join(words)) == b"".join(own.encode(w) for w in words)
-    assert len(own.pieces) <= 3
+def test_pairs_that_share_a_slot(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PAIR_BITS", 2)
+    few = bpe.Bpe(bpe.described(PATH))
+    text = " ".join(f"{a}{b}{c}" for a in ("pre", "un", "over") for b in ("xqz", "thinking", "aaaa") for c in ("ation", "zzz", ""))
+    assert np.frombuffer(few.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_are_read_in_parts(library, own):
+    rng = random.Random(5)
+    for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aé中"):
+        text = "".join(rng.choices(letters, k=3_000))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_real_texts(library, own):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    flat, at = own.encode_column(texts)
+    assert flat.tolist() == [i for e in library.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False) for i in e.ids] and len(at) == len(texts) + 1
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"decoder": {"type": "ByteLevel"}}, {"pre_tokenizer": None}])
+def test_other_kinds_are_refused(change):
+    with pytest.raises(ValueError):
+        bpe.Bpe(json.dumps(json.loads(bpe.described(PATH)) | change).encode())
 
 
 def test_operator_on_hard_rows(spark, library):
