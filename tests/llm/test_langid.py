@@ -3,7 +3,6 @@ import zlib
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -22,44 +21,70 @@ def documents(n=160):
     return rows
 
 
-def brute_bits(words, text):
-    """PPM over the learned words as written in the module's text, without memo."""
+def brute_bits(learned, text):
+    """PPM over the bytes of the learned texts, as written in the module's text."""
     seen = {}
-    for w in words:
-        s = b" " + w.encode() + b" "
-        for i in range(1, len(s)):
+    for s in map(str.encode, learned):
+        for i in range(len(s)):
             for k in range(max(0, i - langid.ORDER), i + 1):
                 seen.setdefault(s[k:i], []).append(s[i])
     bits = 0.0
-    for w in text.lower().split():
-        s = b" " + w.encode() + b" "
-        for i in range(1, len(s)):
-            out = set()
-            for k in range(max(0, i - langid.ORDER), i + 1):
-                after = [x for x in seen.get(s[k:i], []) if x not in out]
-                d = len(set(after))
-                if s[i] in after:
-                    bits -= log2(after.count(s[i]) / (len(after) + d))
-                    break
-                if d:
-                    bits -= log2(d / (len(after) + d))
-                out |= set(after)
-            else:
-                bits += log2(256 - len(out))
+    s = text.encode()
+    for i in range(len(s)):
+        out = set()
+        for k in range(max(0, i - langid.ORDER), i + 1):
+            after = [x for x in seen.get(s[k:i], []) if x not in out]
+            d = len(set(after))
+            if s[i] in after:
+                bits -= log2(after.count(s[i]) / (len(after) + d))
+                break
+            if d:
+                bits -= log2(d / (len(after) + d))
+            out |= set(after)
+        else:
+            bits += log2(256 - len(out))
     return bits
 
 
-def test_code_lengths_match_brute_force(spark):
+@pytest.mark.parametrize("costs", [0, 100, 1_000_000])
+def test_code_lengths_match_brute_force(spark, monkeypatch, costs):
+    monkeypatch.setattr(langid, "COSTS", costs)
     df = spark.createDataFrame(documents(40), "doc_id long, text string, lang string")
-    counts = langid.learn(df)
-    model = langid.Model(counts)
-    learned = {lang: [w for i, t, x in documents(40) if x == lang and zlib.crc32(str(i).encode()) % 4 != 2 for w in t.lower().split()] for lang in ("de", "en")}
-    texts = ["", "The fox", "Hund über 99", "zzz qqq! the"]
+    model = langid.Model(langid.learn(df))
+    learned = {lang: [t for i, t, x in documents(40) if x == lang and zlib.crc32(str(i).encode()) % 4 != 2] for lang in ("de", "en")}
+    texts = ["", "the fox", "Hund über  99", None, "zzz qqq!\n the", "der faulen hund"]
     got = model.code_lengths(pa.array(texts))
-    want = [[brute_bits(learned[x], t) for x in ("de", "en")] for t in texts]
+    want = [[brute_bits(learned[x], t or "") for x in ("de", "en")] for t in texts]
     assert np.allclose(got, want)
 
 
+def test_languages_of_few_or_long_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 200)
+    rows = [(i, t, lang) for i, t, lang in documents(60)] + [(1000, "zz yy xx " * 40, "zz"), (1001, "zz yy xx zz " * 30, "zz")]
+    rows += [(2000 + i, f"q{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i}") for i in range(80) if zlib.crc32(str(2000 + i).encode()) % 4 != 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.learn(df)
+    assert set(counts["lang"]) == {r[2] for r in rows}
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df).collect()}
+    assert all(got[i] == lang for i, _, lang in rows if i >= 1000)
+
+
+def test_ties_go_to_the_first_by_name(spark):
+    df = spark.createDataFrame([(1, "abc abc", "b"), (3, "abc abc", "a"), (5, "abc", None)], "doc_id long, text string, lang string")
+    assert {zlib.crc32(str(i).encode()) % 4 for i in (1, 3)}.isdisjoint({2})
+    assert {(r.lang_pred, r.score) for r in langid.predict(df).collect()} == {("a", 0.5)}
+
+
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(8)
+    odd = [(5000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=400)), None) for i in range(5)]
+    odd += [(6000, "これは日本語の文章であり、学習された言語ではありません。" * 5, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in documents() + odd + [(7000, "Hund!", None)]], "doc_id long, text string, lang string, __found string, found int")
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and {r["__found"] for r in kept.collect()} == {"x"}
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in documents()} | {7000}
+
+
 def test_predicts_held_out_rows_and_defines_hard_ones(spark):
     rows = documents() + [(900, None, "en"), (901, "", None), (902, "12 34 !!", "de"), (903, "the fox " * 60_000, None), (None, "der hund", "en"), (5, "the dog", "en")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, found string")
@@ -82,17 +107,7 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_grams():
-    grams, starts = langid.grams_of(["abcdef", "é"])
-    assert [langid.spelled(g) for g in grams.tolist()] == [b" a", b" ab", b" abc", b" abcd", b"abcde", b"bcdef", b"cdef ", b" \xc3", b" \xc3\xa9", b" \xc3\xa9 "]
-    assert starts.tolist() == [0, 7]
-
-
-@pytest.mark.parametrize("memo", [1, 400_000])
-def test_memo_does_not_change_results(monkeypatch, memo):
-    grams, _ = langid.grams_of(["x", "y", "xy"])
-    counts = pd.DataFrame({"lang": ["a"] * len(grams) + ["b"] * 2, "gram": [*grams, *grams[:2]], "n": 1})
-    texts = pa.array(["x y x", None, "yy  x"])
-    want = langid.Model(counts).code_lengths(texts)
-    monkeypatch.setattr(langid, "MEMO", memo)
-    model = langid.Model(counts)
-    assert (model.code_lengths(texts) == want).all() and (model.code_lengths(texts) == want).all()
+    grams, at = langid.grams_of(pa.array(["abcdef", "", "é"]))
+    tag = langid.LENGTH
+    spelled = [g.to_bytes(8, "big")[-1 - (g >> tag) :] for g in grams.tolist()]
+    assert spelled == [b"a", b"ab", b"abc", b"abcd", b"abcde", b"bcdef", b"\xc3", b"\xc3\xa9"] and at.tolist() == [0, 6, 6, 8]
