@@ -105,6 +105,10 @@ class ReplicaRecordError(OplogError):
     """A durable replica record that breaks an invariant."""
 
 
+class BootstrapError(OplogError):
+    """A first log where there is a log already."""
+
+
 class RequestTooLargeError(OplogError):
     code, status = "request-too-large", 413
 

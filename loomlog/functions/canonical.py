@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
@@ -43,19 +44,24 @@ def _number(x: float | int) -> str:
     return "-" * sign + text
 
 
+def _text(x: str) -> str:
+    """As ECMAScript writes a string: half a surrogate pair, which has no UTF-8, as an escape."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", json.dumps(x, ensure_ascii=False))
+
+
 def canonical(value: object) -> str:
     """Canonical JSON of a Python value: keys sorted by UTF-16 code units, no spaces."""
     if value is None or isinstance(value, bool):
         return json.dumps(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _text(value)
     if isinstance(value, (int, float)):
         return _number(value)
     if isinstance(value, Mapping):
         if not all(isinstance(k, str) for k in value):
             raise InvalidJsonValueError("keys must be strings")
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k])}" for k in keys) + "}"
+        return "{" + ",".join(f"{_text(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, Sequence) and not isinstance(value, (bytes, bytearray)):
         return "[" + ",".join(map(canonical, value)) + "]"
     raise InvalidJsonValueError(f"no JSON form of {type(value).__name__}")
@@ -93,6 +99,46 @@ def json_integer(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
+def json_real(c: Column) -> Column:
+    """A double as ECMAScript prints it.  Null is null; what isn't finite has no form in
+    JSON and fails."""
+
+    @F.arrow_udf(StringType())
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array(["null" if x is None else _number(x) for x in batch.to_pylist()], pa.string())
+
+    return run(c.cast("double"))
+
+
+def json_numeric(c: Column, kind: str) -> Column:
+    """A column of numeric affinity: numbers as numbers, text as text."""
+    if kind == "string":
+        return json_string(c)
+    return json_integer(c) if kind in ("tinyint", "smallint", "int", "bigint") else json_real(c)
+
+
+def json_blob(c: Column) -> Column:
+    """A binary value as the array of its bytes."""
+    listed = F.concat(F.lit("["), F.concat_ws(",", bytes_of(c).cast("array<string>")), F.lit("]"))
+    return F.when(c.isNull(), "null").otherwise(listed)
+
+
+def column_value(value: Column, affinity: str) -> Column:
+    """What a column of an affinity holds for a JSON value (a variant), as text, or, of a
+    blob, as hexadecimal digits: the inverse of the forms above.  Null for null; a value that
+    no column can hold (a boolean, an object, an array that isn't bytes) raises."""
+    kind = F.schema_of_variant(value)
+    if affinity == "blob":
+        items = F.try_variant_get(value, "$", "array<int>")
+        bytes_ = F.coalesce(F.forall(items, lambda x: x.isNotNull() & (x >= 0) & (x <= 255)), F.lit(False))
+        hexed = F.array_join(F.transform(items, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+        held, refused = hexed, ~bytes_
+    else:
+        held = F.try_variant_get(value, "$", "string")
+        refused = (kind == "BOOLEAN") | kind.startswith("ARRAY") | kind.startswith("OBJECT")
+    return F.when(value.isNull() | (kind == "VOID"), None).when(refused, F.raise_error(F.lit(f"no value of {affinity} affinity"))).otherwise(held)
+
+
 def json_object(members: Mapping[str, Column]) -> Column:
     """Canonical JSON of an object from columns that are JSON already."""
     keys = sorted(members, key=lambda k: k.encode("utf-16-be"))

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import fingerprint, json_integer, json_object, json_string, primary_key, put_row
+from ..errors import BootstrapError
+from ..functions.canonical import fingerprint, json_blob, json_integer, json_numeric, json_object, json_real, json_string, primary_key, put_row
+from .contract import affinity_of
 from .numbering import number_densely
 
 
@@ -21,10 +23,28 @@ class Source:
     columns: Mapping[str, Column]
 
     @staticmethod
-    def of(rows: DataFrame, key: Sequence[str], text: Sequence[str] = (), integer: Sequence[str] = ()) -> Source:
+    def of(
+        rows: DataFrame,
+        key: Sequence[str],
+        text: Sequence[str] = (),
+        integer: Sequence[str] = (),
+        real: Sequence[str] = (),
+        numeric: Sequence[str] = (),
+        blob: Sequence[str] = (),
+    ) -> Source:
         columns = {c: json_string(F.col(c)) for c in text} | {c: json_integer(F.col(c)) for c in integer}
+        columns |= {c: json_real(F.col(c)) for c in real} | {c: json_blob(F.col(c)) for c in blob}
+        columns |= {c: json_numeric(F.col(c), rows.schema[c].dataType.simpleString()) for c in numeric}
         return Source(rows, key, columns)
 
+    @staticmethod
+    def by_schema(rows: DataFrame, key: Sequence[str]) -> Source:
+        """All columns, with the affinities of their types."""
+        of: dict[str, list[str]] = {}
+        for f in rows.schema:
+            of.setdefault(affinity_of(f.dataType), []).append(f.name)
+        return Source.of(rows, key, **of)
+
 
 def key_json(source: Source) -> Column:
     return primary_key([source.columns[c] for c in source.key])
@@ -51,10 +71,12 @@ def operations(sources: Mapping[str, Source], tables: Sequence[str] | None = Non
     return out
 
 
-def history(sources: Mapping[str, Source], prefix: str, tables: Sequence[str] | None = None) -> DataFrame:
+def history(sources: Mapping[str, Source], prefix: str, tables: Sequence[str] | None = None, log: DataFrame | None = None) -> DataFrame:
     """``sequence, table_name, pk, operation_id, intent_hash, operation``: a dense log
     in the order of table and key.  Rows are numbered by table and first characters of
-    the key, so that no task sorts it all."""
+    the key, so that no task sorts it all.  A ``log`` that has entries is refused."""
+    if log is not None and not log.isEmpty():
+        raise BootstrapError("the log already has entries")
     rows = operations(sources, tables)
     rows = rows.withColumns(
         {

@@ -88,7 +88,7 @@ def from_catalogue(
     return Contract(tables)
 
 
-def _affinity_of(t: DataType) -> str:
+def affinity_of(t: DataType) -> str:
     if isinstance(t, IntegralType):
         return "integer"
     if isinstance(t, (DoubleType, FloatType)):
@@ -101,5 +101,5 @@ def _affinity_of(t: DataType) -> str:
 def from_schema(name: str, schema: StructType, primary_key: Iterable[str]) -> Contract:
     """A contract of one DataFrame's schema with a declared key."""
     key = tuple(primary_key)
-    columns = {f.name: ColumnContract(_affinity_of(f.dataType), f.nullable and f.name not in key) for f in schema}
+    columns = {f.name: ColumnContract(affinity_of(f.dataType), f.nullable and f.name not in key) for f in schema}
     return Contract({name: TableContract(key, columns)}).check()

@@ -11,18 +11,21 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import number_densely
 
-REPLAY, IDENTITY, INTENT, POSITION, NEW = (
+REPLAY, IDENTITY, INTENT, POSITION, NEW, REPEAT, ABORTED = (
     "replay",
     "operation-identity-conflict",
     "operation-intent-conflict",
     "client-sequence-conflict",
     "new",
+    "repeat",
+    "aborted",
 )
+CONFLICTS = (IDENTITY, INTENT, POSITION)
 
 
 def classify(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -67,6 +70,33 @@ def classify(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def settle(batch: DataFrame, decisions: DataFrame, order: list[str], request: str | None = None) -> DataFrame:
+    """As ``classify``, and the proposals of a batch against one another in its order: an
+    operation id or a client position that an earlier new proposal names is taken, even
+    where that one is refused in the end.  What agrees with it is a ``repeat``, to which its decision
+    applies; what doesn't is a conflict of the same kinds.  So no id and no position is given twice.
+
+    With ``request``, a column, a stream's request with a conflict is refused as a whole: its
+    other proposals, but for replays, are ``aborted``.  ``order`` must be total."""
+    found = classify(batch, decisions)
+    by_id = Window.partitionBy("class", "stream_id", "operation_id").orderBy(*order)
+    by_position = Window.partitionBy("class", "stream_id", "client_id", "client_sequence").orderBy(*order)
+    same = (F.first("client_id").over(by_id) == F.col("client_id")) & (F.first("client_sequence").over(by_id) == F.col("client_sequence"))
+    kind = (
+        F.when(F.col("class") != NEW, F.col("class"))
+        .when(~same, IDENTITY)
+        .when(F.first("intent_hash").over(by_id) != F.col("intent_hash"), INTENT)
+        .when(F.row_number().over(by_id) > 1, REPEAT)
+        .when(F.first("operation_id").over(by_position) != F.col("operation_id"), POSITION)
+        .otherwise(NEW)
+    )
+    settled = found.withColumn("__kind", kind).drop("class").withColumnRenamed("__kind", "class")
+    if request is not None:
+        refused = F.max(F.col("class").isin(*CONFLICTS)).over(Window.partitionBy("stream_id", request))
+        settled = settled.withColumn("class", F.when(refused & F.col("class").isin(NEW, REPEAT), ABORTED).otherwise(F.col("class")))
+    return settled.select(*batch.columns, "class", "status", "sequence")
+
+
 def accept(judged: DataFrame, bucket: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """The rows without a ``reason``, numbered on from their stream's head
     (``stream_id, head_sequence``).  ``bucket`` as in ``number_densely``."""
@@ -80,10 +110,18 @@ def accept(judged: DataFrame, bucket: Column, order: list[str], heads: DataFrame
 def decide(new: DataFrame, reason: Column, bucket: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """Decisions on new proposals: rejected where ``reason`` isn't null, the others
     accepted and numbered.  Rejections take no number."""
-    judged = new.withColumn("reason", reason)
-    accepted = accept(judged, bucket, order, heads).withColumn("status", F.lit("accepted"))
-    rejected = judged.where("reason is not null").withColumns({"sequence": F.lit(None).cast("long"), "status": F.lit("rejected")})
-    return accepted.unionByName(rejected)
+    rows, after = new.withColumn("reason", reason).withColumn("__accepted", F.col("reason").isNull()), None
+    if heads is not None:
+        rows = rows.join(heads.select("stream_id", F.col("head_sequence").alias("__head")), "stream_id", "left")
+        after = "__head"
+    # Accepted and rejected rows are numbered apart in one pass.
+    numbered = number_densely(rows, ["stream_id", "__accepted"], bucket, order, "__number", after)
+    return numbered.select(
+        *new.columns,
+        "reason",
+        F.when(F.col("__accepted"), F.col("__number")).alias("sequence"),
+        F.when(F.col("__accepted"), "accepted").otherwise("rejected").alias("status"),
+    )
 
 
 def fold(

@@ -38,14 +38,15 @@ def ordered_rows(rows: DataFrame, table_name: str) -> DataFrame:
 
 def first_row_with(rows: DataFrame, table_name: str, column: Column, value: str) -> DataFrame:
     """The first row, in key order, whose column has the value as text."""
-    return rows.where((F.col("table_name") == table_name) & (column.cast("string") == value)).orderBy("pk").limit(1)
+    return rows.where((F.col("table_name") == table_name) & (column.cast("string") == value)).orderBy(F.collate("pk", "UNICODE")).limit(1)
 
 
 def optimistic(confirmed: DataFrame, outbox: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Confirmed state with a replica's own operations on top, in outbox order.
 
     ``confirmed`` has ``sequence``, ``outbox`` has ``client_sequence``; both have the
-    keys, ``op`` and the row's columns."""
+    keys, ``op`` and the row's columns.  Where the rows of several replicas of a stream are given,
+    ``keys`` must name the replica (``client_id``): see ``of_replicas``."""
     below = confirmed.withColumn("__layer", F.lit(0)).withColumn("__ord", F.col("sequence"))
     above = outbox.withColumn("__layer", F.lit(1)).withColumn("__ord", F.col("client_sequence"))
     shared = [c for c in below.columns if c in above.columns]
@@ -53,6 +54,17 @@ def optimistic(confirmed: DataFrame, outbox: DataFrame, keys: Sequence[str] = KE
     return latest(both, keys, F.desc("__layer"), F.desc("__ord")).where("op = 'putRow'").drop("__layer", "__ord")
 
 
+def of_replicas(confirmed: DataFrame, replicas: DataFrame) -> DataFrame:
+    """A stream's confirmed entries as each of its replicas (``stream_id, client_id,
+    confirmed_sequence``) has them: with that replica's ``client_id``, up to what it has confirmed.
+    Of a row only the last entry up to there counts, so replicas that have confirmed as much share the
+    work, and one row a replica and key is given."""
+    points = replicas.select("stream_id", "confirmed_sequence").distinct()
+    seen = confirmed.drop("client_id").join(points, "stream_id").where(F.col("sequence") <= F.col("confirmed_sequence"))
+    last = latest(seen, ["stream_id", "confirmed_sequence", "table_name", "pk"], F.desc("sequence"))
+    return last.join(replicas.select("stream_id", "client_id", "confirmed_sequence"), ["stream_id", "confirmed_sequence"]).drop("confirmed_sequence")
+
+
 def project(current: DataFrame, log: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """An application table after a log's operations: upserts replace all columns that
     aren't keys, deletes remove; rows that no operation names stay."""
@@ -69,6 +81,13 @@ def project(current: DataFrame, log: DataFrame, keys: Sequence[str], columns: Se
     )
 
 
-def running_total(log: DataFrame, amount: Column, name: str = "total") -> DataFrame:
-    """A counter's state after each entry."""
-    return log.withColumn(name, F.sum(amount).over(Window.partitionBy("stream_id").orderBy("sequence")))
+def running_total(log: DataFrame, amount: Column, name: str = "total", part: int = 100_000) -> DataFrame:
+    """A counter's state after each entry.  Sums run within parts of so many sequences, to
+    which the totals of a stream's earlier parts, a small table, are added."""
+    cut = log.withColumn("__amount", amount).withColumn("__part", F.floor((F.col("sequence") - 1) / part))
+    sums = cut.groupBy("stream_id", "__part").agg(F.sum("__amount").alias("__sum"))
+    earlier = F.sum("__sum").over(Window.partitionBy("stream_id").orderBy("__part")) - F.col("__sum")
+    before = sums.select("stream_id", "__part", earlier.alias("__before"))
+    within = F.sum("__amount").over(Window.partitionBy("stream_id", "__part").orderBy("sequence"))
+    total = cut.withColumn("__within", within).join(before, ["stream_id", "__part"])
+    return total.withColumn(name, F.col("__before") + F.col("__within")).select(*log.columns, name)

@@ -7,6 +7,9 @@ contract, a short list of tables and columns, is unrolled into one expression.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +77,25 @@ def _delete_error(document: Column, text: Column, name: str, table: TableContrac
     return error
 
 
+def _body(document: Column, op: Column, name: Column, contract: Contract) -> Column:
+    def listed(part: str, columns: Iterable[str]) -> Column:
+        items: list[Column] = []
+        for n, c in enumerate(columns):
+            items += [F.lit(("," if n else "{") + json.dumps(c, ensure_ascii=False) + ":"), F.coalesce(F.to_json(_value(document, part, c)), F.lit("null"))]
+        return F.concat(*items, F.lit("}"))
+
+    found = F.lit(None).cast("string")
+    for table_name, table in contract.tables.items():
+        body = F.when(op == "putRow", listed("row", table.columns)).otherwise(listed("key", table.primary_key))
+        found = F.when(name == table_name, body).otherwise(found)
+    return found
+
+
 def normalize(operations: DataFrame, contract: Contract, column: str = "intent") -> DataFrame:
-    """``operations`` with ``op``, ``table_name``, ``body`` (the row or key as JSON) and
-    ``error`` (null where the contract allows the operation).  Null and what isn't a
-    JSON object have an error."""
+    """``operations`` with ``op``, ``table_name``, ``body`` (the row or key as JSON, its
+    columns in the contract's order, a missing nullable one null; null where there is an error)
+    and ``error`` (null where the contract allows the operation).  Null and what isn't a JSON
+    object have an error."""
     text = F.col(column)
     document = F.try_parse_json(text)
     name = _at(text, "table")
@@ -94,10 +112,9 @@ def normalize(operations: DataFrame, contract: Contract, column: str = "intent")
         {
             "op": op,
             "table_name": name,
-            "body": F.when(op == "putRow", _at(text, "row")).otherwise(_at(text, "key")),
             "error": F.nullif(error, F.lit("")),
         }
-    )
+    ).withColumn("body", F.when(F.col("error").isNull(), _body(document, op, name, contract)))
 
 
 def rejection(error: Column) -> Column:

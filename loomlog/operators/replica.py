@@ -121,6 +121,49 @@ def compact(retained: DataFrame, replicas: DataFrame, through: Column) -> DataFr
     return retained.join(bounds, REPLICA).where(F.col("sequence") > F.col("__through")).drop("__through")
 
 
+def compaction_gaps(replicas: DataFrame, through: Column) -> DataFrame:
+    """``stream_id, client_id, expected, received`` of the replicas whose bound is beyond what
+    they have confirmed; ``compact`` leaves their logs alone."""
+    return replicas.where(through > F.col("confirmed_sequence")).select(
+        *REPLICA, (F.col("confirmed_sequence") + 1).alias("expected"), through.alias("received")
+    )
+
+
+def merge_conflicts(replicas: DataFrame, outbox: DataFrame, retained: DataFrame, pages: DataFrame, entries: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``stream_id, client_id, violation``: the first reason, in the protocol's order, for
+    which a replica (``retained_base, confirmed_sequence``) can't merge its response.
+
+    ``pages`` has ``base_sequence``; ``entries`` and ``decisions`` are those of the responses, all with
+    the replica's ``stream_id, client_id``; an entry's author is ``origin_client``.  The outbox has ``intent_hash, status,
+    sequence, operation`` (the last two of accepted rows), a decision and an entry ``sequence, operation``."""
+    box = outbox.select(*REPLICA, "operation_id", *(F.col(c).alias(f"__{c}") for c in ("client_sequence", "intent_hash", "status", "sequence", "operation")))
+    gap = pages.join(replicas, REPLICA).where(F.col("base_sequence") > F.col("confirmed_sequence")).select(*REPLICA, F.lit(1).alias("nth"), F.lit("log-gap").alias("violation"))
+    met = decisions.join(box, [*REPLICA, "operation_id"]).where("__status = 'accepted'")
+    differs = ~F.col("sequence").eqNullSafe(F.col("__sequence")) | ~F.col("operation").eqNullSafe(F.col("__operation"))
+    decided = met.where((F.col("status") == "rejected") | differs).select(*REPLICA, F.lit(2).alias("nth"), F.lit("decision-conflict").alias("violation"))
+    held = retained.select(*REPLICA, "sequence", *(F.col(c).alias(f"__{c}") for c in ("operation_id", "origin_client", "client_sequence", "intent_hash", "operation")))
+    differs = F.lit(False)
+    for c in ("operation_id", "origin_client", "client_sequence", "intent_hash", "operation"):
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    diverged = entries.join(held, [*REPLICA, "sequence"]).where(differs).select(*REPLICA, F.lit(3).alias("nth"), F.lit("log-divergence").alias("violation"))
+    own = entries.join(box, [*REPLICA, "operation_id"])
+    other = (
+        (F.col("origin_client") != F.col("client_id"))
+        | (F.col("client_sequence") != F.col("__client_sequence"))
+        | (F.col("intent_hash") != F.col("__intent_hash"))
+    )
+    moved = (F.col("__status") == "accepted") & ((F.col("sequence") != F.col("__sequence")) | ~F.col("operation").eqNullSafe(F.col("__operation")))
+    proposed = own.where(other | moved).select(*REPLICA, F.lit(4).alias("nth"), F.when(other, "identity-differs").otherwise("decision-conflict").alias("violation"))
+    compacted = (
+        outbox.where("status = 'accepted'")
+        .join(replicas.select(*REPLICA, "retained_base"), REPLICA)
+        .where(F.col("sequence") <= F.col("retained_base"))
+        .select(*REPLICA, F.lit(5).alias("nth"), F.lit("compacted-entry").alias("violation"))
+    )
+    every = gap.union(decided).union(diverged).union(proposed).union(compacted)
+    return every.groupBy(*REPLICA).agg(F.min_by("violation", "nth").alias("violation"))
+
+
 def record_violations(replicas: DataFrame, retained: DataFrame, outbox: DataFrame) -> DataFrame:
     """``stream_id, client_id, violation`` of durable replica records."""
     log = retained.groupBy(*REPLICA).agg(

@@ -28,6 +28,11 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return log, decisions
 
 
+def empty_state(contract: Contract) -> dict:
+    """The state before any entry: each table of the contract without rows, bound to its hash."""
+    return {"schemaHash": contract.check().schema_hash, "tables": {name: {} for name in contract.tables}}
+
+
 def check_bound(streams: DataFrame, contract: Contract) -> None:
     """Raise where a stream (``stream_id, schema_hash``) is bound to another contract:
     a binding is for good."""

@@ -94,6 +94,33 @@ def page_violations(pages: DataFrame) -> DataFrame:
     return pages.withColumn("violation", kind).where("violation is not null")
 
 
+def decision_violations(pages: DataFrame, entries: DataFrame, decisions: DataFrame, most: int = PROPOSALS) -> DataFrame:
+    """``stream_id, page, operation_id, violation`` of the decisions in responses: the first rule
+    that fails.  ``pages`` has ``head_sequence``; ``entries`` and ``decisions`` (``operation_id, status,
+    sequence``, in the order of ``decision_ord``) have their ``stream_id, page``."""
+    response = ["stream_id", "page"]
+    nth = F.row_number().over(Window.partitionBy(*response).orderBy("decision_ord"))
+    again = F.row_number().over(Window.partitionBy(*response, "operation_id").orderBy("decision_ord"))
+    page = entries.select(*response, "operation_id", F.col("sequence").alias("__committed"))
+    kind = (
+        F.when(F.col("__nth") > most, "protocol-limit")
+        .when(F.coalesce(F.length("operation_id"), F.lit(0)) == 0, "operation-id")
+        .when(F.col("__again") > 1, "decision-repeated")
+        .when((F.col("status") == "accepted") & ~sequence_ok(F.col("sequence"), 1), "invalid-sequence")
+        .when((F.col("status") == "accepted") & (F.col("sequence") > F.col("head_sequence")), "decision-beyond-head")
+        .when((F.col("status") == "accepted") & (F.col("__committed") != F.col("sequence")), "decision-sequence-differs")
+        .when((F.col("status") == "rejected") & F.col("__committed").isNotNull(), "rejected-committed")
+        .when(~F.col("status").isin("accepted", "rejected"), "status")
+    )
+    return (
+        decisions.withColumns({"__nth": nth, "__again": again})
+        .join(page, [*response, "operation_id"], "left")
+        .join(pages.select(*response, "head_sequence"), response)
+        .select(*response, "operation_id", kind.alias("violation"))
+        .where("violation is not null")
+    )
+
+
 def snapshot_violations(log: DataFrame, decisions: DataFrame) -> DataFrame:
     """``stream_id, operation_id, violation`` where log and accepted decisions aren't
     one to one in all five identity fields."""

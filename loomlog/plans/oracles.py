@@ -65,14 +65,14 @@ def _boot(prefix: str, tables: list[str]) -> str:
         return f"'\"{c}\":' || to_json({c})"
 
     def number(c: str) -> str:
-        return f"'\"{c}\":' || coalesce(CAST({c} AS VARCHAR), 'null')"
+        return f"'\"{c}\":' || coalesce(regexp_replace(CAST({c} AS VARCHAR), '\\.0$', ''), 'null')"
 
     columns = {
-        "customer": (["c_name", "c_mktsegment"], ["c_custkey", "c_nationkey"]),
+        "customer": (["c_name", "c_mktsegment"], ["c_custkey", "c_nationkey", "c_acctbal"]),
         "nation": (["n_name"], ["n_nationkey", "n_regionkey"]),
-        "part": (["p_name", "p_brand", "p_type"], ["p_partkey", "p_size"]),
+        "part": (["p_name", "p_brand", "p_type"], ["p_partkey", "p_size", "p_retailprice"]),
         "region": (["r_name"], ["r_regionkey"]),
-        "supplier": (["s_name"], ["s_suppkey", "s_nationkey"]),
+        "supplier": (["s_name"], ["s_suppkey", "s_nationkey", "s_acctbal"]),
     }
     parts = []
     for t in tables:
@@ -125,7 +125,7 @@ FROM prop GROUP BY client_id || '-' || substr(operation_id, 4, 1), stream_id HAV
     "continued_log": _WITH
     + """SELECT stream_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY event_id % 2, ts, event_id) AS BIGINT) AS sequence, operation_id
 FROM judged WHERE reason IS NULL""",
-    "idempotent_replay": _WITH + "SELECT operation_id, status, sequence FROM dec WHERE event_id % 2 = 0",
+    "idempotent_replay": _WITH + "SELECT operation_id, status, sequence FROM dec",
     "decision_matrix": _WITH + "SELECT class, count(*) AS n FROM classed GROUP BY 1",
     "http_status_map": _WITH
     + """SELECT operation_id, CAST(CASE WHEN class LIKE '%conflict' THEN 409 ELSE 200 END AS INTEGER) AS http_status,
@@ -187,7 +187,7 @@ SELECT * FROM v WHERE violation IS NOT NULL""",
 SELECT {_STATE} FROM upto WHERE n = 1 AND op = 'putRow'""",
     "state_point_lookup": _WITH + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND user_id = 7",
     "state_first_match": _WITH
-    + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND event_type = 'click' ORDER BY '[' || CAST(user_id AS VARCHAR) || ']' LIMIT 1",
+    + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND event_type = 'click' ORDER BY user_id LIMIT 1",
     "state_rows_ordered": _WITH + f"SELECT '[' || CAST(user_id AS VARCHAR) || ']' AS pk, {_STATE} FROM last WHERE nth = 1 AND op = 'putRow'",
     "tombstones": _WITH + "SELECT stream_id, user_id, sequence FROM last WHERE nth = 1 AND op = 'deleteRow'",
     "lww_lineitem_collisions": f"""
@@ -216,7 +216,7 @@ SELECT stream_id, user_id, client_sequence, event_type FROM r WHERE nth = 1 AND
     "retry_backoff": "SELECT conv_id, turn, CAST(least(2000, 120 * pow(2, turn)) AS BIGINT) AS delay_ms FROM conversations",
     "bootstrap_log": f"SELECT sequence, table_name, pk, operation_id, intent_hash FROM ({_boot('bootstrap', _ALL)})",
     "bootstrap_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in _ALL),
-    "bootstrap_selected_tables": f"SELECT sequence, table_name, pk, operation FROM ({_boot('seed', ['nation', 'region'])})",
+    "bootstrap_selected_tables": f"SELECT sequence, table_name, pk, operation FROM ({_boot('seed', ['customer', 'nation', 'part'])})",
     "bootstrap_operation_ids": """SELECT o_orderkey, 'bootstrap:orders:' || sha256('{"key":[' || CAST(o_orderkey AS VARCHAR) || '],"table":"orders"}') AS operation_id FROM orders""",
     "normalize_row_operations": """SELECT conv_id, turn, 'putRow' AS op, CASE
   WHEN conv_id % 17 = 0 THEN 'unknown table nowhere'
@@ -263,4 +263,49 @@ FROM b FULL OUTER JOIN r ON b.stream_id = r.stream_id AND b.client_id = r.client
     + _PAGES.format(log="log")
     + """SELECT l.stream_id, p.page, p.through_sequence, p.head_sequence, l.sequence, l.operation_id, l.client_id, l.client_sequence, '{"op":"' || l.op || '"}' AS operation
 FROM log l JOIN page p ON l.stream_id = p.stream_id AND p.page = CAST(floor((l.sequence - 1) / 256) AS BIGINT)""",
+    "decide_batch_conflicts": _WITH
+    + """, batch AS (
+  SELECT stream_id, operation_id, client_id, client_sequence, intent_hash, event_id, 0 AS variant FROM prop WHERE event_id % 2 = 0
+  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence, 'changed', event_id, 1 FROM prop WHERE event_id % 101 = 0
+  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence + 1, intent_hash, event_id, 2 FROM prop WHERE event_id % 103 = 0
+  UNION ALL SELECT stream_id, operation_id || '-x', client_id, client_sequence, intent_hash, event_id, 3 FROM prop WHERE event_id % 107 = 0
+  UNION ALL SELECT stream_id, operation_id || '-y', client_id || '-n', client_sequence, intent_hash, event_id, 4 FROM prop WHERE event_id % 109 = 0
+), known AS (SELECT * FROM dec WHERE event_id % 5 = 0),
+a AS (
+  SELECT b.*, d.status, d.sequence, CASE
+    WHEN d.operation_id IS NOT NULL AND (d.client_id <> b.client_id OR d.client_sequence <> b.client_sequence) THEN 'operation-identity-conflict'
+    WHEN d.operation_id IS NOT NULL AND d.intent_hash <> b.intent_hash THEN 'operation-intent-conflict'
+    WHEN d.operation_id IS NOT NULL THEN 'replay' WHEN p.operation_id IS NOT NULL THEN 'client-sequence-conflict' ELSE 'new' END AS first_class
+  FROM batch b LEFT JOIN known d ON b.stream_id = d.stream_id AND b.operation_id = d.operation_id
+  LEFT JOIN known p ON b.stream_id = p.stream_id AND b.client_id = p.client_id AND b.client_sequence = p.client_sequence
+), c AS (
+  SELECT *, CASE WHEN first_class <> 'new' THEN first_class
+    WHEN first_value(client_id) OVER i <> client_id OR first_value(client_sequence) OVER i <> client_sequence THEN 'operation-identity-conflict'
+    WHEN first_value(intent_hash) OVER i <> intent_hash THEN 'operation-intent-conflict'
+    WHEN row_number() OVER i > 1 THEN 'repeat'
+    WHEN first_value(operation_id) OVER p <> operation_id THEN 'client-sequence-conflict' ELSE 'new' END AS found
+  FROM a WINDOW i AS (PARTITION BY first_class, stream_id, operation_id ORDER BY event_id, variant),
+    p AS (PARTITION BY first_class, stream_id, client_id, client_sequence ORDER BY event_id, variant)
+)
+SELECT operation_id, variant, CASE WHEN found IN ('new', 'repeat') AND max(found LIKE '%conflict') OVER (PARTITION BY stream_id, client_id) THEN 'aborted' ELSE found END AS class,
+  CASE WHEN found = 'replay' THEN status END AS status, CASE WHEN found = 'replay' THEN sequence END AS sequence FROM c""",
+    "normalized_rows": """SELECT conv_id, turn, '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"note":null}' AS body
+FROM conversations WHERE role IS NOT NULL""",
+    "wire_decisions_roundtrip": _WITH
+    + """, nth AS (SELECT *, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS BIGINT) AS nth FROM dec)
+SELECT stream_id, CAST(floor((nth - 1) / 64) AS BIGINT) AS page, (nth - 1) % 64 AS decision_ord, CAST(NULL AS VARCHAR) AS error, operation_id, status, sequence,
+  CASE WHEN status = 'accepted' THEN '{"op":"' || op || '"}' END AS operation, CASE WHEN status = 'rejected' THEN '{"code":"' || reason || '"}' END AS reason FROM nth""",
+    "response_decision_violations": _WITH
+    + """, nth AS (SELECT *, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY ts, event_id) AS BIGINT) AS nth FROM dec),
+told AS (
+  SELECT stream_id, operation_id, status, nth, 0 AS again, sequence AS committed, CASE WHEN nth % 97 = 3 THEN sequence + 1 WHEN nth % 89 = 5 THEN 1099511627776 ELSE sequence END AS sequence FROM nth
+  UNION ALL SELECT stream_id, operation_id, status, nth, 1, sequence, sequence FROM nth WHERE nth % 101 = 7
+), v AS (
+  SELECT t.stream_id, CAST(floor((nth - 1) / 64) AS BIGINT) AS page, operation_id, CASE WHEN again = 1 THEN 'decision-repeated'
+    WHEN status = 'accepted' AND t.sequence > h.head_sequence THEN 'decision-beyond-head'
+    WHEN status = 'accepted' AND committed <> t.sequence THEN 'decision-sequence-differs'
+    WHEN status = 'rejected' AND nth % 10 = 1 THEN 'rejected-committed' END AS violation
+  FROM told t JOIN head h ON t.stream_id = h.stream_id
+)
+SELECT * FROM v WHERE violation IS NOT NULL""",
 }

@@ -16,8 +16,10 @@ from ..operators import normalize as N
 from ..operators import pages as P
 from ..operators import replica as R
 from ..operators import validate as V
+from ..operators.numbering import number_densely
 from ..sources import tables as T
 from ..sources import wire as W
+from ..sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,35 +96,41 @@ def continued_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = T.decisions(spark, sf_dir)
-    again = T.proposals(spark, sf_dir).where(F.col(E_ID) % 2 == 0)
-    found = D.classify(again, known).where(F.col("class") == D.REPLAY)
+    """Every proposal sent again."""
+    rows = T.stored_decisions(spark, sf_dir)
+    found = D.classify(rows.drop("status", "sequence", "reason"), rows).where(F.col("class") == D.REPLAY)
     return found.select("operation_id", "status", "sequence")
 
 
-def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.proposals(spark, sf_dir).select("stream_id", "operation_id", "client_id", "client_sequence", "intent_hash", E_ID)
+ATTEMPT = ("stream_id", "operation_id", "client_id", "client_sequence", "intent_hash", E_ID)
+
+
+def _attempts(decided: DataFrame) -> DataFrame:
+    """Proposals sent again, some changed; ``variant`` tells which."""
+    rows = decided.select(*ATTEMPT)
     changed = rows.where(F.col(E_ID) % 101 == 0).withColumn("intent_hash", F.lit("changed"))
     moved = rows.where(F.col(E_ID) % 103 == 0).withColumn("client_sequence", F.col("client_sequence") + 1)
     other = rows.where(F.col(E_ID) % 107 == 0).withColumn("operation_id", F.concat("operation_id", F.lit("-x")))
     fresh = rows.where(F.col(E_ID) % 109 == 0).withColumns(
         {"operation_id": F.concat("operation_id", F.lit("-y")), "client_id": F.concat("client_id", F.lit("-n"))}
     )
-    out = rows.where(F.col(E_ID) % 2 == 0)
-    for part in (changed, moved, other, fresh):
-        out = out.unionByName(part)
+    out = rows.where(F.col(E_ID) % 2 == 0).withColumn("variant", F.lit(0))
+    for n, part in enumerate((changed, moved, other, fresh)):
+        out = out.unionByName(part.withColumn("variant", F.lit(n + 1)))
     return out
 
 
 @query
 def decision_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.classify(_attempts(spark, sf_dir), T.decisions(spark, sf_dir)).groupBy("class").agg(F.count("*").alias("n"))
+    known = T.stored_decisions(spark, sf_dir)
+    return D.classify(_attempts(known), known).groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query
 def http_status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a route answers to each attempt."""
-    found = D.classify(_attempts(spark, sf_dir), T.decisions(spark, sf_dir))
+    known = T.stored_decisions(spark, sf_dir)
+    found = D.classify(_attempts(known), known)
     conflict = F.col("class").isin(D.IDENTITY, D.INTENT, D.POSITION)
     return found.select(
         "operation_id", F.when(conflict, 409).otherwise(200).alias("http_status"), F.when(conflict, F.col("class")).alias("code")
@@ -131,7 +139,17 @@ def http_status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def client_position_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.position_conflicts(_attempts(spark, sf_dir).unionByName(T.proposals(spark, sf_dir).select("stream_id", "operation_id", "client_id", "client_sequence", "intent_hash", E_ID)))
+    rows = stored(T.proposals(spark, sf_dir).select(*ATTEMPT))
+    return V.position_conflicts(_attempts(rows).drop("variant").unionByName(rows))
+
+
+@query
+def decide_batch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch held against decisions on a fifth of the events and against itself; a client's
+    proposals are a request."""
+    rows = T.stored_decisions(spark, sf_dir)
+    found = D.settle(_attempts(rows), rows.where(F.col(E_ID) % 5 == 0), [E_ID, "variant"], "client_id")
+    return found.select("operation_id", "variant", "class", "status", "sequence")
 
 
 @query
@@ -165,7 +183,7 @@ def log_contiguity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def snapshot_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     decisions = entries.where(F.col("sequence") % 500 != 3).withColumn("status", F.lit("accepted"))
     moved = F.when(F.col("sequence") % 700 == 5, F.col("client_sequence") + 1).otherwise(F.col("client_sequence"))
     return V.snapshot_violations(entries.where(F.col("sequence") % 600 != 7).withColumn("client_sequence", moved), decisions)
@@ -180,7 +198,7 @@ def page_cursor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replica_record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     replicas = T.replicas(entries)
     retained = R.new_entries(replicas.withColumn("confirmed_sequence", F.greatest(F.col("confirmed_sequence") - 20, F.lit(0))), entries)
     at = replicas.select("stream_id", "client_id", F.col("confirmed_sequence").alias("c"))
@@ -274,7 +292,7 @@ def projection_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def optimistic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     heads = T.replicas(entries).select("stream_id", "confirmed_sequence").distinct()
     confirmed = entries.join(heads, "stream_id").where("sequence <= confirmed_sequence")
     return M.optimistic(confirmed.drop("confirmed_sequence"), T.outbox(entries).drop("confirmed_sequence")).select(
@@ -321,14 +339,8 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> dict[str, B.Source]:
-    t = lambda name: T.table(spark, sf_dir, name)
-    return {
-        "customer": B.Source.of(t("customer"), ["c_custkey"], ["c_name", "c_mktsegment"], ["c_custkey", "c_nationkey"]),
-        "nation": B.Source.of(t("nation"), ["n_nationkey"], ["n_name"], ["n_nationkey", "n_regionkey"]),
-        "part": B.Source.of(t("part"), ["p_partkey"], ["p_name", "p_brand", "p_type"], ["p_partkey", "p_size"]),
-        "region": B.Source.of(t("region"), ["r_regionkey"], ["r_name"], ["r_regionkey"]),
-        "supplier": B.Source.of(t("supplier"), ["s_suppkey"], ["s_name"], ["s_suppkey", "s_nationkey"]),
-    }
+    keys = {"customer": "c_custkey", "nation": "n_nationkey", "part": "p_partkey", "region": "r_regionkey", "supplier": "s_suppkey"}
+    return {name: B.Source.by_schema(T.table(spark, sf_dir, name), [key]) for name, key in keys.items()}
 
 
 @query
@@ -343,7 +355,7 @@ def bootstrap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bootstrap_selected_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.history(_sources(spark, sf_dir), "seed", ["region", "nation", "region"]).select("sequence", "table_name", "pk", "operation")
+    return B.history(_sources(spark, sf_dir), "seed", ["part", "nation", "customer", "part"]).select("sequence", "table_name", "pk", "operation")
 
 
 @query
@@ -377,18 +389,26 @@ def normalize_row_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalize(intents, _contract()).select("conv_id", "turn", "op", "error")
 
 
+@query
+def normalized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without their nullable column, in the contract's order."""
+    row = {"turn": C.json_integer(F.col("turn")), "role": C.json_string(F.col("role")), "conv_id": C.json_integer(F.col("conv_id"))}
+    puts = T.table(spark, sf_dir, "conversations").where("role is not null").select("conv_id", "turn", C.put_row(F.lit("conversations"), C.json_object(row)).alias("intent"))
+    return N.normalize(puts, _contract()).select("conv_id", "turn", "body")
+
+
 # Replicas
 
 
 @query
 def outbox_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.prepare(T.outbox(T.log(spark, sf_dir))).select("client_id", "operation_id", F.col("proposal_ord").cast("long"))
+    return R.prepare(T.outbox(T.stored_log(spark, sf_dir))).select("client_id", "operation_id", F.col("proposal_ord").cast("long"))
 
 
 @query
 def outbox_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rejected operations again, and some that the outbox has."""
-    all_ = T.decisions(spark, sf_dir)
+    all_ = T.stored_decisions(spark, sf_dir)
     entries = all_.where("status = 'accepted'")
     more = all_.where((F.col("status") == "rejected") | (F.col(E_ID) % 40 == 0)).select("stream_id", "client_id", "operation_id", E_ID)
     box = T.outbox(entries)
@@ -399,7 +419,7 @@ def outbox_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page after what each stream's replicas have confirmed: entries a replica."""
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     replicas = T.replicas(entries)
     new = R.new_entries(replicas, _next_page(entries))
     return new.groupBy("stream_id", "client_id").agg(F.count("*").alias("entries"), F.max("sequence").alias("confirmed_sequence"))
@@ -413,7 +433,7 @@ def _next_page(entries: DataFrame) -> DataFrame:
 
 @query
 def merge_overlap_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     other = F.when(F.col("sequence") % 300 == 1, F.lit("changed")).otherwise(F.col("intent_hash"))
     position = F.when(F.col("sequence") % 400 == 2, F.col("client_sequence") + 1).otherwise(F.col("client_sequence"))
     return R.overlap_divergence(entries, entries.withColumns({"intent_hash": other, "client_sequence": position}))
@@ -421,19 +441,19 @@ def merge_overlap_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merge_outbox_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     return R.outbox_after(T.outbox(entries), _next_page(entries)).select("stream_id", "client_id", "operation_id", "status")
 
 
 @query
 def merge_newly_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     return R.newly_resolved(T.outbox(entries), _next_page(entries)).select("client_id", "operation_id", "resolved_sequence")
 
 
 @query
 def replica_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = T.decisions(spark, sf_dir)
+    all_ = T.stored_decisions(spark, sf_dir)
     return R.status(T.outbox(all_.where("status = 'accepted'")), all_.where("status = 'rejected'"))
 
 
@@ -458,7 +478,7 @@ def resolutions_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def compact_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each client's own entries, without what lies 50 before what it has confirmed."""
-    entries = T.log(spark, sf_dir)
+    entries = T.stored_log(spark, sf_dir)
     left = R.compact(entries, T.replicas(entries), F.col("confirmed_sequence") - 50)
     return left.select("stream_id", "client_id", "sequence")
 
@@ -482,8 +502,44 @@ def wire_request_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wire_response_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = T.log(spark, sf_dir).withColumns(
+    entries = T.stored_log(spark, sf_dir).withColumns(
         {"page": P.page_number(F.col("sequence")), "operation": C.json_object({"op": C.json_string(F.col("op"))})}
     )
     back = W.decode_responses(W.encode_responses(P.pages(entries), entries))
     return back.select("stream_id", F.col("page").cast("long"), "through_sequence", "head_sequence", "sequence", "operation_id", "client_id", "client_sequence", "operation")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions by response, 64 each in the order of the events, and the responses: all at the
+    head of their stream, so without entries."""
+    day = F.date_trunc("day", "ts")
+    rows = stored(number_densely(T.decisions(spark, sf_dir), ["stream_id"], day, ["ts", E_ID], "nth"))
+    decisions = rows.withColumns(
+        {
+            "page": F.floor((F.col("nth") - 1) / V.PROPOSALS),
+            "decision_ord": F.col("nth"),
+            "operation": C.json_object({"op": C.json_string(F.col("op"))}),
+            "reason": F.when(F.col("reason").isNotNull(), C.json_object({"code": C.json_string(F.col("reason"))})),
+        }
+    )
+    at = decisions.select("stream_id", "page").distinct().join(P.heads(rows), "stream_id")
+    return decisions, at.withColumns({"base_sequence": F.col("head_sequence"), "through_sequence": F.col("head_sequence")})
+
+
+@query
+def wire_decisions_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decisions, pages = _decided(spark, sf_dir)
+    back = W.decode_decisions(W.encode_responses(pages, T.stored_log(spark, sf_dir).withColumns({"page": F.lit(-1), "operation": F.lit("{}")}), decisions))
+    return back.select("stream_id", F.col("page").cast("long"), F.col("decision_ord").cast("long"), "error", "operation_id", "status", "sequence", "operation", "reason")
+
+
+@query
+def response_decision_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On responses that carry their decisions' entries too, of which some are moved, some
+    rejections committed, some decisions beyond the head and some repeated."""
+    decisions, pages = _decided(spark, sf_dir)
+    entries = decisions.where((F.col("status") == "accepted") | (F.col("nth") % 10 == 1)).withColumn("sequence", F.coalesce("sequence", F.lit(1)))
+    moved = F.when(F.col("nth") % 97 == 3, F.col("sequence") + 1).when(F.col("nth") % 89 == 5, F.lit(1 << 40)).otherwise(F.col("sequence"))
+    again = decisions.where(F.col("nth") % 101 == 7).withColumn("decision_ord", F.col("nth") + 0.5)
+    told = decisions.withColumn("sequence", moved).unionByName(again)
+    return V.decision_violations(pages, entries, told, 1 << 20).select("stream_id", F.col("page").cast("long"), "operation_id", "violation")

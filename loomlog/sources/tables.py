@@ -9,6 +9,7 @@ from ..functions.canonical import fingerprint, json_integer, json_object, json_s
 from ..operators import decide as D
 from ..operators.numbering import number_densely
 from ..operators.pages import heads
+from .stored import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,15 @@ def log(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
     return D.accept(judged, F.date_trunc("day", "ts"), ["ts", "event_id"])
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log``, written once: for what reads it several times."""
+    return stored(log(spark, sf_dir))
+
+
+def stored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(decisions(spark, sf_dir))
+
+
 def replicas(entries: DataFrame) -> DataFrame:
     """A replica of every client, which has confirmed six tenths of its stream's log."""
     confirmed = F.floor(F.col("head_sequence") * 6 / 10).cast("long")

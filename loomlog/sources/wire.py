@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import json_array, json_integer, json_object, json_string
+from ..functions.canonical import json_integer, json_object, json_string
 
 VERSION = 1
 PROPOSAL = "operationId string, clientId string, clientSequence bigint, intentHash string, intent string"
@@ -14,7 +14,7 @@ REQUEST = (
     f"request struct<baseSequence: bigint, maximumEntries: bigint, proposals: array<struct<{PROPOSAL}>>>"
 )
 ENTRY = "sequence bigint, operationId string, origin struct<clientId: string, clientSequence: bigint, intentHash: string>, operation string"
-DECISION = "operationId string, clientId string, clientSequence bigint, intentHash string, status string, sequence bigint, operation string, reason string"
+DECISION = "operationId string, status string, sequence bigint, operation string, reason string"
 RESPONSE = (
     "protocolVersion int, streamId string, response struct<requestedBaseSequence: bigint, throughSequence: bigint, "
     f"headSequence: bigint, entries: array<struct<{ENTRY}>>, decisions: array<struct<{DECISION}>>>"
@@ -53,10 +53,12 @@ def _envelope(stream: Column, name: str, body: Column) -> Column:
     return json_object({"protocolVersion": F.lit(str(VERSION)), "streamId": json_string(stream), name: body})
 
 
-def encode_responses(pages: DataFrame, entries: DataFrame) -> DataFrame:
+def encode_responses(pages: DataFrame, entries: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """``stream_id, page, envelope`` from pages (``stream_id, page, base_sequence,
-    through_sequence, head_sequence``) and their entries (``stream_id, page, sequence,
-    operation_id, client_id, client_sequence, intent_hash, operation``)."""
+    through_sequence, head_sequence``), their entries (``stream_id, page, sequence,
+    operation_id, client_id, client_sequence, intent_hash, operation``) and decisions
+    (``stream_id, page, decision_ord, operation_id, status, sequence, operation, reason``;
+    ``operation`` and ``reason`` canonical JSON)."""
     origin = json_object(
         {
             "clientId": json_string(F.col("client_id")),
@@ -79,10 +81,17 @@ def encode_responses(pages: DataFrame, entries: DataFrame) -> DataFrame:
             "throughSequence": json_integer(F.col("through_sequence")),
             "headSequence": json_integer(F.col("head_sequence")),
             "entries": F.coalesce("listed", F.lit("[]")),
-            "decisions": json_array([]),
+            "decisions": F.coalesce("decided", F.lit("[]")) if decisions is not None else F.lit("[]"),
         }
     )
-    return pages.join(lists, ["stream_id", "page"], "left").select(
+    rows = pages.join(lists, ["stream_id", "page"], "left")
+    if decisions is not None:
+        common = {"operationId": json_string(F.col("operation_id")), "status": json_string(F.col("status"))}
+        accepted = json_object(common | {"sequence": json_integer(F.col("sequence")), "operation": F.col("operation")})
+        rejected = json_object(common | {"reason": F.col("reason")})
+        item = F.when(F.col("status") == "accepted", accepted).otherwise(rejected)
+        rows = rows.join(decisions.groupBy("stream_id", "page").agg(_ordered(item, "decision_ord").alias("decided")), ["stream_id", "page"], "left")
+    return rows.select(
         "stream_id", "page", _envelope(F.col("stream_id"), "response", response).alias("envelope")
     )
 
@@ -140,3 +149,37 @@ def decode_responses(texts: DataFrame) -> DataFrame:
         e["origin"]["intentHash"].alias("intent_hash"),
         e["operation"].alias("operation"),
     ).drop("item")
+
+
+def decode_decisions(texts: DataFrame) -> DataFrame:
+    """Decisions of response envelopes, a row each in order, with ``error`` where the envelope
+    can't be read or a decision is neither an accepted nor a rejected one, and ``error_path``."""
+    rows = _parsed(texts, RESPONSE)
+    d = F.col("item")
+    whole = (
+        (F.length(d["operationId"]) > 0)
+        & F.when(d["status"] == "accepted", d["sequence"].isNotNull() & d["operation"].isNotNull())
+        .when(d["status"] == "rejected", d["reason"].isNotNull())
+        .otherwise(False)
+    )
+    bad = F.col("error").isNull() & d.isNotNull() & ~F.coalesce(whole, F.lit(False))
+    return (
+        rows.select(
+            *texts.drop("envelope").columns,
+            "error",
+            F.col("parsed.streamId").alias("of_stream"),
+            F.col("parsed.response.headSequence").alias("head_sequence"),
+            F.posexplode_outer("parsed.response.decisions").alias("decision_ord", "item"),
+        )
+        .withColumn("error_path", F.when(bad, F.format_string("$.response.decisions[%d]", "decision_ord")).when(F.col("error").isNotNull(), "$"))
+        .withColumn("error", F.when(bad, "wire-decode").otherwise(F.col("error")))
+        .select(
+            "*",
+            d["operationId"].alias("operation_id"),
+            d["status"].alias("status"),
+            d["sequence"].alias("sequence"),
+            d["operation"].alias("operation"),
+            d["reason"].alias("reason"),
+        )
+        .drop("item")
+    )

@@ -6,23 +6,32 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import decide as D
+from ..sources.stored import stored
 
 
 def decide_batches(
-    proposals: DataFrame, path: str, reason: Column, bucket: Column, order: list[str], columns: list[str]
+    proposals: DataFrame,
+    path: str,
+    reason: Column,
+    bucket: Column,
+    order: list[str],
+    columns: list[str],
+    refused: str | None = None,
+    request: str | None = None,
 ) -> DataStreamWriter:
     """A writer that decides each micro-batch of ``proposals`` against the decisions in
     ``path`` and appends the new ones there, as ``columns`` and ``status, sequence,
     reason, batch``.
 
     A batch that is run again after a failure overwrites its own folder, so every
-    proposal is decided once.  Repeats within a batch are one proposal; conflicts are
-    left out (``operators.decide.classify`` tells which).
+    proposal is decided once.  Proposals of a batch are held against one another too
+    (``operators.decide.settle``, also for ``request``): repeats are one proposal, and conflicts
+    are not decided but written to ``refused``, if named, as ``columns`` and ``class, batch``.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -33,9 +42,11 @@ def decide_batches(
         ).schema
         spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
         known = spark.read.schema(schema).parquet(path).where(F.col("batch") < number)
-        first = F.row_number().over(Window.partitionBy("stream_id", "operation_id").orderBy(*order))
-        once = batch.withColumn("__nth", first).where("__nth = 1").drop("__nth")
-        new = D.classify(once, known).where(F.col("class") == D.NEW).drop("class", "status", "sequence")
+        settled = stored(D.settle(batch, known, order, request))
+        new = settled.where(F.col("class") == D.NEW).drop("class", "status", "sequence")
+        if refused is not None:
+            odd = settled.where(F.col("class").isin(*D.CONFLICTS, D.ABORTED)).select(*columns, "class")
+            odd.write.mode("overwrite").parquet(f"{refused}/batch={number}")
         heads = known.groupBy("stream_id").agg(F.max("sequence").alias("head_sequence"))
         D.decide(new, reason, bucket, order, heads).select(*kept).write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -3,13 +3,16 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.errors import RowOperationError, SchemaDiscoveryError
+from loomlog.errors import BootstrapError, RowOperationError, SchemaDiscoveryError
+from loomlog.functions import canonical as C
 from loomlog.functions.canonical import canonical
+from loomlog.operators import bootstrap as B
 from loomlog.operators import contract as K
 from loomlog.operators import decide as D
 from loomlog.operators import materialize as M
 from loomlog.operators import normalize as N
 from loomlog.operators import replica as R
+from loomlog.operators import snapshot as S
 from loomlog.operators import validate as V
 from loomlog.operators.numbering import number_densely
 
@@ -159,6 +162,84 @@ def test_replica_steps(spark):
     assert R.merge_gaps(replicas, pages).count() == 1
     assert [r.sequence for r in R.compact(retained, replicas, F.lit(2)).collect()] == [3]
     assert R.compact(retained, replicas, F.lit(9)).count() == 2
+    assert [(r.expected, r.received) for r in R.compaction_gaps(replicas, F.lit(9)).collect()] == [(4, 9)] and R.compaction_gaps(replicas, F.lit(3)).count() == 0
+
+
+PROPOSED = "stream_id string, client_id string, client_sequence long, operation_id string, intent_hash string, ord long, request string"
+
+
+def test_a_batch_is_held_against_itself(spark):
+    none = spark.createDataFrame([], "stream_id string, client_id string, client_sequence long, operation_id string, intent_hash string, status string, sequence long")
+    rows = [
+        ("s", "a", 1, "o1", "h", 1, "r1"), ("s", "a", 1, "o2", "h", 2, "r2"), ("s", "a", 2, "o1", "hx", 3, "r3"), ("s", "a", 1, "o1", "hx", 4, "r4"),
+        ("s", "a", 1, "o1", "h", 5, "r5"), ("t", "a", 1, "o1", "h", 6, "r2"), ("s", "a", 3, "o3", "h", 7, "r2"), ("s", "a", 4, "o4", "h", 8, "r6"),
+    ]
+    batch = spark.createDataFrame(rows, PROPOSED)
+    got = {r.ord: r["class"] for r in D.settle(batch, none, ["ord"]).collect()}
+    assert got == {1: "new", 2: D.POSITION, 3: D.IDENTITY, 4: D.INTENT, 5: "repeat", 6: "new", 7: "new", 8: "new"}
+    got = {r.ord: r["class"] for r in D.settle(batch, none, ["ord"], "request").collect()}
+    assert got == {1: "new", 2: D.POSITION, 3: D.IDENTITY, 4: D.INTENT, 5: "repeat", 6: "new", 7: "aborted", 8: "new"}
+    done = D.decide(batch.where("ord = 1"), F.lit(None).cast("string"), F.lit(0), ["ord"])
+    got = {r.ord: (r["class"], r.sequence) for r in D.settle(batch, done, ["ord"]).collect()}
+    assert got[5] == ("replay", 1) and got[2] == (D.POSITION, None)
+
+
+def test_replicas_of_a_stream_keep_apart(spark):
+    log = spark.createDataFrame([("s", "x", 1, "putRow", "t", "[1]", 5), ("s", "x", 2, "putRow", "t", "[2]", 6), ("s", "x", 3, "putRow", "t", "[1]", 7)], "stream_id string, client_id string, sequence long, op string, table_name string, pk string, v int")
+    replicas = spark.createDataFrame([("s", "a", 2), ("s", "b", 3)], "stream_id string, client_id string, confirmed_sequence long")
+    box = spark.createDataFrame([("s", "a", "t", "[2]", "deleteRow", 1, 0), ("s", "b", "t", "[2]", "putRow", 1, 9)], "stream_id string, client_id string, table_name string, pk string, op string, client_sequence long, v int")
+    view = M.optimistic(M.of_replicas(log, replicas), box, [*M.KEY, "client_id"])
+    assert sorted((r.client_id, r.pk, r.v) for r in view.collect()) == [("a", "[1]", 5), ("b", "[1]", 7), ("b", "[2]", 9)]
+
+
+def test_merge_conflicts(spark):
+    replica = "stream_id string, client_id string, "
+    replicas = spark.createDataFrame([("s", c, 1, 3) for c in "abcdefg"], replica + "retained_base long, confirmed_sequence long")
+    pages = spark.createDataFrame([("s", c, 4 if c == "a" else 3) for c in "abcdefg"], replica + "base_sequence long")
+    held = "operation_id string, client_sequence long, intent_hash string, status string, sequence long, operation string"
+    outbox = spark.createDataFrame(
+        [("s", "b", "o1", 1, "h", "accepted", 4, "{}"), ("s", "c", "o1", 1, "h", "accepted", 4, "{}"), ("s", "d", "o1", 1, "h", "pending", None, None), ("s", "e", "o1", 1, "h", "pending", None, None), ("s", "f", "o1", 1, "h", "accepted", 1, "{}"), ("s", "g", "o1", 1, "h", "accepted", 4, "{}")],
+        replica + held,
+    )
+    entry = replica + "sequence long, operation_id string, origin_client string, client_sequence long, intent_hash string, operation string"
+    retained = spark.createDataFrame([("s", c, 2, "x2", "z", 1, "h", "{}") for c in "abcdefg"], entry)
+    entries = spark.createDataFrame(
+        [("s", "c", 4, "o1", "c", 1, "h", "{}"), ("s", "d", 2, "x2", "z", 1, "other", "{}"), ("s", "e", 4, "o1", "e", 1, "hx", "{}"), ("s", "g", 2, "x2", "z", 1, "h", "{}"), ("s", "g", 4, "o1", "g", 1, "h", "{}")], entry
+    )
+    decisions = spark.createDataFrame([("s", "b", "o1", "rejected", None, None), ("s", "c", "o1", "accepted", 4, "{}"), ("s", "d", "o1", "rejected", None, None)], replica + "operation_id string, status string, sequence long, operation string")
+    got = {r.client_id: r.violation for r in R.merge_conflicts(replicas, outbox, retained, pages, entries, decisions).collect()}
+    assert got == {"a": "log-gap", "b": "decision-conflict", "d": "log-divergence", "e": "identity-differs", "f": "compacted-entry"}
+
+
+def test_first_match_is_in_the_order_of_the_rows(spark):
+    rows = spark.createDataFrame([("t", "[10]", "x"), ("t", "[1]", "x"), ("t", "[2]", "y")], "table_name string, pk string, v string")
+    assert M.first_row_with(rows, "t", F.col("v"), "x").first().pk == M.ordered_rows(rows, "t").first().pk
+
+
+def test_column_values_both_ways(spark):
+    df = spark.createDataFrame([(1, 1.5e21, bytearray([0, 255]), "7"), (2, None, None, None), (3, -0.0, bytearray(), "x")], "id long, x double, b binary, n string")
+    source = B.Source.of(df, ["id"], integer=["id"], real=["x"], blob=["b"], numeric=["n"])
+    rows = {r.pk: r.operation for r in B.operations({"t": source}).collect()}
+    assert rows["[1]"] == '{"row":{"b":[0,255],"id":1,"n":"7","x":1.5e+21},"table":"t","type":"putRow"}'
+    assert '"b":null' in rows["[2]"] and '"x":null' in rows["[2]"] and '"b":[]' in rows["[3]"] and '"x":0}' in rows["[3]"]
+    with pytest.raises(BootstrapError):
+        B.history({"t": source}, "p", log=df)
+    values = spark.createDataFrame([(a, v) for a, v in [("text", '"a"'), ("real", "1.5"), ("blob", "[0,255]"), ("numeric", "null"), ("blob", "null")]], "a string, v string")
+    got = [C.column_value(F.try_parse_json("v"), a) for a in ("text", "real", "blob", "numeric", "blob")]
+    held = [values.where((F.col("a") == a) & (F.col("v") == v)).select(g).first()[0] for g, (a, v) in zip(got, [("text", '"a"'), ("real", "1.5"), ("blob", "[0,255]"), ("numeric", "null"), ("blob", "null")])]
+    assert held == ["a", "1.5", "00FF", None, None]
+    with pytest.raises(Exception, match="affinity"):
+        spark.createDataFrame([("[256]",)], "v string").select(C.column_value(F.try_parse_json("v"), "blob")).collect()
+
+
+def test_half_a_surrogate_pair_is_escaped(spark):
+    df = spark.createDataFrame([('{"a":"\\ud800","b":"\\ud83d\\ude00"}',)], "t string")
+    assert df.select(C.canonical_json(F.col("t"))).first()[0] == '{"a":"\\ud800","b":"\N{GRINNING FACE}"}'
+
+
+def test_empty_state():
+    contract = K.Contract({"t": K.TableContract(("id",), {"id": K.ColumnContract("text", False)})})
+    assert S.empty_state(contract) == {"schemaHash": contract.schema_hash, "tables": {"t": {}}}
 
 
 def test_request_rules_in_order(spark):

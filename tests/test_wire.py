@@ -22,3 +22,11 @@ def test_empty_page_round_trips(spark):
     entries = spark.createDataFrame([], "stream_id string, page long, sequence long, operation_id string, client_id string, client_sequence long, intent_hash string, operation string")
     row = W.decode_responses(W.encode_responses(pages, entries)).first()
     assert (row.through_sequence, row.head_sequence, row.sequence, row.error) == (5, 5, None, None)
+
+
+def test_decisions_that_are_neither_have_an_error_with_a_path(spark):
+    good = '{"protocolVersion":1,"streamId":"s","response":{"requestedBaseSequence":0,"throughSequence":0,"headSequence":9,"entries":[],"decisions":[{"operationId":"a","status":"accepted","sequence":7,"operation":{"x":1}},{"operationId":"b","status":"rejected","reason":{"code":"no"}}]}}'
+    rows = [("good", good), ("status", good.replace("rejected", "deferred")), ("sequence", good.replace('"sequence":7,', "")), ("text", "{")]
+    got = sorted((r.name, r.decision_ord, r.error, r.error_path, r.operation_id, r.operation, r.reason) for r in W.decode_decisions(spark.createDataFrame(rows, "name string, envelope string")).collect() if r.name != "text" or r.error)
+    assert got[0] == ("good", 0, None, None, "a", '{"x":1}', None) and got[1] == ("good", 1, None, None, "b", None, '{"code":"no"}')
+    assert [(n, i, e, p) for n, i, e, p, *_ in got[2:]] == [("sequence", 0, "wire-decode", "$.response.decisions[0]"), ("sequence", 1, None, None), ("status", 0, None, None), ("status", 1, "wire-decode", "$.response.decisions[1]"), ("text", None, "wire-decode", "$")]
