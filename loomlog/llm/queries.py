@@ -69,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licences": licenses.scan_sql(),
+    "op10_topk": mtree.search_sql(),
 }

@@ -61,7 +61,9 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Where the ``k`` best of each query (a number) stand, best first, ties to the
     smaller id."""
-    order = np.lexsort((ids, -scores, query))
+    # No long overflows in ~scores, which falls as they rise.
+    falling = ~scores if scores.dtype.kind == "i" else -scores
+    order = np.lexsort((ids, falling, query))
     sorted_query = query[order]
     start = np.searchsorted(sorted_query, sorted_query)
     return order[np.arange(len(order)) - start < k]

@@ -1,7 +1,11 @@
+from fractions import Fraction
+from math import floor
+
 import numpy as np
 import pytest
 
-from loomlog.llm import ann, mtree
+from loomlog.llm import ann, mtree, queries
+from tests.oracle import compare
 
 SCHEMA = "vec_id long, embedding array<float>, score string, v int"
 
@@ -47,14 +51,49 @@ def test_mtree_few_zero_large_and_empty(spark):
     assert mtree.search(empty).count() == 0 and ann.search(empty).count() == 0
 
 
+LARGE = [
+    {0: [1e30], 1: [-1.0], 2: [1.0]},
+    {0: [1 / 64], 1: [2.0**56], 2: [2.0**55]},
+    {0: [1e300, -1e300], 1: [1e300, 1e300], 2: [-1.0, 3.0], 3: [-1e308, -1e308], 20: [0.3, -0.2]},
+    {0: [3e9, 1.015625, -7e8], **{i: [float(i * 1e8), 0.3 * i, -2e9 / i] for i in range(1, 60)}},
+    {20 * i: [float((-1) ** i * 2.0**j) for j in range(i, i + 3)] for i in range(40)},
+]
+
+
+@pytest.mark.parametrize("x", LARGE)
+def test_mtree_is_exact_for_large_and_negative_scores(spark, monkeypatch, x):
+    monkeypatch.setattr(mtree, "PAGE", 4)
+    monkeypatch.setattr(mtree, "PART", 16)
+
+    def score(a, b):
+        whole = sum(floor(64 * Fraction(v)) * floor(64 * Fraction(w)) for v, w in zip(a, b))
+        return max(-(1 << 63), min((1 << 63) - 1, whole))
+
+    got = mtree.search(spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>"), k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(x, 5, 20, score)
+
+
+def test_mtree_equals_sql(spark):
+    compare(spark, "/root/testdata/sf0.001", queries.op10_topk, queries.ORACLE_SQL["op10_topk"])
+
+
+def test_clustered_vectors_take_few_lists(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(60, 16)) * 4
+    x = (centre[rng.integers(0, 60, 6_000)] + rng.normal(size=(6_000, 16))).astype(np.float32)
+    sample = x[::2].astype(float)
+    assert ann.Quantiser(sample, len(x)).share(sample, 20) < 0.2
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    want = brute(dict(enumerate(x)), 20, 20, dot)
+    assert len({(r.query_id, r.vec_id) for r in got} & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
+
+
 def dot(a, b):
     return float((a.astype(float) * b.astype(float)).sum())
 
 
 def test_ann_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST", 100)
     monkeypatch.setattr(ann, "ROWS", 200)
-    monkeypatch.setattr(ann, "ROWS_EACH", 30)
     monkeypatch.setattr(ann, "QUERIES", 20)
     rows, x = vectors()
     rows.append((777_780, [0.0] * 8, "x", 0))
