@@ -1,9 +1,12 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals' parts are fitted on a bounded
-sample; every row is indexed.  A query visits the lists nearest to it until they hold
-the wanted share of all rows, scores their codes from tables of its inner products with
-the codewords, and reranks the best of each part of the index by the exact measure.
+sample; every row is indexed.  The sample also tells how far a query must go: the share
+of the rows, in the lists nearest to it, that holds nearly all of the sample's true
+neighbours.  A query visits the lists nearest to it up to that share, scores their codes from
+tables of its inner products with the codewords, and reranks the best of each part of
+the index by the exact measure.  So clustered vectors take few lists, and vectors without
+structure, among which no list is near, take many.
 """
 
 from __future__ import annotations
@@ -16,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidy, written
 from .vectors import QUERIES, batches_of, binary, first_of_equal, lists, matrix, ranked, usable
 
-#: Rows that centroids and codebooks are fitted on, the first by a hash of the id.
-SAMPLE = 16_384
-#: Centroids at most, and rows for each; codewords of a part, and components of a part.
-CENTROIDS, ROWS_EACH, CODEWORDS, PART = 256, 64, 256, 2
-#: Share of all rows that a query scores, and rows at least; candidates that each part
-#: of the index reranks for it.
-SHARE, LEAST, RERANKED = 0.6, 2_000, 60
+#: Rows that centroids and codebooks are fitted on, about, the first by a hash of the id.
+SAMPLE = 32_768
+#: Centroids at most (else the square root of the rows), codewords of a part, and components of a part.
+CENTROIDS, CODEWORDS, PART = 2_048, 256, 2
+#: Of the sample: queries, and the share of their neighbours that the visited lists should hold.
+ASKED, HELD = 256, 0.96
+#: Candidates that each part of the index reranks for a query.
+RERANKED = 60
 #: Rows of a part of the index, about.
 ROWS = 8_192
 
@@ -48,12 +52,26 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 class Quantiser:
     def __init__(self, sample: np.ndarray, rows: int):
-        k = max(1, min(CENTROIDS, rows // ROWS_EACH, len(sample)))
+        k = max(1, min(CENTROIDS, int(np.sqrt(rows)), len(sample)))
         self.centroids = kmeans(sample, k)
         rest = sample - self.centroids[nearest(sample, self.centroids)]
         self.cuts = list(range(0, sample.shape[1], PART))
         self.books = [kmeans(rest[:, a : a + PART], CODEWORDS) for a in self.cuts]
 
+    def share(self, sample: np.ndarray, k: int) -> float:
+        """The share of all rows, by nearness of their lists, before the lists that hold
+        ``HELD`` of the ``k`` neighbours of some of the sample."""
+        q, near = sample[:ASKED], nearest(sample, self.centroids)
+        size = np.bincount(near, minlength=len(self.centroids)) / len(sample)
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        before = np.empty(order.shape)
+        np.put_along_axis(before, order, np.cumsum(size[order], axis=1) - size[order], axis=1)
+        scores = q @ sample.T
+        scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        true = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        found = np.take_along_axis(before, near[true], axis=1)
+        return float(np.quantile(found, HELD)) if found.size else 1.0
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = nearest(x, self.centroids)
         rest = x - self.centroids[near]
@@ -85,8 +103,13 @@ def search(
     total = rows.count()
     if not total:
         return ranked(spark.createDataFrame([], schema), k)
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-    quantiser = Quantiser(lists(picked.column(0).combine_chunks()), total)
+    place = F.xxhash64("id", F.lit(7))
+    picked = rows.where(F.pmod(place, F.lit(1 << 30)) < SAMPLE / total * (1 << 30)).select("v").toArrow()
+    if not picked.num_rows:
+        picked = rows.orderBy(place, "id").limit(1).select("v").toArrow()
+    sample = lists(picked.column(0).combine_chunks())
+    quantiser = Quantiser(sample, total)
+    share = quantiser.share(sample, k)
     shared = spark.sparkContext.broadcast(quantiser)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +120,7 @@ def search(
             yield pa.RecordBatch.from_arrays(columns, ["id", "v", "code", "list"])
 
     index = written(
-        first_of_equal(rows, k + 1).mapInArrow(encode, "id long, v binary, code binary, list int")
+        first_of_equal(rows, k + 1).mapInArrow(tidy(encode), "id long, v binary, code binary, list int")
     )
     held = {r.list: r.n for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
     counts = np.array([held.get(i, 0) for i in range(len(quantiser.centroids))])
@@ -124,14 +147,14 @@ def search(
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, splits, first, _ = layout.value
-        want = min(counts.sum(), max(LEAST, SHARE * counts.sum()))
+        want = share * counts.sum()
         for batch in batches_of(batches, 1024):
             q = lists(batch.column(1))
             order = np.argsort(-(q @ shared.value.centroids.T), axis=1, kind="stable")
             before = np.cumsum(counts[order], axis=1) - counts[order]
             which, part, chosen = [], [], []
             for i in range(len(q)):
-                near = order[i][before[i] < want]
+                near = order[i][before[i] <= want]
                 pieces = np.repeat(first[near], splits[near]) + np.concatenate([np.arange(s) for s in splits[near]])
                 at = part_of(pieces)
                 of = np.repeat(near, splits[near])
@@ -166,8 +189,8 @@ def search(
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.mapInArrow(visits, "id long, v binary, lists array<int>, part int").select("*", block)
-    entries = index.mapInArrow(dealt, "id long, v binary, code binary, list int, part int").withColumn(
+    asked = queries.mapInArrow(tidy(visits), "id long, v binary, lists array<int>, part int").select("*", block)
+    entries = index.mapInArrow(tidy(dealt), "id long, v binary, code binary, list int, part int").withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     return ranked(
