@@ -93,18 +93,16 @@ def normal(lines: pa.Array) -> tuple[pa.ListArray, pa.Array]:
 
 def bands(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = BANDS, rows: int = 3) -> np.ndarray:
     """MinHash bands (n x count, 32 bits) of the hashes from ``start`` to ``end`` of each
-    set; no set is empty."""
+    set; no set is empty, and the hashes end with one that belongs to none."""
     bounds = np.stack([start, end], axis=1).ravel()
     out = np.zeros((len(start), count), np.uint32)
     if not len(start):
         return out
-    distinct, at = np.unique(hashes, return_inverse=True)
-    at = np.append(at, 0)
+    factors = mixed(np.arange(1, count * rows + 1, dtype=np.uint64)) | np.uint64(1)
     for n in range(count):
         band = np.full(len(start), n, np.uint64)
-        for row in range(rows):
-            seed = np.uint64((n * rows + row + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            least = np.minimum.reduceat((mixed(distinct + seed) >> np.uint64(32)).astype(np.uint32)[at], bounds)[::2]
+        for factor in factors[n * rows : (n + 1) * rows]:
+            least = np.minimum.reduceat((hashes * factor >> np.uint64(32)).astype(np.uint32), bounds)[::2]
             band = mixed(band * np.uint64(0xBF58476D1CE4E5B9) + least)
         out[:, n] = band >> np.uint64(32)
     return out
@@ -160,7 +158,7 @@ def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
         return pa.array(out, pa.binary())
     hashes = np.frombuffer(digests, ">u8").astype(np.uint64)[flat.indices.to_numpy()]
     size = np.diff(at)[some]
-    of_pairs = bands(_pairs(hashes, at), at[:-1][some], at[:-1][some] + size - (size > 1))
+    of_pairs = bands(np.append(_pairs(hashes, at), np.uint64(0)), at[:-1][some], at[:-1][some] + size - (size > 1))
     for n, row in zip(some.tolist(), of_pairs):
         out[n] = row.tobytes()
     length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
@@ -258,7 +256,7 @@ def _alike(a: str, b: str) -> bool:
     allowed = (1 - SIMILAR) * most
     if abs(len(a) - len(b)) > allowed:
         return False
-    if most > 200:
+    if most > 40:
         v, w = a.split(" "), b.split(" ")
         longest = sorted(map(len, v + w), reverse=True)
         if sum(n + 1 for n in longest[: distance(v, w)]) <= allowed:
@@ -418,7 +416,12 @@ def links(source: DataFrame, distinct: DataFrame, wide: bool = False) -> DataFra
     return met_links(keyed, texts, reachable if wide else within_radius, _alike)
 
 
-def met_links(keyed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], close: Near, alike: Callable[[str, str], bool]) -> DataFrame:
+def met_links(
+    keyed: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    close: Near,
+    alike: Callable[[str, str], bool],
+) -> DataFrame:
     """Links ``a``, ``b`` between the texts that meet under a key (``key, number, bits``),
     have ``close`` bits and are ``alike``.
 
