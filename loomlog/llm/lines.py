@@ -94,15 +94,18 @@ def normal(lines: pa.Array) -> tuple[pa.ListArray, pa.Array]:
 def bands(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = BANDS, rows: int = 3) -> np.ndarray:
     """MinHash bands (n x count, 32 bits) of the hashes from ``start`` to ``end`` of each
     set; no set is empty, and the hashes end with one that belongs to none."""
-    bounds = np.stack([start, end], axis=1).ravel()
     out = np.zeros((len(start), count), np.uint32)
     if not len(start):
         return out
+    # What lies between two sets is cut off, so that each begins where the last one ends.
+    edges = np.bincount(start, minlength=len(hashes) + 1) - np.bincount(end, minlength=len(hashes) + 1)
+    hashes = hashes[np.cumsum(edges)[: len(hashes)] > 0]
+    first = np.cumsum(end - start) - (end - start)
     factors = mixed(np.arange(1, count * rows + 1, dtype=np.uint64)) | np.uint64(1)
     for n in range(count):
         band = np.full(len(start), n, np.uint64)
         for factor in factors[n * rows : (n + 1) * rows]:
-            least = np.minimum.reduceat((hashes * factor >> np.uint64(32)).astype(np.uint32), bounds)[::2]
+            least = np.minimum.reduceat((hashes * factor >> np.uint64(32)).astype(np.uint32), first)
             band = mixed(band * np.uint64(0xBF58476D1CE4E5B9) + least)
         out[:, n] = band >> np.uint64(32)
     return out
@@ -149,29 +152,27 @@ def within_radius(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
     """The bands of each line: those over its pairs of words, and, of a short line, over
     its trigrams (of bytes, with a space at both ends)."""
-    flat = words.flatten().dictionary_encode()
-    digests = b"".join(xxhash.xxh64_digest(w.encode()) for w in flat.dictionary.to_pylist())
     at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-    out: list[bytes] = [b""] * len(words)
+    found = np.zeros((len(words), 2 * BANDS), np.uint32)
+    filled = np.zeros(found.shape, bool)
     some = np.flatnonzero(np.diff(at))
-    if not len(some):
-        return pa.array(out, pa.binary())
-    hashes = np.frombuffer(digests, ">u8").astype(np.uint64)[flat.indices.to_numpy()]
-    size = np.diff(at)[some]
-    of_pairs = bands(np.append(_pairs(hashes, at), np.uint64(0)), at[:-1][some], at[:-1][some] + size - (size > 1))
-    for n, row in zip(some.tolist(), of_pairs):
-        out[n] = row.tobytes()
-    length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
-    short = some[length[some] <= SHORT]
-    if len(short):
-        padded = [b" " + t + b" " for t in text.take(pa.array(short)).cast(pa.binary()).to_pylist()]
-        data = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
-        grams = mixed((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) + np.uint64(1))
-        end = np.cumsum([len(t) for t in padded])
-        start = end - [len(t) for t in padded]
-        for n, row in zip(short.tolist(), bands(np.append(grams, grams[-1:]), start, end - 2)):
-            out[n] += row.tobytes()
-    return pa.array(out, pa.binary())
+    if len(some):
+        flat = words.flatten().dictionary_encode()
+        distinct = flat.dictionary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[flat.indices.to_numpy()]
+        size = np.diff(at)[some]
+        found[some, :BANDS] = bands(np.append(_pairs(hashes, at), np.uint64(0)), at[:-1][some], at[:-1][some] + size - (size > 1))
+        filled[some, :BANDS] = True
+        length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
+        short = some[length[some] <= SHORT]
+        data, ends = _bytes(pc.binary_join_element_wise(" ", text.take(pa.array(short)), " ", ""))
+        if len(short):
+            data = data.astype(np.uint64)
+            grams = mixed((data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]) + np.uint64(1))
+            found[short, BANDS:] = bands(np.append(grams, grams[-1:]), ends[:-1], ends[1:] - 2)
+            filled[short, BANDS:] = True
+    offsets = np.append(0, np.cumsum(4 * filled.sum(axis=1))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(found[filled])])
 
 
 def band_keys(distinct: DataFrame, width: int) -> DataFrame:
@@ -253,7 +254,7 @@ def _alike(a: str, b: str) -> bool:
     by word first: so many edits of words can't be more edits of characters than the
     longest words have."""
     most = max(len(a), len(b))
-    allowed = (1 - SIMILAR) * most
+    allowed = (1 - SIMILAR) * most + 1e-9
     if abs(len(a) - len(b)) > allowed:
         return False
     if most > 40:

@@ -27,6 +27,18 @@ def test_edit_similarity(a, b):
     assert lines._alike(a, b) == (lines.edit_similarity(a, b) >= 0.8)
 
 
+def test_similarity_of_just_the_limit():
+    assert lines._alike("abcde", "abcd") and lines._alike("abcde", "abcdx") and not lines._alike("abcd", "abcx")
+
+
+def test_signatures_are_of_each_line_alone():
+    text = pa.array(["", "one", "two words", "é ünd mehr wörter " * 9, "", "x y z", "last"])
+    words, form = lines.normal(text)
+    together = lines.signatures(words, form).to_pylist()
+    alone = [lines.signatures(*lines.normal(text.slice(n, 1))).to_pylist()[0] for n in range(len(text))]
+    assert together == alone and [len(t) for t in together] == [0, 128, 128, 64, 0, 128, 128]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["word", "other", "a", "longer-word"]), min_size=50, max_size=80), st.lists(st.tuples(st.integers(0, 49), st.sampled_from(["", "x", "different"])), max_size=30))
 def test_long_lines_compare_as_short_ones(words, changes):
