@@ -155,7 +155,8 @@ def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
     at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
     found = np.zeros((len(words), 2 * BANDS), np.uint32)
     filled = np.zeros(found.shape, bool)
-    some = np.flatnonzero(np.diff(at))
+    length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
+    some = np.flatnonzero(length)  # an empty line is given with an empty word
     if len(some):
         flat = words.flatten().dictionary_encode()
         distinct = flat.dictionary.cast(pa.binary()).to_pylist()
@@ -163,7 +164,6 @@ def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
         size = np.diff(at)[some]
         found[some, :BANDS] = bands(np.append(_pairs(hashes, at), np.uint64(0)), at[:-1][some], at[:-1][some] + size - (size > 1))
         filled[some, :BANDS] = True
-        length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
         short = some[length[some] <= SHORT]
         data, ends = _bytes(pc.binary_join_element_wise(" ", text.take(pa.array(short)), " ", ""))
         if len(short):

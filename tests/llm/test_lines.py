@@ -152,6 +152,11 @@ def test_empty_and_long(spark):
     assert got == {1: (long_line, 0), 2: ("x", 1)}
 
 
+def test_wide_without_a_word(spark):
+    df = spark.createDataFrame([(1, ""), (2, " \n\t"), (None, None)], "doc_id long, text string")
+    assert sorted((r.text or "?", r.lines_dropped) for r in lines.dedup(df, wide=True).collect()) == [(" \n\t", 0), ("?", 0), ("?", 0)]
+
+
 def edited(rng, line, share):
     """``line`` with so many of its words replaced, or a letter appended to one."""
     w = line.split()
