@@ -1,90 +1,132 @@
 """Licence recognition by sentences and rules, in built-in functions only.
 
 A text is cut into sentences; those with a legal word are normalised (lower case,
-letters and digits only) and mapped to the identifier of the known sentence that they
-begin with, or to ``?``.  The identifiers of a document, in order, are then matched
-against ordered rules, each a sequence that stands for a licence; what a rule matches is
-used up, so that a long form isn't found again in its short form.
+letters and digits only; what is licensed, and how it is said, becomes ``under``) and
+mapped to identifiers: whole sentences that name a licence to its name, sentences of a
+licence's text (which may go on after a whole word) to their own, any other to ``?``.  The
+identifiers of a document, in order, are then matched against ordered rules, each a
+sequence that stands for a licence; what a rule matches is used up, so that a long form
+isn't found again in its short form.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences, normalised: fixed values.
-SENTENCES = {
+#: Licences and the names under which they are granted, normalised: fixed values.
+LICENCES = {
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "gnu affero general public license v3 0", "gnu agpl v3", "agplv3", "agpl v3", "agpl 3 0"],
+    "AGPL-3.0-or-later": ["gnu affero general public license version 3 or later", "agplv3 or later", "agpl v3 or later"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0 license", "apache 2 0", "apache software license version 2 0"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "bsd 2 clause"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international license"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "cc0 1 0 universal license", "creative commons zero v1 0 universal license"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license v2 0", "eclipse public license 2 0"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu general public license v2 0", "gnu gpl v2", "gplv2", "gpl v2", "gpl 2 0"],
+    "GPL-2.0-or-later": ["gnu general public license version 2 or later", "gplv2 or later", "gpl v2 or later"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu general public license v3 0", "gnu gpl v3", "gplv3", "gpl v3", "gpl 3 0"],
+    "GPL-3.0-or-later": ["gnu general public license version 3 or later", "gplv3 or later", "gpl v3 or later"],
+    "ISC": ["isc license", "isc"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgplv2 1", "lgpl v2 1", "lgpl 2 1"],
+    "LGPL-2.1-or-later": ["gnu lesser general public license version 2 1 or later", "lgplv2 1 or later"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "gnu lesser general public license v3 0", "lgplv3", "lgpl v3", "lgpl 3 0"],
+    "LGPL-3.0-or-later": ["gnu lesser general public license version 3 or later", "lgplv3 or later"],
+    "MIT": ["mit license", "mit", "mit x11 license", "expat license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license v2 0", "mozilla public license 2 0"],
+    "Unlicense": ["unlicense"],
+    "Zlib": ["zlib license"],
+}
+
+#: Whole sentences of other meaning, normalised: fixed values.
+WHOLE = {
     "all-rights-reserved": "all rights reserved",
-    "apache-2-full": "licensed under the apache license version 2 0 the license",
-    "apache-2": "licensed under the apache license version 2 0",
+    "unlicense-grant": "this is free and unencumbered software released into the public domain",
+}
+
+#: Starts of sentences of the licences' texts, normalised: fixed values.
+SENTENCES = {
+    "agpl-3-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
     "apache-compliance": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at",
-    "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice",
+    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
-    "bsd-as-is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties",
-    "cc-by-4": "licensed under cc by 4 0",
-    "cc-by-nc-4": "licensed under cc by nc 4 0",
-    "cc-by-nc-nd-4": "licensed under cc by nc nd 4 0",
-    "cc-by-nc-sa-4": "licensed under cc by nc sa 4 0",
-    "cc-by-sa-4": "licensed under cc by sa 4 0",
+    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice",
     "copyright": "copyright",
     "gpl-2-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl-3": "this work is licensed under the gnu general public license version 3",
     "gpl-3-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
     "gpl-received": "you should have received a copy of the gnu general public license along with this program",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "released under the mit license",
-    "mit-title": "the mit license",
+    "lgpl-2.1-or-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "mit-as-is": "the software is provided as is without warranty of any kind",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-as-is": "the software is provided as is without warranty of any kind",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v",
-    "spdx-apache-2": "spdx license identifier apache 2 0",
-    "spdx-bsd-3": "spdx license identifier bsd 3 clause",
-    "spdx-gpl-3": "spdx license identifier gpl 3 0",
-    "spdx-mit": "spdx license identifier mit",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
 }
 
-#: Rules in order: sequences of sentences, and the licence they stand for; fixed values.
+#: Rules in order: sequences of identifiers, and the licence they stand for; fixed values.
 RULES = [
     (("gpl-3-or-later", "gpl-hope", "gpl-received"), "GPL-3.0-or-later"),
     (("gpl-2-or-later", "gpl-hope", "gpl-received"), "GPL-2.0-or-later"),
+    (("agpl-3-or-later",), "AGPL-3.0-or-later"),
     (("gpl-3-or-later",), "GPL-3.0-or-later"),
     (("gpl-2-or-later",), "GPL-2.0-or-later"),
-    (("gpl-3",), "GPL-3.0-only"),
-    (("apache-2-full", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"), "Apache-2.0"),
-    (("apache-2-full",), "Apache-2.0"),
-    (("apache-2",), "Apache-2.0"),
+    (("lgpl-2.1-or-later",), "LGPL-2.1-or-later"),
+    (("Apache-2.0", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"), "Apache-2.0"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"), "BSD-2-Clause"),
-    (("mit-title", "copyright", "mit-grant", "mit-notice", "mit-as-is"), "MIT"),
+    (("MIT", "copyright", "mit-grant", "mit-notice", "mit-as-is"), "MIT"),
     (("mit-grant", "mit-notice", "mit-as-is"), "MIT"),
-    (("mit-title",), "MIT"),
-    (("mit",), "MIT"),
     (("isc-grant", "mit-as-is"), "ISC"),
     (("mpl-2",), "MPL-2.0"),
-    (("cc-by-4",), "CC-BY-4.0"),
-    (("cc-by-nc-4",), "CC-BY-NC-4.0"),
-    (("cc-by-nc-nd-4",), "CC-BY-NC-ND-4.0"),
-    (("cc-by-nc-sa-4",), "CC-BY-NC-SA-4.0"),
-    (("cc-by-sa-4",), "CC-BY-SA-4.0"),
-    (("spdx-apache-2",), "Apache-2.0"),
-    (("spdx-bsd-3",), "BSD-3-Clause"),
-    (("spdx-gpl-3",), "GPL-3.0-only"),
-    (("spdx-mit",), "MIT"),
+    (("unlicense-grant",), "Unlicense"),
+    (("zlib-grant",), "Zlib"),
+    *(((name,), name) for name in LICENCES),
     (("all-rights-reserved",), "Proprietary"),
 ]
 
 #: A sentence without any of these is not a legal one; every known one has some.
-LEGAL = "licens|licenc|copyright|permission|warrant|redistribut|rights reserved|licensed under cc|law or agreed|any later version|hope that"
+LEGAL = (
+    "licens|licenc|copyright|permission|warrant|redistribut|rights reserved|law or agreed|any later version|hope that|unencumbered|gpl[- v]*[0-9]|cc0"
+    "|(?:released|distributed|published|available) under (?:the )?(?:mit|isc|apache|bsd|cc)(?:[^a-z]|$)"
+)
 #: A line that goes on in lower case is part of the sentence before.
 WRAPPED = r"([a-z,])\n([a-z(])"
 BETWEEN = r"[.!?]+[ \t\n\r\f]+|\n"
+#: What is licensed, and what is said after the licence's name.
+LEAD = (
+    "^(?:(?:it|this|(?:this|the|our|all|your) [a-z0-9 ]{1,60}) (?:is|are) )?(?:licensed|released|distributed|published|available|made available)"
+    " under (?:the terms of )?(?:the |an |a )?"
+)
+TAIL = "^(under .*) (?:the license|see (?:the )?license(?: file)?(?: for details)?)$"
+
+
+def whole() -> dict[str, list[str]]:
+    """The sentences that stand for each identifier as a whole: a licence granted, its
+    title and its tag."""
+    found = {}
+    for name, names in LICENCES.items():
+        titles = [n for n in names if "license" in n.split()]
+        tag = re.sub("[^a-z0-9]+", " ", name.lower())
+        tags = [tag] + [tag.removesuffix(" only")] * tag.endswith(" only")
+        found[name] = [f"under {n}" for n in names] + titles + [f"the {t}" for t in titles] + [f"spdx license identifier {t}" for t in tags]
+    return found | {name: [text] for name, text in WHOLE.items()}
 
 
 def by_length() -> list[tuple[str, str]]:
@@ -97,14 +139,19 @@ def identifiers(text: Column) -> Column:
     sentences = F.split(F.regexp_replace(text, WRAPPED, "$1 $2"), BETWEEN)
     legal = F.filter(sentences, lambda s: F.rlike(F.lower(s), F.lit(LEGAL)))
 
-    def known(sentence: Column) -> Column:
-        plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    def plain(sentence: Column) -> Column:
+        words = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+        return F.regexp_replace(F.regexp_replace(words, LEAD, "under "), TAIL, "$1")
+
+    def known(said: Column) -> Column:
         found = F.lit("<?>")
         for name, start in reversed(by_length()):
-            found = F.when(plain.startswith(start), F.lit(f"<{name}>")).otherwise(found)
+            found = F.when(F.startswith(F.concat(said, F.lit(" ")), F.lit(start + " ")), F.lit(f"<{name}>")).otherwise(found)
+        for name, texts in whole().items():
+            found = F.when(said.isin(texts), F.lit(f"<{name}>")).otherwise(found)
         return found
 
-    return F.array_join(F.transform(legal, known), "")
+    return F.array_join(F.transform(F.transform(legal, plain), known), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +188,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def scan_sql() -> str:
     """The same over ``documents`` in DuckDB's SQL."""
-    ladder = " ".join(f"WHEN starts_with(plain, '{text}') THEN '<{name}>'" for name, text in by_length())
+    exact = " ".join("WHEN plain IN (" + ", ".join(f"'{t}'" for t in texts) + f") THEN '<{name}>'" for name, texts in whole().items())
+    ladder = exact + " " + " ".join(f"WHEN starts_with(plain || ' ', '{text} ') THEN '<{name}>'" for name, text in by_length())
     steps = ["s0 AS (SELECT nr, doc_id, sentences, sentences AS rest, CAST([] AS VARCHAR[]) AS found FROM joined)"]
     for n, (seq, name) in enumerate(RULES):
         ids = "".join(f"<{s}>" for s in seq)
@@ -156,7 +204,7 @@ cut AS (
 ),
 sentence AS (SELECT nr, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM cut),
 legal AS (
-  SELECT nr, pos, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS plain
+  SELECT nr, pos, regexp_replace(regexp_replace(trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')), '{LEAD}', 'under '), '{TAIL}', '\\1') AS plain
   FROM sentence WHERE regexp_matches(lower(part), '{LEGAL}')
 ),
 known AS (SELECT nr, pos, CASE {ladder} ELSE '<?>' END AS id FROM legal),

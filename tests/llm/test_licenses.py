@@ -25,21 +25,29 @@ ROWS = [
     (6, "Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0!"), (7, GPL), (8, "All rights reserved"), (9, "Some odd licence text."),
     (10, 'Licensed under the Apache License, Version 2.0 (the "License"). x'), (10, "Licensed under the Apache License, Version 2.0."),
     (None, "SPDX-License-Identifier: MIT"), (11, "Licensed under CC BY-NC 4.0.\n" * 3000), (12, "ſpdx LICENSE É\x0b. Copyright"),
+    (13, "This project is licensed under the MIT License."), (14, "The MIT licensed code base is a licence nightmare."),
+    (15, "All rights reserved seats are licensed."), (16, "Released under the MIT licensees agreement."), (17, "SPDX-License-Identifier: LGPL-3.0-only"),
+    (18, "The source code of this tool is distributed under the terms of the GNU Affero General Public License, version 3."),
+    (19, "This is not licensed under the MIT License."), (20, "Released under CC0-1.0.\nLicensed under the GPLv2 or later."),
+    (21, "Copyright (c) 2020 Someone. All rights reserved."), (22, "the license" * 3000),
+    (23, "Released under MIT."), (24, "Published under CC-BY 4.0\nReleased under Iscariot."),
 ]
 WANT = {1: "", 2: "", 3: "", 4: "MIT", 5: "MIT", 6: "CC-BY-4.0,CC-BY-NC-4.0", 7: "GPL-3.0-or-later", 8: "Proprietary", 9: "", 11: "CC-BY-NC-4.0"}
+WANT |= {13: "MIT", 14: "", 15: "", 16: "", 17: "LGPL-3.0-only", 18: "AGPL-3.0-only", 19: "", 20: "CC0-1.0,GPL-2.0-or-later", 21: "Proprietary", 22: "", 23: "MIT", 24: "CC-BY-4.0"}
 
 
 def test_every_known_sentence_is_legal_and_normal():
-    for s in licenses.SENTENCES.values():
+    named = licenses.whole()
+    for s in [*licenses.SENTENCES.values(), *licenses.WHOLE.values(), *(t for name, texts in named.items() for t in texts if "licens" in t)]:
         assert re.search(licenses.LEGAL, s) and re.fullmatch(r"[a-z0-9]+( [a-z0-9]+)*", s)
-    assert all(s in licenses.SENTENCES for seq, _ in licenses.RULES for s in seq)
+    assert all(s in licenses.SENTENCES or s in named for seq, _ in licenses.RULES for s in seq)
 
 
 def test_recognises_and_equals_sql(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, text string, sentences string")
     got = licenses.scan(df).collect()
     of = {r.doc_id: r for r in got}
-    assert all(of[i].licences == w for i, w in WANT.items())
+    assert {i: of[i].licences for i in WANT} == WANT
     assert of[9].status == "unrecognised" and of[1].status == "none" and of[5].status == "recognised"
     db = duckdb.connect()
     db.register("documents", pa.table({"doc_id": [r[0] for r in ROWS], "text": [r[1] for r in ROWS]}))
