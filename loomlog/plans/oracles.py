@@ -187,7 +187,7 @@ SELECT * FROM v WHERE violation IS NOT NULL""",
 SELECT {_STATE} FROM upto WHERE n = 1 AND op = 'putRow'""",
     "state_point_lookup": _WITH + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND user_id = 7",
     "state_first_match": _WITH
-    + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND event_type = 'click' ORDER BY user_id LIMIT 1",
+    + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND event_type = 'click' ORDER BY CAST(user_id AS VARCHAR) LIMIT 1",
     "state_rows_ordered": _WITH + f"SELECT '[' || CAST(user_id AS VARCHAR) || ']' AS pk, {_STATE} FROM last WHERE nth = 1 AND op = 'putRow'",
     "tombstones": _WITH + "SELECT stream_id, user_id, sequence FROM last WHERE nth = 1 AND op = 'deleteRow'",
     "lww_lineitem_collisions": f"""
