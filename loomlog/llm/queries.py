@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, licenses, lines, mtree, packing, sharding, simhash, urls
+from . import ann, bpe, langid, licenses, lines, mtree, packing, sharding, simhash, urls, wavelet
 from .shared import table
 
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -54,6 +55,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_wavelet": op11_wavelet,
 }
 
 ORACLE_SQL: dict[str, str] = {
