@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, licenses, lines, mtree, packing, sharding, simhash, urls, wavelet
+from . import ann, bpe, langid, lexical, licenses, lines, mtree, packing, prefix_trie, sharding, simhash, urls, wavelet
 from .shared import table
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,14 @@ def op11_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -71,9 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
     "op11_wavelet": op11_wavelet,
+    "op12_lexical": op12_lexical,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licences": licenses.scan_sql(),
     "op10_topk": mtree.search_sql(),
+    "op12_lexical": lexical.rank_sql(),
+    "op13_prefix_trie": prefix_trie.trie_sql(),
 }
