@@ -23,6 +23,8 @@ from .shared import kept
 
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SPACE, LETTER, PLAIN, OTHER = 0, 1, 2, 3
+#: Pieces, of some bytes each, that a worker keeps the ids of.
+KNOWN = 1 << 20
 #: Kinds of bytes: ASCII white space, letters, other printable ASCII, and what may be either.
 KINDS = np.array([SPACE if b in b"\t\n\v\f\r " else OTHER if b < 32 or b > 126 else LETTER if chr(b).isalpha() else PLAIN for b in range(256)], np.uint8)
 
@@ -47,12 +49,14 @@ class LibraryBpe:
         self.special = {t["content"]: t["id"] for t in added}
         names = sorted(self.special, key=len, reverse=True)
         self.pattern = re.compile("|".join(map(re.escape, names)) or r"(?!)")
+        self._forget()
         self.arrow_pattern = "|".join(r"\Q" + s + r"\E" for s in names)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        size = np.fromiter((len(e) for e in found), np.int64, len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32, int(size.sum()))
+        listed = [e.ids for e in found]
+        size = np.fromiter(map(len, listed), np.int64, len(found))
+        ids = np.fromiter(itertools.chain.from_iterable(listed), np.uint32, int(size.sum()))
         return ids, np.concatenate([[0], np.cumsum(size)])
 
     def _ordinary(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +77,32 @@ class LibraryBpe:
         begins = np.flatnonzero(cut)
         ends = np.append(begins, len(data))
         pieces = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        ids, places = self._whole(pieces.dictionary.cast(pa.large_string()).to_pylist())
-        size = np.diff(places)
+        ids, start, size = self._pieces(pieces.dictionary)
         index = pieces.indices.to_numpy()
-        nth, end = ranges(places[index], size[index])
+        nth, end = ranges(start[index], size[index])
         return ids[nth], end[np.searchsorted(begins, at)]
 
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each piece's begin and how many they are.  Pieces of earlier texts are
+        known still, up to ``KNOWN`` of them."""
+        at = pc.index_in(pieces, self.known) if len(self.known) else pa.nulls(len(pieces), pa.int32())
+        new = pc.is_null(at)
+        more, places = self._whole(pieces.filter(new).cast(pa.large_string()).to_pylist())
+        first = len(self.known)
+        self.known = pa.concat_arrays([self.known, pieces.filter(new)])
+        self.ids = np.concatenate([self.ids, more])
+        self.places = np.concatenate([self.places, self.places[-1] + places[1:]])
+        number = at.fill_null(0).to_numpy().astype(np.int64)
+        fresh = new.to_numpy(zero_copy_only=False)
+        number[fresh] = first + np.arange(np.count_nonzero(fresh))
+        found = self.ids, self.places[number], self.places[number + 1] - self.places[number]
+        if len(self.known) > KNOWN:
+            self._forget()
+        return found
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.places = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's begin and the last's end.
         Null is an empty text."""

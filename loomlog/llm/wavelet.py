@@ -51,9 +51,10 @@ class WaveletMatrix:
     @staticmethod
     def of(ids: np.ndarray, width: int) -> WaveletMatrix:
         press = zstandard.ZstdCompressor(level=1)
+        ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, ones = [], np.zeros((width, -(-len(ids) // BLOCK) + 1), np.uint32)
         for k in range(width):
-            bit = (ids >> (width - 1 - k) & 1).astype(bool)
+            bit = (ids & ids.dtype.type(1 << (width - 1 - k))) != 0
             blocks = []
             for b in range(0, len(ids), BLOCK):
                 raw = np.packbits(bit[b : b + BLOCK]).tobytes()
@@ -61,7 +62,7 @@ class WaveletMatrix:
                 blocks.append(small if len(small) < len(raw) else raw)
                 ones[k, b // BLOCK + 1] = ones[k, b // BLOCK] + np.count_nonzero(bit[b : b + BLOCK])
             planes.append(blocks)
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([ids.compress(~bit), ids.compress(bit)])
         return WaveletMatrix(len(ids), planes, ones)
 
     def _bits(self, k: int, b: int) -> np.ndarray:
@@ -145,14 +146,14 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids: from the last plane up, each undoes its parting of zeros and ones."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for k in range(self.width - 1, -1, -1):
-            bit = np.concatenate([np.zeros(0, np.uint8), *(self._bits(k, b) for b in range(len(self.planes[k])))]).astype(bool)
+            bit = np.concatenate([np.zeros(0, np.uint8), *(self._bits(k, b) for b in range(len(self.planes[k])))]).view(bool)
             back = np.empty_like(out)
-            back[~bit] = out[: self.zeros[k]]
-            back[bit] = out[self.zeros[k] :] | np.uint32(1 << (self.width - 1 - k))
+            back[np.flatnonzero(~bit)] = out[: self.zeros[k]]
+            back[np.flatnonzero(bit)] = out[self.zeros[k] :] | out.dtype.type(1 << (self.width - 1 - k))
             out = back
-        return out
+        return out.astype(np.uint32)
 
 
 class Shard:
@@ -277,7 +278,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None, shar
         bpe = model(shared.value)
         out = _Writer(folder, int(max(bpe.count - 1, end_id or 0)).bit_length(), 1 << shard_bits)
         for batch in batches:
-            for part in slices(batch, 16):
+            for part in slices(batch, 8):
                 ids, at = bpe.encode_column(part.column(1))
                 if end_id is not None:
                     ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
