@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import BootstrapError
 from ..functions.canonical import fingerprint, json_blob, json_integer, json_numeric, json_object, json_real, json_string, primary_key, put_row
 from .contract import affinity_of
-from .numbering import number_densely
+from .numbering import number_balanced
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,7 @@ def operations(sources: Mapping[str, Source], tables: Sequence[str] | None = Non
 
 def history(sources: Mapping[str, Source], prefix: str, tables: Sequence[str] | None = None, log: DataFrame | None = None) -> DataFrame:
     """``sequence, table_name, pk, operation_id, intent_hash, operation``: a dense log
-    in the order of table and key.  Rows are numbered by table and first characters of
-    the key, so that no task sorts it all.  A ``log`` that has entries is refused."""
+    in the order of table and key.  A ``log`` that has entries is refused."""
     if log is not None and not log.isEmpty():
         raise BootstrapError("the log already has entries")
     rows = operations(sources, tables)
@@ -85,5 +84,4 @@ def history(sources: Mapping[str, Source], prefix: str, tables: Sequence[str] |
             "__all": F.lit(1),
         }
     )
-    bucket = F.struct("table_name", F.substring("pk", 1, 5))
-    return number_densely(rows, ["__all"], bucket, ["table_name", "pk"], "sequence").drop("__all")
+    return number_balanced(rows, ["__all"], ["table_name", "pk"], "sequence").drop("__all")

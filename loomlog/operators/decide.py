@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import number_densely
+from .numbering import number_balanced
 
 REPLAY, IDENTITY, INTENT, POSITION, NEW, REPEAT, ABORTED = (
     "replay",
@@ -28,10 +28,11 @@ REPLAY, IDENTITY, INTENT, POSITION, NEW, REPEAT, ABORTED = (
 CONFLICTS = (IDENTITY, INTENT, POSITION)
 
 
-def classify(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+def classify(proposals: DataFrame, decisions: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """``proposals`` with ``class`` and, for replays, the stored ``status`` and
     ``sequence``.  Operation ids and client positions are unique among the decisions of
-    a stream, so both joins keep one row a proposal."""
+    a stream, so both joins keep one row a proposal.  ``positions`` (``stream_id, client_id, client_sequence,
+    operation_id``) are those that the decisions hold, where these are kept apart."""
     by_id = decisions.select(
         F.col("stream_id").alias("__s"),
         F.col("operation_id").alias("__op"),
@@ -41,7 +42,7 @@ def classify(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
         F.col("status").alias("status"),
         F.col("sequence").alias("sequence"),
     )
-    by_position = decisions.select(
+    by_position = (decisions if positions is None else positions).select(
         F.col("stream_id").alias("__s2"),
         F.col("client_id").alias("__client2"),
         F.col("client_sequence").alias("__position2"),
@@ -97,17 +98,17 @@ def settle(batch: DataFrame, decisions: DataFrame, order: list[str], request: st
     return settled.select(*batch.columns, "class", "status", "sequence")
 
 
-def accept(judged: DataFrame, bucket: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
+def accept(judged: DataFrame, order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """The rows without a ``reason``, numbered on from their stream's head
-    (``stream_id, head_sequence``).  ``bucket`` as in ``number_densely``."""
+    (``stream_id, head_sequence``) in a total order."""
     rows, after = judged.where("reason is null"), None
     if heads is not None:
         rows = rows.join(heads.select("stream_id", F.col("head_sequence").alias("__head")), "stream_id", "left")
         after = "__head"
-    return number_densely(rows, ["stream_id"], bucket, order, "sequence", after).drop("__head")
+    return number_balanced(rows, ["stream_id"], order, "sequence", after).drop("__head")
 
 
-def decide(new: DataFrame, reason: Column, bucket: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
+def decide(new: DataFrame, reason: Column, order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """Decisions on new proposals: rejected where ``reason`` isn't null, the others
     accepted and numbered.  Rejections take no number."""
     rows, after = new.withColumn("reason", reason).withColumn("__accepted", F.col("reason").isNull()), None
@@ -115,7 +116,7 @@ def decide(new: DataFrame, reason: Column, bucket: Column, order: list[str], hea
         rows = rows.join(heads.select("stream_id", F.col("head_sequence").alias("__head")), "stream_id", "left")
         after = "__head"
     # Accepted and rejected rows are numbered apart in one pass.
-    numbered = number_densely(rows, ["stream_id", "__accepted"], bucket, order, "__number", after)
+    numbered = number_balanced(rows, ["stream_id", "__accepted"], order, "__number", after)
     return numbered.select(
         *new.columns,
         "reason",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import fingerprint, json_integer, json_object, json_string, put_row
 from ..operators import decide as D
-from ..operators.numbering import number_densely
+from ..operators.numbering import number_balanced
 from ..operators.pages import heads
 from .stored import stored
 
@@ -23,7 +23,7 @@ def proposals(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataF
     which takes a numbering that not every query needs."""
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     if positions:
-        rows = number_densely(rows, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], "client_sequence")
+        rows = number_balanced(rows, ["user_id"], ["ts", "event_id"], "client_sequence")
     put = F.col("event_type") != "error"
     col_type = F.when(F.col("event_id") % 17 != 0, F.col("event_type"))
     row = json_object({"event_type": json_string(col_type), "user_id": json_integer(F.col("user_id"))})
@@ -51,12 +51,12 @@ def reason() -> Column:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.decide(proposals(spark, sf_dir), reason(), F.date_trunc("day", "ts"), ["ts", "event_id"])
+    return D.decide(proposals(spark, sf_dir), reason(), ["ts", "event_id"])
 
 
 def log(spark: SparkSession, sf_dir: str, positions: bool = True) -> DataFrame:
     judged = proposals(spark, sf_dir, positions).withColumn("reason", reason())
-    return D.accept(judged, F.date_trunc("day", "ts"), ["ts", "event_id"])
+    return D.accept(judged, ["ts", "event_id"])
 
 
 def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:

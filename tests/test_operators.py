@@ -14,7 +14,7 @@ from loomlog.operators import normalize as N
 from loomlog.operators import replica as R
 from loomlog.operators import snapshot as S
 from loomlog.operators import validate as V
-from loomlog.operators.numbering import number_densely
+from loomlog.operators.numbering import number_balanced
 
 CATALOGUE = "table_name string, cid int, name string, type string, notnull boolean, pk int, hidden int"
 
@@ -96,7 +96,7 @@ LOG = "stream_id string, ord long, operation_id string, op string, table_name st
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_window_state_equals_fold(spark, seed):
     rows = operations(seed)
-    df = number_densely(spark.createDataFrame(rows, LOG), ["stream_id"], F.floor(F.col("ord") / 37), ["ord"], "sequence")
+    df = number_balanced(spark.createDataFrame(rows, LOG), ["stream_id"], ["ord"], "sequence")
     heads, state, as_of = {}, {}, {}
     for s, _, _, op, t, pk, v in rows:
         heads[s] = heads.get(s, 0) + 1
@@ -117,7 +117,7 @@ def test_retries_replay_and_conflicts(spark):
     schema = "stream_id string, client_id string, client_sequence long, operation_id string, intent_hash string, ord long, delta int"
     first = spark.createDataFrame([("s", "a", 1, "o1", "h1", 1, 2), ("s", "a", 2, "o2", "h2", 2, 0), ("s", "b", 1, "o3", "h3", 3, 3)], schema)
     reason = F.when(F.col("delta") == 0, "zero-delta")
-    done = D.decide(first, reason, F.lit(0), ["ord"])
+    done = D.decide(first, reason, ["ord"])
     assert {r.operation_id: (r.status, r.sequence) for r in done.collect()} == {"o1": ("accepted", 1), "o2": ("rejected", None), "o3": ("accepted", 2)}
     again = spark.createDataFrame(
         [("s", "a", 1, "o1", "h1", 4, 2), ("s", "a", 2, "o2", "h2", 5, 0), ("s", "a", 9, "o1", "h1", 6, 2), ("s", "a", 1, "o1", "hx", 7, 2), ("s", "a", 1, "o9", "h9", 8, 1), ("s", "a", 3, "o8", "h8", 9, 1), ("t", "a", 1, "o1", "h1", 10, 1)],
@@ -179,7 +179,7 @@ def test_a_batch_is_held_against_itself(spark):
     assert got == {1: "new", 2: D.POSITION, 3: D.IDENTITY, 4: D.INTENT, 5: "repeat", 6: "new", 7: "new", 8: "new"}
     got = {r.ord: r["class"] for r in D.settle(batch, none, ["ord"], "request").collect()}
     assert got == {1: "new", 2: D.POSITION, 3: D.IDENTITY, 4: D.INTENT, 5: "repeat", 6: "new", 7: "aborted", 8: "new"}
-    done = D.decide(batch.where("ord = 1"), F.lit(None).cast("string"), F.lit(0), ["ord"])
+    done = D.decide(batch.where("ord = 1"), F.lit(None).cast("string"), ["ord"])
     got = {r.ord: (r["class"], r.sequence) for r in D.settle(batch, done, ["ord"]).collect()}
     assert got[5] == ("replay", 1) and got[2] == (D.POSITION, None)
 
