@@ -10,11 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .validate import PROPOSALS
+from .validate import PROPOSALS, identity_ok, sequence_ok
 
 REPLICA = ["stream_id", "client_id"]
 
 
+def new_replicas(clients: DataFrame) -> DataFrame:
+    """A replica without history for each ``stream_id, client_id``, once: ``confirmed_sequence, retained_base`` 0 and
+    ``next_client_sequence`` 1, or what a column of that name says.  An empty id, or a next sequence that isn't one, raises."""
+    first = F.coalesce("next_client_sequence", F.lit(1)) if "next_client_sequence" in clients.columns else F.lit(1)
+    rows = clients.select(*REPLICA, first.cast("long").alias("next_client_sequence")).groupBy(*REPLICA).agg(F.max("next_client_sequence").alias("next_client_sequence"))
+    whole = identity_ok(*(F.col(c) for c in REPLICA)) & sequence_ok(F.col("next_client_sequence"), 1)
+    next_ = F.when(whole, F.col("next_client_sequence")).otherwise(F.raise_error(F.lit("a replica needs ids and a client sequence")))
+    zero = F.lit(0).cast("long")
+    return rows.select(*REPLICA, next_.alias("next_client_sequence"), zero.alias("confirmed_sequence"), zero.alias("retained_base"))
+
+
 def enqueue(operations: DataFrame, replicas: DataFrame, outbox: DataFrame, retained: DataFrame, order: list[str]) -> DataFrame:
     """Operations as pending outbox rows with their client sequences; those whose id is
     in the retained log or the outbox have ``duplicate`` and no sequence."""

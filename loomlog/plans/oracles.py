@@ -289,6 +289,120 @@ a AS (
 )
 SELECT operation_id, variant, CASE WHEN found IN ('new', 'repeat') AND max(found LIKE '%conflict') OVER (PARTITION BY stream_id, client_id) THEN 'aborted' ELSE found END AS class,
   CASE WHEN found = 'replay' THEN status END AS status, CASE WHEN found = 'replay' THEN sequence END AS sequence FROM c""",
+    "decide_requests_atomic": _WITH.replace("WITH raw", "WITH RECURSIVE raw", 1)
+    + """, batch AS (
+  SELECT stream_id, operation_id, client_id, client_sequence, intent_hash, event_id, 0 AS variant FROM prop WHERE event_id % 2 = 0
+  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence, 'changed', event_id, 1 FROM prop WHERE event_id % 101 = 0
+  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence + 1, intent_hash, event_id, 2 FROM prop WHERE event_id % 103 = 0
+  UNION ALL SELECT stream_id, operation_id || '-x', client_id, client_sequence, intent_hash, event_id, 3 FROM prop WHERE event_id % 107 = 0
+  UNION ALL SELECT stream_id, operation_id || '-y', client_id || '-n', client_sequence, intent_hash, event_id, 4 FROM prop WHERE event_id % 109 = 0
+), known AS (SELECT * FROM dec WHERE event_id % 5 = 0),
+a AS (
+  SELECT b.*, b.client_id || '-' || variant || '-' || CAST(b.client_sequence // 8 AS VARCHAR) AS request_id, d.status, d.sequence, CASE
+    WHEN d.operation_id IS NOT NULL AND (d.client_id <> b.client_id OR d.client_sequence <> b.client_sequence) THEN 'operation-identity-conflict'
+    WHEN d.operation_id IS NOT NULL AND d.intent_hash <> b.intent_hash THEN 'operation-intent-conflict'
+    WHEN d.operation_id IS NOT NULL THEN 'replay' WHEN p.operation_id IS NOT NULL THEN 'client-sequence-conflict' ELSE 'new' END AS class
+  FROM batch b LEFT JOIN known d ON b.stream_id = d.stream_id AND b.operation_id = d.operation_id
+  LEFT JOIN known p ON b.stream_id = p.stream_id AND b.client_id = p.client_id AND b.client_sequence = p.client_sequence
+), r AS (
+  SELECT stream_id, request_id, row_number() OVER (PARTITION BY stream_id ORDER BY min(event_id * 8 + variant)) AS n, bool_or(class LIKE '%conflict') AS lost
+  FROM a GROUP BY 1, 2
+), b AS (SELECT a.*, r.n, r.lost FROM a JOIN r ON a.stream_id = r.stream_id AND a.request_id = r.request_id),
+clash AS (
+  SELECT DISTINCT x.stream_id, x.n, y.n AS other FROM b x JOIN b y ON x.stream_id = y.stream_id AND y.n < x.n AND x.class = 'new' AND y.class = 'new' AND NOT x.lost AND NOT y.lost
+    AND x.operation_id = y.operation_id AND (x.client_id, x.client_sequence, x.intent_hash) <> (y.client_id, y.client_sequence, y.intent_hash)
+  UNION SELECT DISTINCT x.stream_id, x.n, y.n FROM b x JOIN b y ON x.stream_id = y.stream_id AND y.n < x.n AND x.class = 'new' AND y.class = 'new' AND NOT x.lost AND NOT y.lost
+    AND x.client_id = y.client_id AND x.client_sequence = y.client_sequence AND x.operation_id <> y.operation_id
+), met AS (
+  SELECT stream_id, n, list(other) AS others, row_number() OVER (PARTITION BY stream_id ORDER BY n) AS k FROM clash GROUP BY 1, 2
+), step(stream_id, k, refused) AS (
+  SELECT stream_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r GROUP BY 1
+  UNION ALL
+  SELECT s.stream_id, m.k, CASE WHEN len(list_filter(m.others, lambda o: NOT list_contains(s.refused, o))) > 0 THEN list_append(s.refused, m.n) ELSE s.refused END
+  FROM step s JOIN met m ON m.stream_id = s.stream_id AND m.k = s.k + 1
+), fate AS (
+  SELECT r.*, r.lost OR list_contains(e.refused, r.n) AS refused FROM r JOIN (SELECT stream_id, arg_max(refused, k) AS refused FROM step GROUP BY 1) e ON e.stream_id = r.stream_id
+), c AS (SELECT b.*, f.refused FROM b JOIN fate f ON f.stream_id = b.stream_id AND f.n = b.n),
+ok AS (SELECT * FROM c WHERE class = 'new' AND NOT refused),
+told AS (
+  SELECT c.*, CASE WHEN c.class LIKE '%conflict' THEN c.class
+    WHEN c.class = 'new' AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n AND (ok.client_id <> c.client_id OR ok.client_sequence <> c.client_sequence)) THEN 'operation-identity-conflict'
+    WHEN c.class = 'new' AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n AND ok.intent_hash <> c.intent_hash) THEN 'operation-intent-conflict'
+    WHEN c.class = 'new' AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n)
+      AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.client_id = c.client_id AND ok.client_sequence = c.client_sequence AND ok.operation_id <> c.operation_id AND ok.n < c.n) THEN 'client-sequence-conflict'
+    END AS why
+  FROM c
+), v AS (
+  SELECT *, CASE WHEN refused AND event_id = min(CASE WHEN why IS NOT NULL THEN event_id END) OVER (PARTITION BY stream_id, n) THEN why
+    WHEN refused THEN 'aborted' WHEN class = 'replay' THEN 'replay'
+    WHEN row_number() OVER (PARTITION BY stream_id, operation_id, class, refused ORDER BY n, event_id) = 1 THEN 'new' ELSE 'repeat' END AS verdict
+  FROM told
+), made AS (
+  SELECT stream_id, operation_id, CASE WHEN event_id % 6 = 4 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN event_id % 6 = 4 THEN 'sixth' END AS reason,
+    CASE WHEN event_id % 6 <> 4 THEN coalesce(h.head, 0) + row_number() OVER (PARTITION BY v.stream_id, event_id % 6 = 4 ORDER BY n, event_id) END AS sequence
+  FROM v LEFT JOIN (SELECT stream_id AS s, max(sequence) AS head FROM known GROUP BY 1) h ON h.s = v.stream_id WHERE verdict = 'new'
+)
+SELECT request_id, v.operation_id, variant, verdict AS class, CASE WHEN verdict = 'replay' THEN v.status ELSE m.status END AS status,
+  CASE WHEN verdict = 'replay' THEN v.sequence ELSE m.sequence END AS sequence, m.reason
+FROM v LEFT JOIN made m ON m.stream_id = v.stream_id AND m.operation_id = v.operation_id AND verdict IN ('new', 'repeat')""",
+    "merge_responses": _WITH
+    + """, rep AS (
+  SELECT DISTINCT l.stream_id, l.client_id, CAST(l.user_id AS INTEGER) AS u, h.head_sequence AS head, h.confirmed_sequence AS c,
+    CASE WHEN l.user_id % 23 = 5 THEN h.confirmed_sequence + 5 ELSE greatest(h.confirmed_sequence - 10, 0) END AS base
+  FROM log l JOIN head h ON l.stream_id = h.stream_id
+), bad AS (
+  SELECT r.*, CASE WHEN base > c THEN 'log-gap: expected ' || (c + 1) || ', received ' || (base + 1)
+    WHEN u % 17 = 3 AND EXISTS (SELECT 1 FROM outbox o WHERE o.stream_id = r.stream_id AND o.client_id = r.client_id AND o.event_id % 4 = 1) THEN 'decision-conflict'
+    WHEN u % 19 = 4 AND EXISTS (SELECT 1 FROM log l WHERE l.stream_id = r.stream_id AND l.sequence > r.base AND l.sequence <= r.c AND l.sequence % 5 = 0) THEN 'log-divergence: origin intentHash differs'
+    END AS detail, least(head, base + 256) AS through
+  FROM rep r
+), box AS (
+  SELECT o.stream_id, o.client_id, o.operation_id, o.status, o.sequence, o.event_id % 4 < 2 AS told, b.detail, b.through
+  FROM outbox o JOIN bad b ON b.stream_id = o.stream_id AND b.client_id = o.client_id
+)
+SELECT stream_id, client_id, 'conflict' AS kind, detail, CAST(NULL AS VARCHAR) AS operation_id, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS sequence FROM bad WHERE detail IS NOT NULL
+UNION ALL SELECT stream_id, client_id, 'replica', NULL, NULL, CASE WHEN through >= head THEN 'caught-up' ELSE 'behind' END, through FROM bad WHERE detail IS NULL
+UNION ALL SELECT stream_id, client_id, 'outbox', NULL, operation_id, CASE WHEN detail IS NULL AND told THEN 'accepted' ELSE status END,
+  CASE WHEN detail IS NULL AND told OR status = 'accepted' THEN sequence END FROM box WHERE detail IS NOT NULL OR sequence > through
+UNION ALL SELECT stream_id, client_id, 'resolution', NULL, operation_id, 'accepted', sequence FROM box WHERE detail IS NULL AND status = 'pending' AND (told OR sequence <= through)
+UNION ALL SELECT b.stream_id, b.client_id, 'entry', NULL, l.operation_id, NULL, l.sequence FROM bad b JOIN log l ON l.stream_id = b.stream_id AND l.sequence > b.c AND l.sequence <= b.through WHERE b.detail IS NULL""",
+    "replica_new": """SELECT DISTINCT 's' || CAST(user_id % 10 AS VARCHAR) AS stream_id, 'c' || CAST(user_id AS VARCHAR) AS client_id, CAST(1 AS BIGINT) AS next_client_sequence,
+  CAST(0 AS BIGINT) AS confirmed_sequence, CAST(0 AS BIGINT) AS retained_base FROM events""",
+    "optimistic_by_replica": _WITH
+    + """, rep AS (SELECT DISTINCT l.stream_id, l.client_id, h.confirmed_sequence FROM log l JOIN head h ON l.stream_id = h.stream_id WHERE l.stream_id IN ('s1', 's2')),
+both_ AS (
+  SELECT r.stream_id, r.client_id, user_id, sequence, event_type, op, 0 AS layer, sequence AS ord FROM rep r JOIN log l ON l.stream_id = r.stream_id AND l.sequence <= r.confirmed_sequence
+  UNION ALL SELECT stream_id, client_id, user_id, sequence, event_type, op, 1, client_sequence FROM outbox WHERE stream_id IN ('s1', 's2')
+), n AS (SELECT *, row_number() OVER (PARTITION BY stream_id, client_id, user_id ORDER BY layer DESC, ord DESC) AS nth FROM both_)
+SELECT stream_id, client_id, user_id, sequence, event_type FROM n WHERE nth = 1 AND op = 'putRow'""",
+    "wire_decode_errors": _WITH
+    + """, req AS (
+  SELECT client_id || '-' || CAST(CAST(floor((client_sequence - 1) / 64) AS BIGINT) AS VARCHAR) AS request_id, any_value(user_id) % 13 AS kind, count(*) > 40 AS large FROM prop GROUP BY 1
+), e AS (
+  SELECT request_id, CASE WHEN kind = 7 THEN 'wire-decode $' WHEN kind = 0 THEN 'unsupported-protocol-version $.protocolVersion' WHEN kind = 1 THEN 'wire-decode $.streamId'
+    WHEN large THEN 'protocol-limit $.request.proposals'
+    WHEN kind = 5 THEN 'wire-decode $.request.proposals[0].clientSequence' WHEN kind = 6 THEN 'wire-decode $.request.proposals[0].intentHash'
+    WHEN kind = 8 THEN 'wire-decode $.request.proposals[0].operationId' WHEN kind = 10 THEN 'wire-decode $.request.proposals[0].intent'
+    WHEN kind = 2 THEN 'wire-decode $.request.baseSequence' WHEN kind = 3 THEN 'invalid-sequence $.request.baseSequence' WHEN kind = 4 THEN 'invalid-limit $.request.maximumEntries'
+    WHEN kind = 9 THEN 'invalid-sequence $.request.proposals[0].clientSequence' END AS error FROM req
+)
+SELECT request_id, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 1) END AS code, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 2) END AS path FROM e""",
+    "wire_response_errors": _WITH
+    + ", "
+    + _PAGES.format(log="log")
+    + """, e AS (
+  SELECT stream_id, page, page % 5 AS kind, entries FROM page
+), f AS (
+  SELECT *, CASE WHEN kind = 1 AND entries > 3 THEN 'malformed-response $.response.entries' WHEN kind = 2 AND entries > 7 THEN 'wire-decode $.response.entries[7].origin.clientId'
+    WHEN kind = 3 AND entries > 9 THEN 'malformed-response $.response.entries[9].operationId' WHEN kind = 4 AND entries > 2 THEN 'invalid-sequence $.response.entries[2].origin.clientSequence' END AS error FROM e
+)
+SELECT stream_id, page, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 1) END AS code, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 2) END AS path FROM f""",
+    "normalize_deletes": """WITH e AS (
+  SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 OR conv_id % 7 = 0 THEN 'conversations: key must have exactly the key columns'
+    WHEN turn % 3 = 1 THEN 'conversations.turn must be integer' END AS message FROM conversations
+)
+SELECT conv_id, turn, 'deleteRow' AS op, CASE WHEN message IS NULL THEN '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || '}' END AS body,
+  CASE WHEN message IS NOT NULL THEN 'invalid-row-operation' END AS code, message FROM e""",
     "normalized_rows": """SELECT conv_id, turn, '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"note":null}' AS body
 FROM conversations WHERE role IS NOT NULL""",
     "wire_decisions_roundtrip": _WITH

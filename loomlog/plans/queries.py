@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical as C
@@ -12,11 +12,13 @@ from ..operators import bootstrap as B
 from ..operators import contract as K
 from ..operators import decide as D
 from ..operators import materialize as M
+from ..operators import merge as G
 from ..operators import normalize as N
 from ..operators import pages as P
 from ..operators import replica as R
+from ..operators import requests as Q
 from ..operators import validate as V
-from ..operators.numbering import number_densely
+from ..operators.numbering import number_balanced
 from ..sources import tables as T
 from ..sources import wire as W
 from ..sources.stored import stored
@@ -87,10 +89,10 @@ def decisions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def continued_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The odd events decided after the even ones: numbers go on from the heads."""
     rows = T.proposals(spark, sf_dir)
-    day, order = F.date_trunc("day", "ts"), ["ts", E_ID]
-    first = D.decide(rows.where(F.col(E_ID) % 2 == 0), T.reason(), day, order)
+    order = ["ts", E_ID]
+    first = D.decide(rows.where(F.col(E_ID) % 2 == 0), T.reason(), order)
     heads = P.heads(first.where("status = 'accepted'"))
-    then = D.decide(rows.where(F.col(E_ID) % 2 == 1), T.reason(), day, order, heads)
+    then = D.decide(rows.where(F.col(E_ID) % 2 == 1), T.reason(), order, heads)
     return first.unionByName(then).where("status = 'accepted'").select("stream_id", "sequence", "operation_id")
 
 
@@ -152,6 +154,22 @@ def decide_batch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("operation_id", "variant", "class", "status", "sequence")
 
 
+@query
+def decide_requests_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts in requests of up to eight positions, held against decisions on a fifth of the
+    events: one conflict refuses a request, and what it named is free again."""
+    rows = T.stored_decisions(spark, sf_dir)
+    eighth = F.floor(F.col("client_sequence") / 8).cast("string")
+    batch = _attempts(rows).withColumns(
+        {"request_id": F.concat_ws("-", "client_id", "variant", eighth), "proposal_ord": F.col(E_ID), "base_sequence": F.lit(0)}
+    )
+    first = F.min(F.col(E_ID) * 8 + F.col("variant")).over(Window.partitionBy("stream_id", "request_id"))
+    known = rows.where(F.col(E_ID) % 5 == 0)
+    reason = F.when(F.col(E_ID) % 6 == 4, "sixth")
+    told = Q.decide_requests(batch.withColumn("request_ord", first), known, reason, P.heads(known))
+    return told.select("request_id", "operation_id", "variant", "class", "status", "sequence", "reason")
+
+
 @query
 def stateful_decide_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule that needs state: purchases are rejected until their stream has a signup."""
@@ -389,6 +407,23 @@ def normalize_row_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalize(intents, _contract()).select("conv_id", "turn", "op", "error")
 
 
+@query
+def normalize_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes of conversation turns, some by a key that lacks a column, has one too many or one of another
+    type, and the reason of those that are rejected."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    key = {"conv_id": C.json_integer(conv), "turn": C.json_integer(turn)}
+    body = (
+        F.when(conv % 5 == 0, C.json_object({"conv_id": key["conv_id"]}))
+        .when(conv % 7 == 0, C.json_object(key | {"role": F.lit('"user"')}))
+        .when(turn % 3 == 1, C.json_object(key | {"turn": C.json_string(turn)}))
+        .otherwise(C.json_object(key))
+    )
+    intents = T.table(spark, sf_dir, "conversations").select("conv_id", "turn", C.delete_row(F.lit("conversations"), body).alias("intent"))
+    found = N.normalize(intents, _contract()).withColumn("reason", N.rejection(F.col("error")))
+    return found.select("conv_id", "turn", "op", "body", F.col("reason.code").alias("code"), F.col("reason.message").alias("message"))
+
+
 @query
 def normalized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without their nullable column, in the contract's order."""
@@ -451,6 +486,50 @@ def merge_newly_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.newly_resolved(T.outbox(entries), _next_page(entries)).select("client_id", "operation_id", "resolved_sequence")
 
 
+def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Replicas that keep their last 20 entries, and for each the response that begins ten before what it has
+    confirmed, with decisions on half of its outbox.  Some replicas' responses begin too late, some decisions
+    name another sequence, and some replicas keep other entries than the authority's."""
+    entries = stored(T.stored_log(spark, sf_dir).withColumn("operation", F.col("op")))
+    user = F.substring("client_id", 2, 9).cast("int")
+    at = F.col("confirmed_sequence")
+    start = F.when(user % 23 == 5, at + 5).otherwise(F.greatest(at - 10, F.lit(0)))
+    replicas = stored(T.replicas(entries).withColumns({"retained_base": F.greatest(at - 20, F.lit(0)), "base_sequence": start}))
+    log = entries.withColumnRenamed("client_id", "origin_client").drop("status")
+    mine = replicas.select("stream_id", "client_id", "confirmed_sequence", "retained_base", "base_sequence")
+    every = log.join(mine, "stream_id")
+    odd = F.when((user % 19 == 4) & (F.col("sequence") % 5 == 0), "odd").otherwise(F.col("intent_hash"))
+    retained = every.where("sequence > retained_base and sequence <= confirmed_sequence").withColumn("intent_hash", odd)
+    page = every.where("sequence > base_sequence and sequence <= base_sequence + 256")
+    box = stored(T.outbox(entries).drop("confirmed_sequence"))
+    moved = F.col("sequence") + F.when((user % 17 == 3) & (F.col(E_ID) % 4 == 1), 1).otherwise(0)
+    told = box.where(F.col(E_ID) % 4 < 2).withColumns({"decision_ord": F.col("client_sequence"), "status": F.lit("accepted"), "sequence": moved})
+    placed = {c: F.when(F.col("status") == "accepted", F.col(c)) for c in ("sequence", "operation")}
+    return replicas, box.withColumns(placed), retained, replicas.select("stream_id", "client_id", "base_sequence", "head_sequence"), told, page
+
+
+@query
+def merge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = G.merge_responses(*_responses(spark, sf_dir))
+    return merged.select("stream_id", "client_id", "kind", "detail", "operation_id", "status", "sequence")
+
+
+@query
+def replica_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica for each client that has proposed anything."""
+    return R.new_replicas(T.proposals(spark, sf_dir, positions=False))
+
+
+@query
+def optimistic_by_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each client of two streams sees: its stream as far as it has confirmed, and its own outbox on top."""
+    entries = stored(T.stored_log(spark, sf_dir).where(F.col("stream_id").isin("s1", "s2")))
+    replicas = T.replicas(entries)
+    confirmed = M.of_replicas(entries, replicas)
+    seen = M.optimistic(confirmed, T.outbox(entries).drop("confirmed_sequence"), ["stream_id", "client_id", "table_name", "pk"])
+    return seen.select("stream_id", "client_id", "user_id", "sequence", "event_type")
+
+
 @query
 def replica_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_ = T.stored_decisions(spark, sf_dir)
@@ -500,6 +579,50 @@ def wire_request_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("request_id", "stream_id", F.col("proposal_ord").cast("long"), "operation_id", "client_id", "client_sequence", "intent_hash", "intent")
 
 
+@query
+def wire_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of which most are broken, each kind of client in its own way; with a limit of 40 proposals."""
+    rows = _requests(T.proposals(spark, sf_dir)).withColumns(
+        {"proposal_ord": F.col("client_sequence"), "base_sequence": F.lit(0), "maximum_entries": F.lit(V.ENTRIES), "intent": F.lit("{}")}
+    )
+    text, kind = F.col("envelope"), F.regexp_extract("request_id", r"^c(\d+)-", 1).cast("int") % 13
+    first = F.regexp_extract(text, r'"clientSequence":(\d+)', 1)
+    broken = (
+        F.when(kind == 0, F.replace(text, F.lit('"protocolVersion":1'), F.lit('"protocolVersion":2')))
+        .when(kind == 1, F.regexp_replace(text, r'"streamId":"[^"]*"', '"streamId":""'))
+        .when(kind == 2, F.replace(text, F.lit('"baseSequence":0'), F.lit('"baseSequence":"0"')))
+        .when(kind == 3, F.replace(text, F.lit('"baseSequence":0'), F.lit('"baseSequence":-1')))
+        .when(kind == 4, F.replace(text, F.lit('"maximumEntries":256'), F.lit('"maximumEntries":0')))
+        .when(kind == 5, F.replace(text, F.concat(F.lit('"clientSequence":'), first, F.lit(",")), F.concat(F.lit('"clientSequence":"'), first, F.lit('",'))))
+        .when(kind == 6, F.regexp_replace(text, '"intentHash":"[^"]*"', '"intentHash":""'))
+        .when(kind == 7, F.substring(text, F.lit(1), F.length(text) - 1))
+        .when(kind == 8, F.replace(text, F.lit('"operationId"'), F.lit('"operation"')))
+        .when(kind == 9, F.replace(text, F.concat(F.lit('"clientSequence":'), first, F.lit(",")), F.lit('"clientSequence":0,')))
+        .when(kind == 10, F.replace(text, F.lit('"intent":{},'), F.lit("")))
+        .otherwise(text)
+    )
+    texts = W.encode_requests(rows).withColumn("envelope", broken)
+    return W.request_errors(texts, 40).select("request_id", "code", "path")
+
+
+@query
+def wire_response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a log in which some entries are missing, moved or repeated, as responses."""
+    entries = T.stored_log(spark, sf_dir).withColumns({"page": P.page_number(F.col("sequence")), "operation": F.lit("{}")})
+    pages = stored(P.pages(entries))
+    nth = F.pmod(F.col("sequence") - 1, F.lit(V.ENTRIES))
+    kind = F.pmod(F.col("page"), F.lit(5))
+    broken = entries.where((kind != 1) | (nth != 3))
+    broken = broken.withColumns(
+        {
+            "client_id": F.when((kind == 2) & (nth == 7), "").otherwise(F.col("client_id")),
+            "operation_id": F.when((kind == 3) & nth.isin(4, 9), "same").otherwise(F.col("operation_id")),
+            "client_sequence": F.when((kind == 4) & (nth == 2), 0).otherwise(F.col("client_sequence")),
+        }
+    )
+    return W.response_errors(W.encode_responses(pages, broken)).select("stream_id", F.col("page").cast("long"), "code", "path")
+
+
 @query
 def wire_response_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir).withColumns(
@@ -512,8 +635,7 @@ def wire_response_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Decisions by response, 64 each in the order of the events, and the responses: all at the
     head of their stream, so without entries."""
-    day = F.date_trunc("day", "ts")
-    rows = stored(number_densely(T.decisions(spark, sf_dir), ["stream_id"], day, ["ts", E_ID], "nth"))
+    rows = stored(number_balanced(T.decisions(spark, sf_dir), ["stream_id"], ["ts", E_ID], "nth"))
     decisions = rows.withColumns(
         {
             "page": F.floor((F.col("nth") - 1) / V.PROPOSALS),
