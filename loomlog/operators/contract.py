@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, DoubleType, FloatType, IntegralType, StringType, StructType
 
@@ -88,6 +88,31 @@ def from_catalogue(
     return Contract(tables)
 
 
+def from_spark_catalogue(
+    spark: SparkSession, database: str, include: Iterable[str] | None = None, exclude: Iterable[str] = (), internal: Iterable[str] = (), key_property: str = "primary_key"
+) -> Contract:
+    """As ``from_catalogue``, of the tables of a database in Spark's catalogue.  Spark has no keys for them, so a table's property
+    ``primary_key`` names its key's columns in order, between commas.  Views count only where they are named."""
+    declared = {"integer": "INTEGER", "real": "REAL", "text": "TEXT", "blob": "BLOB", "numeric": "NUMERIC"}
+    wanted = None if include is None else set(include)
+    rows = []
+    for t in spark.catalog.listTables(database):
+        if (wanted is None and t.tableType in ("VIEW", "TEMPORARY")) or (wanted is not None and t.name not in wanted) or t.name in set(exclude):
+            continue
+        name = t.name if t.isTemporary else f"`{database}`.`{t.name}`"
+        options = {} if t.isTemporary else {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        key = [c.strip() for c in options.get(key_property, "").split(",") if c.strip()]
+        schema = spark.table(name).schema
+        unknown = [c for c in key if c not in schema.names]
+        if unknown:
+            raise SchemaDiscoveryError(f"table {t.name} has no column {', '.join(unknown)} for its key")
+        for cid, f in enumerate(schema):
+            place = key.index(f.name) + 1 if f.name in key else 0
+            rows.append((t.name, cid, f.name, declared[affinity_of(f.dataType)], not f.nullable, place, 0))
+    columns = spark.createDataFrame(rows, "table_name string, cid int, name string, type string, notnull boolean, pk int, hidden int")
+    return from_catalogue(columns, wanted, exclude, internal)
+
+
 def affinity_of(t: DataType) -> str:
     if isinstance(t, IntegralType):
         return "integer"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MalformedResponseError, SchemaMismatchError
 from .contract import Contract
-from .validate import snapshot_violations
+from .validate import density, repeats, snapshot_violations
 
 
 def save(log: DataFrame, decisions: DataFrame, path: str) -> None:
@@ -20,11 +20,15 @@ def save(log: DataFrame, decisions: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Log and decisions; raises where they aren't one to one."""
+    """Log and decisions; raises where they aren't one to one, the log isn't dense, or an operation id or client
+    position is there twice."""
     log, decisions = (spark.read.parquet(f"{path}/{name}") for name in ("log", "decisions"))
     bad = snapshot_violations(log, decisions).first()
     if bad:
         raise MalformedResponseError(f"{bad['stream_id']} {bad['operation_id']}: {bad['violation']}")
+    for bad in (density(log).first(), repeats(log).first(), repeats(decisions).first()):
+        if bad:
+            raise MalformedResponseError(f"{bad['stream_id']}: {bad['violation'] if 'violation' in bad else bad['kind'] + ' ' + bad['key'] + ' repeated'}")
     return log, decisions
 
 

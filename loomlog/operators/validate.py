@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,39 @@ def gaps(log: DataFrame, bucket: Column | None = None) -> DataFrame:
     ).where("expected <> received")
 
 
+def density(log: DataFrame) -> DataFrame:
+    """``stream_id, entries, distinct_sequences, head_sequence, violation`` of the streams whose log isn't 1, 2, .. up to its
+    head.  Sequences are told apart in bitmaps of 32,768 each, built before the shuffle, so a stream
+    sends four kilobytes for each, and none sorts its entries: ``missing`` numbers, ``repeated`` ones, or
+    an ``invalid-sequence`` below 1."""
+    bits = log.groupBy("stream_id", F.bitmap_bucket_number("sequence").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("sequence")).alias("__map"),
+        F.count("*").alias("__n"),
+        F.max("sequence").alias("__head"),
+        F.min("sequence").alias("__least"),
+    )
+    found = bits.groupBy("stream_id").agg(
+        F.sum("__n").alias("entries"), F.sum(F.bitmap_count("__map")).alias("distinct_sequences"), F.max("__head").alias("head_sequence"), F.min("__least").alias("__least")
+    )
+    kind = (
+        F.when(F.col("__least") < 1, "invalid-sequence")
+        .when(F.col("entries") != F.col("distinct_sequences"), "repeated")
+        .when(F.col("distinct_sequences") != F.col("head_sequence"), "missing")
+    )
+    return found.withColumn("violation", kind).where("violation is not null").drop("__least")
+
+
+def repeats(rows: DataFrame, within: Sequence[str] = ("stream_id",)) -> DataFrame:
+    """Operation ids and client positions that several rows of a stream (or of what ``within`` names) have: ``kind`` (``operation-id``
+    or ``client-position``), ``key, n``.  Both in one shuffle, counted before it."""
+    keys = F.array(
+        F.struct(F.lit("operation-id").alias("kind"), F.to_json(F.array(F.col("operation_id"))).alias("key")),
+        F.struct(F.lit("client-position").alias("kind"), F.to_json(F.array(F.col("client_id"), F.col("client_sequence").cast("string"))).alias("key")),
+    )
+    each = rows.select(*within, F.explode(keys).alias("k")).select(*within, "k.*")
+    return each.groupBy(*within, "kind", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def position_conflicts(rows: DataFrame) -> DataFrame:
     """Client positions that several operations hold."""
     return (

@@ -184,6 +184,23 @@ SELECT * FROM v WHERE violation IS NOT NULL""",
     "state_lww": _WITH + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow'",
     "state_asof": _WITH
     + f""", upto AS (SELECT *, row_number() OVER (PARTITION BY stream_id, user_id ORDER BY sequence DESC) AS n FROM log WHERE sequence <= 200)
+SELECT {_STATE} FROM upto WHERE n = 1 AND op = 'putRow'""",
+    "log_density": _WITH
+    + """, kept AS (
+  SELECT stream_id, sequence FROM log WHERE NOT (stream_id = 's3' AND sequence % 50 = 7) UNION ALL SELECT stream_id, sequence FROM log WHERE stream_id = 's5' AND sequence % 40 = 3
+), s AS (SELECT stream_id, count(*) AS entries, count(DISTINCT sequence) AS distinct_sequences, max(sequence) AS head_sequence FROM kept GROUP BY 1)
+SELECT *, CASE WHEN entries <> distinct_sequences THEN 'repeated' ELSE 'missing' END AS violation FROM s WHERE entries <> head_sequence""",
+    "log_repeats": _WITH
+    + """, kept AS (
+  SELECT stream_id, sequence, operation_id, client_id, client_sequence FROM log
+  UNION ALL SELECT stream_id, sequence, CASE WHEN sequence % 180 = 3 THEN 'other' ELSE operation_id END, client_id, client_sequence FROM log WHERE sequence % 90 = 3
+), k AS (
+  SELECT stream_id, CAST(floor((sequence - 1) / 256) AS BIGINT) AS page, 'operation-id' AS kind, '["' || operation_id || '"]' AS key FROM kept
+  UNION ALL SELECT stream_id, CAST(floor((sequence - 1) / 256) AS BIGINT), 'client-position', '["' || client_id || '","' || client_sequence || '"]' FROM kept
+)
+SELECT stream_id, page, kind, key, count(*) AS n FROM k GROUP BY ALL HAVING count(*) > 1""",
+    "state_asof_checkpoints": _WITH
+    + f""", upto AS (SELECT *, row_number() OVER (PARTITION BY stream_id, user_id ORDER BY sequence DESC) AS n FROM log WHERE sequence <= 200)
 SELECT {_STATE} FROM upto WHERE n = 1 AND op = 'putRow'""",
     "state_point_lookup": _WITH + f"SELECT {_STATE} FROM last WHERE nth = 1 AND op = 'putRow' AND user_id = 7",
     "state_first_match": _WITH
@@ -423,3 +440,4 @@ told AS (
 )
 SELECT * FROM v WHERE violation IS NOT NULL""",
 }
+ORACLE_SQL["projection_in_place"] = ORACLE_SQL["projection_upsert_orders"]

@@ -21,7 +21,9 @@ from ..operators import validate as V
 from ..operators.numbering import number_balanced
 from ..sources import tables as T
 from ..sources import wire as W
-from ..sources.stored import stored
+from ..sources.app_table import AppTable
+from ..sources.checkpoints import StateCheckpoints
+from ..sources.stored import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -199,6 +201,24 @@ def log_contiguity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.gaps(broken, F.floor(F.col("sequence") / 10_000))
 
 
+@query
+def log_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a log of which some streams lack entries, some have entries twice."""
+    entries = T.stored_log(spark, sf_dir)
+    lacks = (F.col("stream_id") == "s3") & (F.col("sequence") % 50 == 7)
+    twice = entries.where((F.col("stream_id") == "s5") & (F.col("sequence") % 40 == 3))
+    return V.density(entries.where(~lacks).unionByName(twice))
+
+
+@query
+def log_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and positions that a log holds twice within a page."""
+    entries = T.stored_log(spark, sf_dir).withColumn("page", P.page_number(F.col("sequence")))
+    again = entries.where(F.col("sequence") % 90 == 3).withColumn("operation_id", F.when(F.col("sequence") % 180 == 3, "other").otherwise(F.col("operation_id")))
+    found = V.repeats(entries.unionByName(again), ["stream_id", "page"])
+    return found.select("stream_id", F.col("page").cast("long"), "kind", "key", "n")
+
+
 @query
 def snapshot_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir)
@@ -257,6 +277,15 @@ def state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.state(T.log(spark, sf_dir, positions=False), 200).select(*STATE)
 
 
+@query
+def state_asof_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``state_asof``, from states kept every 64 sequences and the tail after the nearest."""
+    entries = T.stored_log(spark, sf_dir).select(*STATE, "op", "table_name", "pk")
+    kept = StateCheckpoints(spark, new_folder(spark), entries.schema, 64)
+    kept.write(entries)
+    return kept.at(200).select(*STATE)
+
+
 @query
 def state_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.state(T.log(spark, sf_dir, positions=False)).where(F.col("pk") == "[7]").select(*STATE)
@@ -308,6 +337,21 @@ def projection_upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.project(orders.where(key % 2 == 0), changes, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
+@query
+def projection_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``projection_upsert_orders``, in a bucketed table that only the buckets of new entries are rewritten of, in two runs."""
+    orders = T.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    key = F.col("o_orderkey")
+    changes = orders.where(key % 3 == 0).withColumns(
+        {"stream_id": F.lit("s"), "sequence": key + 1, "op": F.when(key % 11 == 0, "deleteRow").otherwise("putRow"), "o_orderstatus": F.lit("X")}
+    )
+    table = AppTable(spark, new_folder(spark), orders.schema, ["o_orderkey"], 16)
+    table.create(orders.where(key % 2 == 0))
+    table.apply(changes.where("sequence <= 500"))
+    table.apply(changes)
+    return table.read()
+
+
 @query
 def optimistic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir)
