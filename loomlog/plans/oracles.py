@@ -101,6 +101,55 @@ page AS (
   FROM cut c JOIN (SELECT stream_id, max(last_sequence) AS head_sequence FROM cut GROUP BY 1) m ON c.stream_id = m.stream_id
 )"""
 
+_ATOMIC = """, batch AS (
+  SELECT stream_id, operation_id, client_id, client_sequence, intent_hash, event_id, 0 AS variant FROM prop WHERE event_id % 2 = 0
+  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence, 'changed', event_id, 1 FROM prop WHERE event_id % 101 = 0
+  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence + 1, intent_hash, event_id, 2 FROM prop WHERE event_id % 103 = 0
+  UNION ALL SELECT stream_id, operation_id || '-x', client_id, client_sequence, intent_hash, event_id, 3 FROM prop WHERE event_id % 107 = 0
+  UNION ALL SELECT stream_id, operation_id || '-y', client_id || '-n', client_sequence, intent_hash, event_id, 4 FROM prop WHERE event_id % 109 = 0
+), known AS (SELECT * FROM dec WHERE event_id % 5 = 0),
+a AS (
+  SELECT b.*, CAST(regexp_extract(b.client_id, '^c(\\d+)', 1) AS INTEGER) AS u, b.client_id || '-' || variant || '-' || CAST(b.client_sequence // 8 AS VARCHAR) AS request_id, d.status, d.sequence, CASE
+    WHEN d.operation_id IS NOT NULL AND (d.client_id <> b.client_id OR d.client_sequence <> b.client_sequence) THEN 'operation-identity-conflict'
+    WHEN d.operation_id IS NOT NULL AND d.intent_hash <> b.intent_hash THEN 'operation-intent-conflict'
+    WHEN d.operation_id IS NOT NULL THEN 'replay' WHEN p.operation_id IS NOT NULL THEN 'client-sequence-conflict' ELSE 'new' END AS class
+  FROM (SELECT * FROM batch WHERE {keep}) b LEFT JOIN known d ON b.stream_id = d.stream_id AND b.operation_id = d.operation_id
+  LEFT JOIN known p ON b.stream_id = p.stream_id AND b.client_id = p.client_id AND b.client_sequence = p.client_sequence
+), r AS (
+  SELECT stream_id, request_id, row_number() OVER (PARTITION BY stream_id ORDER BY min(event_id * 8 + variant)) AS n, bool_or(class LIKE '%conflict' OR {late}) AS lost
+  FROM a GROUP BY 1, 2
+), b AS (SELECT a.*, r.n, r.lost FROM a JOIN r ON a.stream_id = r.stream_id AND a.request_id = r.request_id),
+clash AS (
+  SELECT DISTINCT x.stream_id, x.n, y.n AS other FROM b x JOIN b y ON x.stream_id = y.stream_id AND y.n < x.n AND x.class = 'new' AND y.class = 'new' AND NOT x.lost AND NOT y.lost
+    AND x.operation_id = y.operation_id AND (x.client_id, x.client_sequence, x.intent_hash) <> (y.client_id, y.client_sequence, y.intent_hash)
+  UNION SELECT DISTINCT x.stream_id, x.n, y.n FROM b x JOIN b y ON x.stream_id = y.stream_id AND y.n < x.n AND x.class = 'new' AND y.class = 'new' AND NOT x.lost AND NOT y.lost
+    AND x.client_id = y.client_id AND x.client_sequence = y.client_sequence AND x.operation_id <> y.operation_id
+), met AS (
+  SELECT stream_id, n, list(other) AS others, row_number() OVER (PARTITION BY stream_id ORDER BY n) AS k FROM clash GROUP BY 1, 2
+), step(stream_id, k, refused) AS (
+  SELECT stream_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r GROUP BY 1
+  UNION ALL
+  SELECT s.stream_id, m.k, CASE WHEN len(list_filter(m.others, lambda o: NOT list_contains(s.refused, o))) > 0 THEN list_append(s.refused, m.n) ELSE s.refused END
+  FROM step s JOIN met m ON m.stream_id = s.stream_id AND m.k = s.k + 1
+), fate AS (
+  SELECT r.*, r.lost OR list_contains(e.refused, r.n) AS refused FROM r JOIN (SELECT stream_id, arg_max(refused, k) AS refused FROM step GROUP BY 1) e ON e.stream_id = r.stream_id
+), c AS (SELECT b.*, f.refused FROM b JOIN fate f ON f.stream_id = b.stream_id AND f.n = b.n),
+ok AS (SELECT * FROM c WHERE class = 'new' AND NOT refused),
+told AS (
+  SELECT c.*, CASE WHEN c.class LIKE '%conflict' THEN c.class
+    WHEN c.class = 'new' AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n AND (ok.client_id <> c.client_id OR ok.client_sequence <> c.client_sequence)) THEN 'operation-identity-conflict'
+    WHEN c.class = 'new' AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n AND ok.intent_hash <> c.intent_hash) THEN 'operation-intent-conflict'
+    WHEN c.class = 'new' AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n)
+      AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.client_id = c.client_id AND ok.client_sequence = c.client_sequence AND ok.operation_id <> c.operation_id AND ok.n < c.n) THEN 'client-sequence-conflict'
+    END AS why
+  FROM c
+), v AS (
+  SELECT *, CASE WHEN refused AND event_id = min(CASE WHEN why IS NOT NULL THEN event_id END) OVER (PARTITION BY stream_id, n) THEN why
+    WHEN refused THEN 'aborted' WHEN class = 'replay' THEN 'replay'
+    WHEN row_number() OVER (PARTITION BY stream_id, operation_id, class, refused ORDER BY n, event_id) = 1 THEN 'new' ELSE 'repeat' END AS verdict
+  FROM told
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "proposals_numbered": _WITH + "SELECT operation_id, client_id, client_sequence FROM prop",
     "proposal_batch_violations": _WITH
@@ -307,54 +356,8 @@ a AS (
 SELECT operation_id, variant, CASE WHEN found IN ('new', 'repeat') AND max(found LIKE '%conflict') OVER (PARTITION BY stream_id, client_id) THEN 'aborted' ELSE found END AS class,
   CASE WHEN found = 'replay' THEN status END AS status, CASE WHEN found = 'replay' THEN sequence END AS sequence FROM c""",
     "decide_requests_atomic": _WITH.replace("WITH raw", "WITH RECURSIVE raw", 1)
-    + """, batch AS (
-  SELECT stream_id, operation_id, client_id, client_sequence, intent_hash, event_id, 0 AS variant FROM prop WHERE event_id % 2 = 0
-  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence, 'changed', event_id, 1 FROM prop WHERE event_id % 101 = 0
-  UNION ALL SELECT stream_id, operation_id, client_id, client_sequence + 1, intent_hash, event_id, 2 FROM prop WHERE event_id % 103 = 0
-  UNION ALL SELECT stream_id, operation_id || '-x', client_id, client_sequence, intent_hash, event_id, 3 FROM prop WHERE event_id % 107 = 0
-  UNION ALL SELECT stream_id, operation_id || '-y', client_id || '-n', client_sequence, intent_hash, event_id, 4 FROM prop WHERE event_id % 109 = 0
-), known AS (SELECT * FROM dec WHERE event_id % 5 = 0),
-a AS (
-  SELECT b.*, b.client_id || '-' || variant || '-' || CAST(b.client_sequence // 8 AS VARCHAR) AS request_id, d.status, d.sequence, CASE
-    WHEN d.operation_id IS NOT NULL AND (d.client_id <> b.client_id OR d.client_sequence <> b.client_sequence) THEN 'operation-identity-conflict'
-    WHEN d.operation_id IS NOT NULL AND d.intent_hash <> b.intent_hash THEN 'operation-intent-conflict'
-    WHEN d.operation_id IS NOT NULL THEN 'replay' WHEN p.operation_id IS NOT NULL THEN 'client-sequence-conflict' ELSE 'new' END AS class
-  FROM batch b LEFT JOIN known d ON b.stream_id = d.stream_id AND b.operation_id = d.operation_id
-  LEFT JOIN known p ON b.stream_id = p.stream_id AND b.client_id = p.client_id AND b.client_sequence = p.client_sequence
-), r AS (
-  SELECT stream_id, request_id, row_number() OVER (PARTITION BY stream_id ORDER BY min(event_id * 8 + variant)) AS n, bool_or(class LIKE '%conflict') AS lost
-  FROM a GROUP BY 1, 2
-), b AS (SELECT a.*, r.n, r.lost FROM a JOIN r ON a.stream_id = r.stream_id AND a.request_id = r.request_id),
-clash AS (
-  SELECT DISTINCT x.stream_id, x.n, y.n AS other FROM b x JOIN b y ON x.stream_id = y.stream_id AND y.n < x.n AND x.class = 'new' AND y.class = 'new' AND NOT x.lost AND NOT y.lost
-    AND x.operation_id = y.operation_id AND (x.client_id, x.client_sequence, x.intent_hash) <> (y.client_id, y.client_sequence, y.intent_hash)
-  UNION SELECT DISTINCT x.stream_id, x.n, y.n FROM b x JOIN b y ON x.stream_id = y.stream_id AND y.n < x.n AND x.class = 'new' AND y.class = 'new' AND NOT x.lost AND NOT y.lost
-    AND x.client_id = y.client_id AND x.client_sequence = y.client_sequence AND x.operation_id <> y.operation_id
-), met AS (
-  SELECT stream_id, n, list(other) AS others, row_number() OVER (PARTITION BY stream_id ORDER BY n) AS k FROM clash GROUP BY 1, 2
-), step(stream_id, k, refused) AS (
-  SELECT stream_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM r GROUP BY 1
-  UNION ALL
-  SELECT s.stream_id, m.k, CASE WHEN len(list_filter(m.others, lambda o: NOT list_contains(s.refused, o))) > 0 THEN list_append(s.refused, m.n) ELSE s.refused END
-  FROM step s JOIN met m ON m.stream_id = s.stream_id AND m.k = s.k + 1
-), fate AS (
-  SELECT r.*, r.lost OR list_contains(e.refused, r.n) AS refused FROM r JOIN (SELECT stream_id, arg_max(refused, k) AS refused FROM step GROUP BY 1) e ON e.stream_id = r.stream_id
-), c AS (SELECT b.*, f.refused FROM b JOIN fate f ON f.stream_id = b.stream_id AND f.n = b.n),
-ok AS (SELECT * FROM c WHERE class = 'new' AND NOT refused),
-told AS (
-  SELECT c.*, CASE WHEN c.class LIKE '%conflict' THEN c.class
-    WHEN c.class = 'new' AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n AND (ok.client_id <> c.client_id OR ok.client_sequence <> c.client_sequence)) THEN 'operation-identity-conflict'
-    WHEN c.class = 'new' AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n AND ok.intent_hash <> c.intent_hash) THEN 'operation-intent-conflict'
-    WHEN c.class = 'new' AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.operation_id = c.operation_id AND ok.n < c.n)
-      AND EXISTS (SELECT 1 FROM ok WHERE ok.stream_id = c.stream_id AND ok.client_id = c.client_id AND ok.client_sequence = c.client_sequence AND ok.operation_id <> c.operation_id AND ok.n < c.n) THEN 'client-sequence-conflict'
-    END AS why
-  FROM c
-), v AS (
-  SELECT *, CASE WHEN refused AND event_id = min(CASE WHEN why IS NOT NULL THEN event_id END) OVER (PARTITION BY stream_id, n) THEN why
-    WHEN refused THEN 'aborted' WHEN class = 'replay' THEN 'replay'
-    WHEN row_number() OVER (PARTITION BY stream_id, operation_id, class, refused ORDER BY n, event_id) = 1 THEN 'new' ELSE 'repeat' END AS verdict
-  FROM told
-), made AS (
+    + _ATOMIC.format(keep="true", late="false")
+    + """), made AS (
   SELECT stream_id, operation_id, CASE WHEN event_id % 6 = 4 THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN event_id % 6 = 4 THEN 'sixth' END AS reason,
     CASE WHEN event_id % 6 <> 4 THEN coalesce(h.head, 0) + row_number() OVER (PARTITION BY v.stream_id, event_id % 6 = 4 ORDER BY n, event_id) END AS sequence
   FROM v LEFT JOIN (SELECT stream_id AS s, max(sequence) AS head FROM known GROUP BY 1) h ON h.s = v.stream_id WHERE verdict = 'new'
@@ -362,6 +365,24 @@ told AS (
 SELECT request_id, v.operation_id, variant, verdict AS class, CASE WHEN verdict = 'replay' THEN v.status ELSE m.status END AS status,
   CASE WHEN verdict = 'replay' THEN v.sequence ELSE m.sequence END AS sequence, m.reason
 FROM v LEFT JOIN made m ON m.stream_id = v.stream_id AND m.operation_id = v.operation_id AND verdict IN ('new', 'repeat')""",
+    "synchronize_requests": _WITH.replace("WITH raw", "WITH RECURSIVE raw", 1)
+    + _ATOMIC.format(keep="CAST(regexp_extract(client_id, '^c(\\d+)', 1) AS INTEGER) % 31 <> 4", late="u % 29 = 7")
+    + """), heads AS (SELECT stream_id AS s, count(*) AS head FROM known WHERE status = 'accepted' GROUP BY 1),
+per AS (
+  SELECT v.stream_id, request_id, n, any_value(u) AS u, bool_or(refused) AS refused, count(*) AS decisions,
+    max(CASE WHEN verdict LIKE '%conflict' THEN verdict END) AS conflict,
+    count(*) FILTER (WHERE verdict = 'new' AND NOT coalesce(j.op = 'putRow' AND j.col_type IS NULL, false)) AS made
+  FROM v LEFT JOIN judged j ON j.event_id = v.event_id GROUP BY 1, 2, 3
+), placed AS (
+  SELECT p.*, coalesce(h.head, 0) + sum(CASE WHEN refused THEN 0 ELSE made END) OVER (PARTITION BY stream_id ORDER BY n) AS head,
+    CASE WHEN u % 29 = 7 THEN 1099511627776 WHEN u % 3 = 0 THEN 5 ELSE 0 END AS base
+  FROM per p LEFT JOIN heads h ON h.s = p.stream_id
+)
+SELECT request_id, CAST(CASE WHEN refused THEN 409 ELSE 200 END AS BIGINT) AS http_status, CASE WHEN u % 29 = 7 THEN 'future-base-sequence' WHEN refused THEN conflict END AS code,
+  CAST(NULL AS VARCHAR) AS wrong, CASE WHEN NOT refused THEN CAST(head AS BIGINT) END AS head_sequence, CASE WHEN NOT refused THEN CAST(least(head, base + 10) AS BIGINT) END AS through_sequence,
+  CASE WHEN NOT refused THEN CAST(least(head, base + 10) - base AS BIGINT) END AS entries, CASE WHEN NOT refused THEN decisions END AS decisions FROM placed
+UNION ALL SELECT DISTINCT client_id || '-' || variant || '-' || CAST(client_sequence // 8 AS VARCHAR), 400, 'unsupported-protocol-version', NULL, NULL, NULL, NULL, NULL FROM batch
+WHERE CAST(regexp_extract(client_id, '^c(\\d+)', 1) AS INTEGER) % 31 = 4""",
     "merge_responses": _WITH
     + """, rep AS (
   SELECT DISTINCT l.stream_id, l.client_id, CAST(l.user_id AS INTEGER) AS u, h.head_sequence AS head, h.confirmed_sequence AS c,

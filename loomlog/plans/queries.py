@@ -17,6 +17,7 @@ from ..operators import normalize as N
 from ..operators import pages as P
 from ..operators import replica as R
 from ..operators import requests as Q
+from ..operators import synchronize as Y
 from ..operators import validate as V
 from ..operators.numbering import number_balanced
 from ..sources import tables as T
@@ -109,9 +110,9 @@ def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATTEMPT = ("stream_id", "operation_id", "client_id", "client_sequence", "intent_hash", E_ID)
 
 
-def _attempts(decided: DataFrame) -> DataFrame:
+def _attempts(decided: DataFrame, *more: str) -> DataFrame:
     """Proposals sent again, some changed; ``variant`` tells which."""
-    rows = decided.select(*ATTEMPT)
+    rows = decided.select(*ATTEMPT, *more)
     changed = rows.where(F.col(E_ID) % 101 == 0).withColumn("intent_hash", F.lit("changed"))
     moved = rows.where(F.col(E_ID) % 103 == 0).withColumn("client_sequence", F.col("client_sequence") + 1)
     other = rows.where(F.col(E_ID) % 107 == 0).withColumn("operation_id", F.concat("operation_id", F.lit("-x")))
@@ -161,17 +162,55 @@ def decide_requests_atomic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts in requests of up to eight positions, held against decisions on a fifth of the
     events: one conflict refuses a request, and what it named is free again."""
     rows = T.stored_decisions(spark, sf_dir)
-    eighth = F.floor(F.col("client_sequence") / 8).cast("string")
-    batch = _attempts(rows).withColumns(
-        {"request_id": F.concat_ws("-", "client_id", "variant", eighth), "proposal_ord": F.col(E_ID), "base_sequence": F.lit(0)}
-    )
-    first = F.min(F.col(E_ID) * 8 + F.col("variant")).over(Window.partitionBy("stream_id", "request_id"))
+    batch = _in_requests(_attempts(rows)).withColumns({"proposal_ord": F.col(E_ID), "base_sequence": F.lit(0)})
     known = rows.where(F.col(E_ID) % 5 == 0)
     reason = F.when(F.col(E_ID) % 6 == 4, "sixth")
-    told = Q.decide_requests(batch.withColumn("request_ord", first), known, reason, P.heads(known))
+    told = Q.decide_requests(batch, known, reason, P.heads(known))
     return told.select("request_id", "operation_id", "variant", "class", "status", "sequence", "reason")
 
 
+def _in_requests(attempts: DataFrame) -> DataFrame:
+    """Attempts in requests of up to eight positions of a client and variant, in the order of their first events."""
+    eighth = F.floor(F.col("client_sequence") / 8).cast("string")
+    first = F.min(F.col(E_ID) * 8 + F.col("variant")).over(Window.partitionBy("stream_id", "request_id"))
+    return attempts.withColumn("request_id", F.concat_ws("-", "client_id", "variant", eighth)).withColumn("request_ord", first)
+
+
+@query
+def synchronize_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests as envelopes, some of another version, some with a base beyond the head, answered
+    with pages of ten; what each response holds, and whether it breaks a rule."""
+    rows = stored(T.stored_decisions(spark, sf_dir).withColumns({"user": F.col("user_id").cast("int")}))
+    text, integer = K.ColumnContract("text", False), K.ColumnContract("integer", False)
+    contract = K.Contract({"user_state": K.TableContract(("user_id",), {"user_id": integer, "event_type": text})}).check()
+    name, user = F.lit("user_state"), F.col("user")
+    put = C.put_row(name, C.json_object({"event_type": C.json_string(F.col("col_type")), "user_id": C.json_integer(user)}))
+    intent = F.when(F.col("op") == "putRow", put).otherwise(C.delete_row(name, C.json_object({"user_id": C.json_integer(user)})))
+    base = F.when(user % 29 == 7, F.lit(1 << 40)).when(user % 3 == 0, 5).otherwise(0)
+    batch = _in_requests(_attempts(rows, "op", "col_type", "user")).withColumns(
+        {"proposal_ord": F.col(E_ID), "base_sequence": base, "maximum_entries": F.lit(10), "intent": intent}
+    )
+    odd = F.regexp_extract("request_id", r"^c(\d+)-", 1).cast("int") % 31 == 4
+    version = F.replace("envelope", F.lit('"protocolVersion":1'), F.lit('"protocolVersion":2'))
+    texts = W.encode_requests(batch).withColumn("envelope", F.when(odd, version).otherwise(F.col("envelope")))
+    ords = batch.groupBy("request_id").agg(F.first("request_ord").alias("request_ord"))
+    known = rows.where(F.col(E_ID) % 5 == 0).withColumns({"operation": F.lit("{}"), "reason": F.lit('"why"')})
+    held = known.where("status = 'accepted'")
+    # The log that those decisions made is dense by itself.
+    log = stored(number_balanced(held.drop("sequence"), ["stream_id"], ["ts", E_ID], "sequence"))
+    known = known.drop("sequence").join(log.select("operation_id", "sequence"), "operation_id", "left")
+    done = Y.synchronize(texts.join(ords, "request_id"), log, known, contract)
+    answers = stored(done.answers)
+    wrong = W.response_errors(answers.where("envelope is not null").select("request_id", "envelope")).select("request_id", F.col("code").alias("wrong"))
+    value = F.try_parse_json("envelope")
+    number = lambda c: F.try_variant_get(value, f"$.response.{c}", "bigint")
+    size = lambda c: F.size(F.try_variant_get(value, f"$.response.{c}", "array<variant>")).cast("long")
+    return answers.join(wrong, "request_id", "left").select(
+        "request_id", F.col("http_status").cast("long"), "code", "wrong", number("headSequence").alias("head_sequence"), number("throughSequence").alias("through_sequence"),
+        F.when(F.col("envelope").isNotNull(), size("entries")).alias("entries"), F.when(F.col("envelope").isNotNull(), size("decisions")).alias("decisions"),
+    )
+
+
 @query
 def stateful_decide_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule that needs state: purchases are rejected until their stream has a signup."""
