@@ -123,7 +123,8 @@ def sums(turns: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield running.add(part, batch)
 
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "words", "digest")
+    # Bounds are sampled, which would hash all turns twice.
+    dealt = written(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "words", "digest")
     local = written(dealt.mapInArrow(tidy(run), SUMS))
     carried = F.broadcast(_carried(local))
     mine = F.col("conv_id").eqNullSafe(F.col("__conv"))
@@ -144,19 +145,19 @@ def sums(turns: DataFrame) -> DataFrame:
 
 def _carried(local: DataFrame) -> DataFrame:
     """For each task what its first conversation has in the tasks before it: a row a task."""
-    last = F.struct("conv_id", "nth", "w", *(f"g{k}" for k in LANES))
-    ends = local.groupBy("part").agg(F.min_by("conv_id", "row").alias("first"), F.max_by(last, "row").alias("last")).collect()
+    last = [F.max_by(c, "row").alias(c) for c in ("conv_id", "nth", "w", *(f"g{k}" for k in LANES))]
+    ends = local.groupBy("part").agg(F.min_by("conv_id", "row").alias("first"), *last).collect()
     rows, conv, nth, w, g = [], None, 0, 0, [0 for _ in LANES]
     for r in sorted(ends, key=lambda r: r.part):
         if conv != r.first:
             conv, nth, w, g = None, 0, 0, [0 for _ in LANES]
         power = [pow(b, nth, PRIME) for b in BASES]
         rows.append((r.part, conv, nth, w, *g, *power))
-        more = [r.last[f"g{k}"] for k in LANES]
-        if conv == r.last.conv_id:
-            nth, w, g = nth + r.last.nth, w + r.last.w, [(a + p * b) % PRIME for a, p, b in zip(g, power, more)]
+        more = [r[f"g{k}"] for k in LANES]
+        if conv == r.conv_id:
+            nth, w, g = nth + r.nth, w + r.w, [(a + p * b) % PRIME for a, p, b in zip(g, power, more)]
         else:
-            conv, nth, w, g = r.last.conv_id, r.last.nth, r.last.w, more
+            conv, nth, w, g = r.conv_id, r.nth, r.w, more
     names = ["__nth", "__w", *(f"__g{k}" for k in LANES), *(f"__p{k}" for k in LANES)]
     return local.sparkSession.createDataFrame(rows, "part int, __conv long, " + ", ".join(f"{n} long" for n in names))
 
