@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, DoubleType, FloatType, IntegralType, StringType, StructType
 
 from ..errors import RowOperationError, SchemaDiscoveryError
-from ..functions.canonical import affinity
+from ..functions.canonical import affinity, column_value
 
 FORMAT = 1
 
@@ -113,6 +113,29 @@ def from_spark_catalogue(
     return from_catalogue(columns, wanted, exclude, internal)
 
 
+#: The type that holds a column of each affinity; a number of numeric affinity may have any size, so it stays text.
+TYPES = {"integer": "bigint", "real": "double", "text": "string", "numeric": "string", "blob": "binary"}
+
+
+def typed_rows(rows: DataFrame, table: TableContract, column: str = "row") -> DataFrame:
+    """Rows whose ``column`` holds a row as JSON text, with the table's columns in its place, each of its affinity's type.  A
+    missing member is null; a value that a column can't hold raises, and null text gives nulls."""
+    value = F.parse_json(column)
+    typed = []
+    for name, rule in table.columns.items():
+        held = column_value(F.try_variant_get(value, f"$['{name}']", "variant"), rule.affinity)
+        typed.append((F.unhex(held) if rule.affinity == "blob" else held.cast(TYPES[rule.affinity])).alias(name))
+    kept = [c for c in rows.columns if c != column and c not in table.columns]
+    return rows.select(*kept, *typed)
+
+
+def empty_tables(spark: SparkSession, contract: Contract) -> dict[str, DataFrame]:
+    """The tables of a contract without rows, their columns typed by affinity: the state before any entry."""
+    return {
+        name: spark.createDataFrame([], ", ".join(f"`{c}` {TYPES[x.affinity]}" for c, x in t.columns.items())) for name, t in contract.check().tables.items()
+    }
+
+
 def affinity_of(t: DataType) -> str:
     if isinstance(t, IntegralType):
         return "integer"

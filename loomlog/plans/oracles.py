@@ -441,6 +441,7 @@ SELECT stream_id, page, CASE WHEN error IS NOT NULL THEN split_part(error, ' ',
 )
 SELECT conv_id, turn, 'deleteRow' AS op, CASE WHEN message IS NULL THEN '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || '}' END AS body,
   CASE WHEN message IS NOT NULL THEN 'invalid-row-operation' END AS code, message FROM e""",
+    "typed_rows": "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part",
     "normalized_rows": """SELECT conv_id, turn, '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || ',"note":null}' AS body
 FROM conversations WHERE role IS NOT NULL""",
     "wire_decisions_roundtrip": _WITH

@@ -515,6 +515,16 @@ def normalized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.normalize(puts, _contract()).select("conv_id", "turn", "body")
 
 
+@query
+def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows in JSON, and back to columns of their affinities' types, on top of the empty table of the contract."""
+    parts = T.table(spark, sf_dir, "part")
+    contract = K.from_schema("part", parts.schema, ["p_partkey"])
+    columns = B.Source.by_schema(parts, ["p_partkey"]).columns
+    rows = K.typed_rows(parts.select(C.json_object(columns).alias("row")), contract.tables["part"])
+    return K.empty_tables(spark, contract)["part"].unionByName(rows)
+
+
 # Replicas
 
 

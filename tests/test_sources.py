@@ -96,3 +96,16 @@ def test_density_and_repeats(spark, tmp_path):
             S.load(spark, str(tmp_path / name))
     S.save(log, log, str(tmp_path / "good"))
     assert S.load(spark, str(tmp_path / "good"))[0].count() == 50
+
+
+def test_typed_rows_and_empty_tables(spark):
+    columns = {"id": K.ColumnContract("integer", False), "a b": K.ColumnContract("text", True), "x": K.ColumnContract("real", True), "n": K.ColumnContract("numeric", True), "raw": K.ColumnContract("blob", True)}
+    contract = K.Contract({"t": K.TableContract(("id",), columns)})
+    rows = spark.createDataFrame([('{"id":1,"a b":"é","x":1.5,"n":12345678901234567890,"raw":[0,255]}', 7), ('{"id":2,"raw":null}', 8), (None, 9)], "row string, kept int")
+    typed = K.typed_rows(rows, contract.tables["t"])
+    got = {r.kept: tuple(r)[1:] for r in typed.collect()}
+    assert got == {7: (1, "é", 1.5, "12345678901234567890", bytearray(b"\x00\xff")), 8: (2, None, None, None, None), 9: (None,) * 5}
+    empty = K.empty_tables(spark, contract)["t"]
+    assert empty.count() == 0 and empty.schema == typed.drop("kept").schema
+    with pytest.raises(Exception, match="no value of integer affinity"):
+        K.typed_rows(spark.createDataFrame([('{"id":true}',)], "row string"), contract.tables["t"]).collect()
