@@ -431,7 +431,7 @@ SELECT request_id, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 1) EN
     + """, e AS (
   SELECT stream_id, page, page % 5 AS kind, entries FROM page
 ), f AS (
-  SELECT *, CASE WHEN kind = 1 AND entries > 3 THEN 'malformed-response $.response.entries' WHEN kind = 2 AND entries > 7 THEN 'wire-decode $.response.entries[7].origin.clientId'
+  SELECT *, CASE WHEN kind = 0 AND stream_id = 's4' THEN 'malformed-response $.streamId' WHEN kind = 1 AND entries > 3 THEN 'malformed-response $.response.entries' WHEN kind = 2 AND entries > 7 THEN 'wire-decode $.response.entries[7].origin.clientId'
     WHEN kind = 3 AND entries > 9 THEN 'malformed-response $.response.entries[9].operationId' WHEN kind = 4 AND entries > 2 THEN 'invalid-sequence $.response.entries[2].origin.clientSequence' END AS error FROM e
 )
 SELECT stream_id, page, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 1) END AS code, CASE WHEN error IS NOT NULL THEN split_part(error, ' ', 2) END AS path FROM f""",

@@ -700,7 +700,7 @@ def wire_decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wire_response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a log in which some entries are missing, moved or repeated, as responses."""
+    """Pages of a log in which some entries are missing, moved or repeated, as responses, some of another stream than asked."""
     entries = T.stored_log(spark, sf_dir).withColumns({"page": P.page_number(F.col("sequence")), "operation": F.lit("{}")})
     pages = stored(P.pages(entries))
     nth = F.pmod(F.col("sequence") - 1, F.lit(V.ENTRIES))
@@ -713,7 +713,9 @@ def wire_response_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
             "client_sequence": F.when((kind == 4) & (nth == 2), 0).otherwise(F.col("client_sequence")),
         }
     )
-    return W.response_errors(W.encode_responses(pages, broken)).select("stream_id", F.col("page").cast("long"), "code", "path")
+    asked = F.when((F.col("stream_id") == "s4") & (F.col("page") % 5 == 0), "s0").otherwise(F.col("stream_id"))
+    sent = W.encode_responses(pages, broken).withColumn("asked", asked)
+    return W.response_errors(sent, asked="asked").select("stream_id", F.col("page").cast("long"), "code", "path")
 
 
 @query

@@ -324,9 +324,9 @@ def request_errors(texts: DataFrame, most: int = PROPOSALS) -> DataFrame:
     return _told(texts, parsed, error)
 
 
-def response_errors(texts: DataFrame, most_entries: int = ENTRIES, most_decisions: int = PROPOSALS) -> DataFrame:
+def response_errors(texts: DataFrame, most_entries: int = ENTRIES, most_decisions: int = PROPOSALS, asked: str | None = None) -> DataFrame:
     """As ``request_errors``, of responses, whose page and decisions are held against the cursors
-    and each other too."""
+    and each other too, and, last, whose stream against that of a column ``asked``."""
     value, entries, decisions = F.col("__value"), F.col("__entries"), F.col("__decisions")
     at_entries, at_decisions = "$.response.entries", "$.response.decisions"
     cursors = [f"$.response.{c}" for c in ("requestedBaseSequence", "throughSequence", "headSequence")]
@@ -398,6 +398,7 @@ def response_errors(texts: DataFrame, most_entries: int = ENTRIES, most_decision
         malformed((base < head) & (size == 0), F.lit(cursors[1]), "must advance"),
         _first(F.transform(entries, placed)),
         _first(F.transform(decisions, told)),
+        *([malformed(F.try_variant_get(value, "$.streamId", "string") != F.col(asked), F.lit("$.streamId"), "another stream")] if asked else []),
     )
     position = lambda e: F.to_json(F.struct(F.try_variant_get(e, "$.origin.clientId", "string"), _integer("$.origin.clientSequence")(e)))
     parsed = texts.withColumn("__value", F.try_parse_json("envelope")).withColumns(
