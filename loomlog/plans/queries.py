@@ -276,12 +276,12 @@ def page_cursor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def replica_record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir)
-    replicas = T.replicas(entries)
+    replicas = T.stored_replicas(entries)
     retained = R.new_entries(replicas.withColumn("confirmed_sequence", F.greatest(F.col("confirmed_sequence") - 20, F.lit(0))), entries)
     at = replicas.select("stream_id", "client_id", F.col("confirmed_sequence").alias("c"))
     retained = retained.join(at, ["stream_id", "client_id"]).where("sequence <= c").drop("c")
     shift = F.when(F.substring("client_id", -1, 1) == "3", 1).otherwise(0)
-    box = T.outbox(entries)
+    box = T.outbox(entries, replicas)
     odd = F.when(F.col(E_ID) % 211 == 0, "in-flight").otherwise(F.col("status"))
     return R.record_violations(replicas.withColumn("confirmed_sequence", F.col("confirmed_sequence") + shift), retained, box.withColumn("status", odd))
 
@@ -394,9 +394,10 @@ def projection_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def optimistic_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir)
-    heads = T.replicas(entries).select("stream_id", "confirmed_sequence").distinct()
+    replicas = T.stored_replicas(entries)
+    heads = replicas.select("stream_id", "confirmed_sequence").distinct()
     confirmed = entries.join(heads, "stream_id").where("sequence <= confirmed_sequence")
-    return M.optimistic(confirmed.drop("confirmed_sequence"), T.outbox(entries).drop("confirmed_sequence")).select(
+    return M.optimistic(confirmed.drop("confirmed_sequence"), T.outbox(entries, replicas).drop("confirmed_sequence")).select(
         "stream_id", "user_id", "client_sequence", "event_type"
     )
 
@@ -548,13 +549,13 @@ def outbox_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page after what each stream's replicas have confirmed: entries a replica."""
     entries = T.stored_log(spark, sf_dir)
-    replicas = T.replicas(entries)
-    new = R.new_entries(replicas, _next_page(entries))
+    replicas = T.stored_replicas(entries)
+    new = R.new_entries(replicas, _next_page(entries, replicas))
     return new.groupBy("stream_id", "client_id").agg(F.count("*").alias("entries"), F.max("sequence").alias("confirmed_sequence"))
 
 
-def _next_page(entries: DataFrame) -> DataFrame:
-    at = T.replicas(entries).select("stream_id", "confirmed_sequence").distinct()
+def _next_page(entries: DataFrame, replicas: DataFrame) -> DataFrame:
+    at = replicas.select("stream_id", "confirmed_sequence").distinct()
     page = entries.join(at, "stream_id").where("sequence > confirmed_sequence and sequence <= confirmed_sequence + 256")
     return page.drop("confirmed_sequence")
 
@@ -570,13 +571,15 @@ def merge_overlap_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_outbox_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir)
-    return R.outbox_after(T.outbox(entries), _next_page(entries)).select("stream_id", "client_id", "operation_id", "status")
+    replicas = T.stored_replicas(entries)
+    return R.outbox_after(T.outbox(entries, replicas), _next_page(entries, replicas)).select("stream_id", "client_id", "operation_id", "status")
 
 
 @query
 def merge_newly_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = T.stored_log(spark, sf_dir)
-    return R.newly_resolved(T.outbox(entries), _next_page(entries)).select("client_id", "operation_id", "resolved_sequence")
+    replicas = T.stored_replicas(entries)
+    return R.newly_resolved(T.outbox(entries, replicas), _next_page(entries, replicas)).select("client_id", "operation_id", "resolved_sequence")
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
@@ -594,7 +597,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     odd = F.when((user % 19 == 4) & (F.col("sequence") % 5 == 0), "odd").otherwise(F.col("intent_hash"))
     retained = every.where("sequence > retained_base and sequence <= confirmed_sequence").withColumn("intent_hash", odd)
     page = every.where("sequence > base_sequence and sequence <= base_sequence + 256")
-    box = stored(T.outbox(entries).drop("confirmed_sequence"))
+    box = stored(T.outbox(entries, replicas).drop("confirmed_sequence"))
     moved = F.col("sequence") + F.when((user % 17 == 3) & (F.col(E_ID) % 4 == 1), 1).otherwise(0)
     told = box.where(F.col(E_ID) % 4 < 2).withColumns({"decision_ord": F.col("client_sequence"), "status": F.lit("accepted"), "sequence": moved})
     placed = {c: F.when(F.col("status") == "accepted", F.col(c)) for c in ("sequence", "operation")}
@@ -617,9 +620,9 @@ def replica_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 def optimistic_by_replica(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each client of two streams sees: its stream as far as it has confirmed, and its own outbox on top."""
     entries = stored(T.stored_log(spark, sf_dir).where(F.col("stream_id").isin("s1", "s2")))
-    replicas = T.replicas(entries)
+    replicas = T.stored_replicas(entries)
     confirmed = M.of_replicas(entries, replicas)
-    seen = M.optimistic(confirmed, T.outbox(entries).drop("confirmed_sequence"), ["stream_id", "client_id", "table_name", "pk"])
+    seen = M.optimistic(confirmed, T.outbox(entries, replicas).drop("confirmed_sequence"), ["stream_id", "client_id", "table_name", "pk"])
     return seen.select("stream_id", "client_id", "user_id", "sequence", "event_type")
 
 

@@ -68,6 +68,11 @@ def stored_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(decisions(spark, sf_dir))
 
 
+def stored_replicas(entries: DataFrame) -> DataFrame:
+    """``replicas``, written once: for what derives several tables from them."""
+    return stored(replicas(entries))
+
+
 def replicas(entries: DataFrame) -> DataFrame:
     """A replica of every client, which has confirmed six tenths of its stream's log."""
     confirmed = F.floor(F.col("head_sequence") * 6 / 10).cast("long")
@@ -77,10 +82,10 @@ def replicas(entries: DataFrame) -> DataFrame:
     )
 
 
-def outbox(entries: DataFrame) -> DataFrame:
+def outbox(entries: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Each replica's own operations beyond what it has confirmed: even events pending,
-    odd ones accepted."""
-    at = replicas(entries).select("stream_id", "client_id", "confirmed_sequence")
+    odd ones accepted.  ``of`` are the log's ``replicas``, where they are at hand."""
+    at = (replicas(entries) if of is None else of).select("stream_id", "client_id", "confirmed_sequence")
     return (
         entries.join(at, ["stream_id", "client_id"])
         .where(F.col("sequence") > F.col("confirmed_sequence"))
