@@ -254,7 +254,7 @@ class _Writer:
         return name, self.task, len(ids), len(lengths), len(data)
 
     def close(self) -> Iterator[tuple]:
-        if self.held:
+        if any(map(len, self.lengths)):  # without an end id a document may have no ids at all
             yield self._flush(ended=True)
 
 

@@ -48,3 +48,22 @@ def test_hard_rows(spark, tmp_path):
     one = df.dropDuplicates()
     sharding.write(one, str(tmp_path / "out"), 3)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_placing_against_plain_loops(monkeypatch):
+    """Largest share first, each to the first shard whose capacity left has the largest dot product with it."""
+    monkeypatch.setattr(sharding, "even", lambda share, found, left: found)
+    rng = np.random.default_rng(3)
+    for shards, n in ((1, 5), (3, 40), (7, 200)):
+        sizes = rng.integers(1, 50, (n, 3)).astype(float)
+        share = [[x / (sum(row[k] for row in sizes) / shards) for k, x in enumerate(row)] for row in sizes]
+        left, want = [[1.0] * 3 for _ in range(shards)], [0] * n
+        for i in sorted(range(n), key=lambda i: (-max(share[i]), i)):
+            dots = [sum(a * b for a, b in zip(room, share[i])) for room in left]
+            at = max(range(shards), key=lambda s: (dots[s], -s))
+            want[i] = at
+            left[at] = [a - b for a, b in zip(left[at], share[i])]
+        got = sharding.place(sizes, shards)
+        totals = [np.array([sizes[np.asarray(f) == s].sum(axis=0) for s in range(shards)]) for f in (got, want)]
+        assert np.mean(got == np.array(want)) > 0.95 and np.allclose(totals[0].sum(axis=0), totals[1].sum(axis=0))
+        assert np.abs(totals[0] / totals[0].mean(axis=0) - 1).max() <= np.abs(totals[1] / totals[1].mean(axis=0) - 1).max() + 0.05

@@ -81,6 +81,15 @@ def test_hard_rows_and_lookups(spark, tmp_path):
     assert found == [(5, n) for n, t in enumerate(library("word " * 3000)) if t == word]
 
 
+def test_documents_without_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ""), (2, "a b"), (3, None), (4, "")], "doc_id long, text string").coalesce(1)
+    for name, some in (("all", docs), ("empty", docs.where("doc_id > 2"))):
+        folder = f"file://{tmp_path}/{name}"
+        wavelet.write(some, folder, PATH, None)
+        got = sorted(map(tuple, wavelet.read(spark, folder).select("doc_id", "start", "n_tokens").collect()))
+        assert got == [r for r in [(1, 0, 0), (2, 0, 2), (3, 2, 0), (4, 2, 0)] if name == "all"] or got == [(3, 0, 0), (4, 0, 0)]
+
+
 def test_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert wavelet.round_trip(docs, PATH).count() == 0
