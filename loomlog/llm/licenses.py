@@ -3,10 +3,12 @@
 A text is cut into sentences; those with a legal word are normalised (lower case,
 letters and digits only; what is licensed, and how it is said, becomes ``under``) and
 mapped to identifiers: whole sentences that name a licence to its name, sentences of a
-licence's text (which may go on after a whole word) to their own, any other to ``?``.  The
-identifiers of a document, in order, are then matched against ordered rules, each a
-sequence that stands for a licence; what a rule matches is used up, so that a long form
-isn't found again in its short form.
+licence's text (which may go on after a whole word) to their own, any other to ``?``.  A
+sentence that names several licences or an exception (``A or B``, ``A and B``, ``A with E``)
+gives the identifier of each, if all are known.  The identifiers of a document, in order, are
+then matched against ordered rules, each a sequence that stands for a licence; what a rule
+matches is used up, so that a long form isn't found again in its short form.  That all
+rights are reserved tells a licence only where no other is found.
 """
 
 from __future__ import annotations
@@ -48,6 +50,16 @@ LICENCES = {
     "Zlib": ["zlib license"],
 }
 
+#: Exceptions to licences, normalised: fixed values.
+EXCEPTIONS = {
+    "Autoconf-exception-3.0": "autoconf exception 3 0",
+    "Bison-exception-2.2": "bison exception 2 2",
+    "Classpath-exception-2.0": "classpath exception 2 0",
+    "GCC-exception-3.1": "gcc exception 3 1",
+    "LLVM-exception": "llvm exception",
+    "Linux-syscall-note": "linux syscall note",
+}
+
 #: Whole sentences of other meaning, normalised: fixed values.
 WHOLE = {
     "all-rights-reserved": "all rights reserved",
@@ -69,10 +81,12 @@ SENTENCES = {
     "copyright": "copyright",
     "gpl-2-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-3-or-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl-2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
-    "gpl-received": "you should have received a copy of the gnu general public license along with this program",
+    "gpl-received": "you should have received a copy of the gnu general public license",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl-2.1-or-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-or-later": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "mit-as-is": "the software is provided as is without warranty of any kind",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
@@ -87,7 +101,14 @@ RULES = [
     (("agpl-3-or-later",), "AGPL-3.0-or-later"),
     (("gpl-3-or-later",), "GPL-3.0-or-later"),
     (("gpl-2-or-later",), "GPL-2.0-or-later"),
+    (("gpl-2-only",), "GPL-2.0-only"),
     (("lgpl-2.1-or-later",), "LGPL-2.1-or-later"),
+    (("lgpl-3-or-later",), "LGPL-3.0-or-later"),
+    (("Apache-2.0", "LLVM-exception"), "Apache-2.0 WITH LLVM-exception"),
+    (("GPL-2.0-only", "Classpath-exception-2.0"), "GPL-2.0-only WITH Classpath-exception-2.0"),
+    (("GPL-2.0-only", "Linux-syscall-note"), "GPL-2.0-only WITH Linux-syscall-note"),
+    (("GPL-2.0-or-later", "Classpath-exception-2.0"), "GPL-2.0-or-later WITH Classpath-exception-2.0"),
+    (("GPL-3.0-or-later", "GCC-exception-3.1"), "GPL-3.0-or-later WITH GCC-exception-3.1"),
     (("Apache-2.0", "apache-compliance", "apache-copy", "apache-as-is", "apache-see"), "Apache-2.0"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"), "BSD-2-Clause"),
@@ -98,23 +119,34 @@ RULES = [
     (("unlicense-grant",), "Unlicense"),
     (("zlib-grant",), "Zlib"),
     *(((name,), name) for name in LICENCES),
-    (("all-rights-reserved",), "Proprietary"),
 ]
 
+#: The identifier that stands for a licence where no rule matches, and that licence.
+ELSE = ("all-rights-reserved", "Proprietary")
+
 #: A sentence without any of these is not a legal one; every known one has some.
 LEGAL = (
     "licens|licenc|copyright|permission|warrant|redistribut|rights reserved|law or agreed|any later version|hope that|unencumbered|gpl[- v]*[0-9]|cc0"
     "|(?:released|distributed|published|available) under (?:the )?(?:mit|isc|apache|bsd|cc)(?:[^a-z]|$)"
 )
-#: A line that goes on in lower case is part of the sentence before.
-WRAPPED = r"([a-z,])\n([a-z(])"
+#: A line that goes on in lower case, after a comment's leader perhaps, is part of the
+#: sentence before.
+WRAPPED = r"([a-z,])[ \t\r]*\n(?:[ \t]+[*]+[ \t]*|[ \t]*(?:[#;%]+|//+|--+)[ \t]*|[ \t]*)([a-z(])"
 BETWEEN = r"[.!?]+[ \t\n\r\f]+|\n"
+#: A version "or later", as ``GPLv2+`` has it.
+PLUS = "([0-9])[+]"
 #: What is licensed, and what is said after the licence's name.
 LEAD = (
-    "^(?:(?:it|this|(?:this|the|our|all|your) [a-z0-9 ]{1,60}) (?:is|are) )?(?:licensed|released|distributed|published|available|made available)"
-    " under (?:the terms of )?(?:the |an |a )?"
+    "^(?:spdx license identifier|(?:(?:it|this|(?:this|the|our|all|your) [a-z0-9 ]{1,60}) (?:is|are) )?(?:dual |also )?"
+    "(?:licensed|released|distributed|published|available|made available) under)(?: the terms of)?(?: both| either(?: of)?)?(?: the| an| a)? "
 )
-TAIL = "^(under .*) (?:the license|see (?:the )?license(?: file)?(?: for details)?)$"
+TAIL = "^(under .*) (?:the license|at your option|see (?:the )?license(?: file)?(?: for details)?)$"
+#: Any name of a program that goes before these words becomes ``this program``.
+NAMED = "^[a-z0-9 ]{1,60} is (free software you can redistribute|distributed in the hope)"
+#: Several licences granted at once, what parts them, and versions, which don't.
+SEVERAL = "^under .* (?:or|and|with) "
+PARTED = " (?:or|and|with) (?:under )?(?:the terms of )?(?:the )?"
+LATER = " or (?:at your option )?(?:any )?later(?: version)?( |$)"
 
 
 def whole() -> dict[str, list[str]]:
@@ -122,16 +154,20 @@ def whole() -> dict[str, list[str]]:
     title and its tag."""
     found = {}
     for name, names in LICENCES.items():
+        names = names + [f"{n} or later" for n in LICENCES.get(name.replace("-or-later", "-only"), []) if name.endswith("-or-later")]
         titles = [n for n in names if "license" in n.split()]
         tag = re.sub("[^a-z0-9]+", " ", name.lower())
         tags = [tag] + [tag.removesuffix(" only")] * tag.endswith(" only")
-        found[name] = [f"under {n}" for n in names] + titles + [f"the {t}" for t in titles] + [f"spdx license identifier {t}" for t in tags]
+        titles += [f"{t} {n}" for t in titles for n in dict.fromkeys(tags + names) if n not in titles]
+        found[name] = list(dict.fromkeys([f"under {n}" for n in names + tags] + titles + [f"the {t}" for t in titles]))
+    found |= {name: [f"under {text}"] for name, text in EXCEPTIONS.items()}
     return found | {name: [text] for name, text in WHOLE.items()}
 
 
 def by_length() -> list[tuple[str, str]]:
     """Longer sentences first, as short ones may begin them."""
-    return sorted(SENTENCES.items(), key=lambda x: (-len(x[1]), x[0]))
+    named = [(name, re.sub(NAMED, r"this program is \1", text)) for name, text in SENTENCES.items()]
+    return sorted(named, key=lambda x: (-len(x[1]), x[0]))
 
 
 def identifiers(text: Column) -> Column:
@@ -140,8 +176,15 @@ def identifiers(text: Column) -> Column:
     legal = F.filter(sentences, lambda s: F.rlike(F.lower(s), F.lit(LEGAL)))
 
     def plain(sentence: Column) -> Column:
-        words = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-        return F.regexp_replace(F.regexp_replace(words, LEAD, "under "), TAIL, "$1")
+        later = F.regexp_replace(F.lower(sentence), PLUS, "$1 or later ")
+        words = F.trim(F.regexp_replace(later, "[^a-z0-9]+", " "))
+        granted = F.regexp_replace(F.regexp_replace(words, LEAD, "under "), TAIL, "$1")
+        return F.regexp_replace(granted, NAMED, "this program is $1")
+
+    def parts(said: Column) -> Column:
+        versions = F.regexp_replace(F.substr(said, F.lit(len("under ") + 1)), LATER, " orlater$1")
+        names = F.transform(F.split(versions, PARTED), lambda n: F.concat(F.lit("under "), F.replace(n, F.lit(" orlater"), F.lit(" or later"))))
+        return F.when(F.rlike(said, F.lit(SEVERAL)), names).otherwise(F.array(said))
 
     def known(said: Column) -> Column:
         found = F.lit("<?>")
@@ -151,7 +194,11 @@ def identifiers(text: Column) -> Column:
             found = F.when(said.isin(texts), F.lit(f"<{name}>")).otherwise(found)
         return found
 
-    return F.array_join(F.transform(F.transform(legal, plain), known), "")
+    def together(ids: Column) -> Column:
+        return F.when(F.array_contains(ids, "<?>"), "<?>").otherwise(F.array_join(ids, ""))
+
+    found = F.transform(F.transform(F.transform(legal, plain), parts), lambda said: F.transform(said, known))
+    return F.array_join(F.transform(found, together), "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +222,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"),
         )
 
-    found = F.aggregate(rules, start, match, lambda s: F.array_join(F.array_distinct(s["found"]), ","))
+    def listed(state: Column) -> Column:
+        fallback = (F.size(state["found"]) == 0) & F.contains(state["left"], F.lit(f"<{ELSE[0]}>"))
+        return F.when(fallback, ELSE[1]).otherwise(F.array_join(F.array_distinct(state["found"]), ","))
+
+    found = F.aggregate(rules, start, match, listed)
     return (
         docs.select(F.col(id_col).alias("doc_id"), identifiers(F.coalesce(F.col(text_col), F.lit(""))).alias("sentences"))
         .withColumn("licences", F.when(F.col("sentences") == "", "").otherwise(found))
@@ -197,22 +248,38 @@ def scan_sql() -> str:
             f"s{n + 1} AS (SELECT nr, doc_id, sentences, replace(rest, '{ids}', '|') AS rest, CASE WHEN contains(rest, '{ids}')"
             f" AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM s{n})"
         )
+    last = f"s{len(RULES)}"
     return f"""
 WITH numbered AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (
-  SELECT nr, string_split_regex(regexp_replace(text, '([a-z,])\\n([a-z(])', '\\1 \\2', 'g'), '[.!?]+[ \\t\\n\\r\\f]+|\\n') AS parts FROM numbered
+  SELECT nr, string_split_regex(regexp_replace(text, '{WRAPPED}', '\\1 \\2', 'g'), '[.!?]+[ \\t\\n\\r\\f]+|\\n') AS parts FROM numbered
 ),
 sentence AS (SELECT nr, unnest(parts) AS part, unnest(range(len(parts))) AS pos FROM cut),
 legal AS (
-  SELECT nr, pos, regexp_replace(regexp_replace(trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')), '{LEAD}', 'under '), '{TAIL}', '\\1') AS plain
+  SELECT nr, pos, trim(regexp_replace(regexp_replace(lower(part), '{PLUS}', '\\1 or later ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS words
   FROM sentence WHERE regexp_matches(lower(part), '{LEGAL}')
 ),
-known AS (SELECT nr, pos, CASE {ladder} ELSE '<?>' END AS id FROM legal),
+said AS (
+  SELECT nr, pos, regexp_replace(regexp_replace(regexp_replace(words, '{LEAD}', 'under '), '{TAIL}', '\\1'), '{NAMED}', 'this program is \\1') AS said
+  FROM legal
+),
+parted AS (
+  SELECT nr, pos, CASE WHEN regexp_matches(said, '{SEVERAL}')
+    THEN ['under ' || replace(x, ' orlater', ' or later') FOR x IN string_split_regex(regexp_replace(substr(said, 7), '{LATER}', ' orlater\\1', 'g'), '{PARTED}')]
+    ELSE [said] END AS names
+  FROM said
+),
+piece AS (SELECT nr, pos, unnest(names) AS plain, unnest(range(len(names))) AS nth FROM parted),
+mapped AS (SELECT nr, pos, nth, CASE {ladder} ELSE '<?>' END AS id FROM piece),
+known AS (SELECT nr, pos, CASE WHEN bool_or(id = '<?>') THEN '<?>' ELSE string_agg(id, '' ORDER BY nth) END AS id FROM mapped GROUP BY nr, pos),
 joined AS (
   SELECT n.nr, n.doc_id, coalesce(k.sentences, '') AS sentences
   FROM numbered n LEFT JOIN (SELECT nr, string_agg(id, '' ORDER BY pos) AS sentences FROM known GROUP BY nr) k ON n.nr = k.nr
 ),
 {", ".join(steps)}
+ended AS (
+  SELECT doc_id, sentences, CASE WHEN len(found) = 0 AND contains(rest, '<{ELSE[0]}>') THEN ['{ELSE[1]}'] ELSE found END AS found FROM {last}
+)
 SELECT doc_id, sentences, array_to_string(found, ',') AS licences,
   CASE WHEN sentences = '' THEN 'none' WHEN len(found) = 0 THEN 'unrecognised' ELSE 'recognised' END AS status
-FROM s{len(RULES)}"""
+FROM ended"""

@@ -30,10 +30,21 @@ ROWS = [
     (18, "The source code of this tool is distributed under the terms of the GNU Affero General Public License, version 3."),
     (19, "This is not licensed under the MIT License."), (20, "Released under CC0-1.0.\nLicensed under the GPLv2 or later."),
     (21, "Copyright (c) 2020 Someone. All rights reserved."), (22, "the license" * 3000),
+    (25, MIT.replace("Someone", "Someone. All rights reserved.")), (26, "The MIT License (MIT)\nPermission is hereby granted, free of charge, to any person obtaining a copy"),
+    (27, "// SPDX-License-Identifier: MIT OR Apache-2.0"), (28, "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    (29, "Dual licensed under MIT and GPLv3."), (30, "".join(f"# {line}\n" for line in GPL.split("\n"))), (31, GPL.replace("This program", "Foo")),
+    (32, "/*\n" + "".join(f" * {line}\r\n" for line in GPL.split("\n")) + " */"), (33, "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception"),
+    (34, "SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0"), (35, "Released under the MIT License and whatever you like."),
+    (36, "Licensed under the GNU GPL v3 or any later version."), (37, "SPDX-License-Identifier: GPL-2.0-or-later OR (MIT AND BSD-3-Clause)"),
+    (38, "Licensed under MIT or orlater and"), (39, "licensed under mit\n" + " " * 50_000 + "X"), (40, "Available under the ISC license\n* or so"),
+    (41, "Bar is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
     (23, "Released under MIT."), (24, "Published under CC-BY 4.0\nReleased under Iscariot."),
 ]
 WANT = {1: "", 2: "", 3: "", 4: "MIT", 5: "MIT", 6: "CC-BY-4.0,CC-BY-NC-4.0", 7: "GPL-3.0-or-later", 8: "Proprietary", 9: "", 11: "CC-BY-NC-4.0"}
 WANT |= {13: "MIT", 14: "", 15: "", 16: "", 17: "LGPL-3.0-only", 18: "AGPL-3.0-only", 19: "", 20: "CC0-1.0,GPL-2.0-or-later", 21: "Proprietary", 22: "", 23: "MIT", 24: "CC-BY-4.0"}
+WANT |= {25: "MIT", 26: "MIT", 27: "Apache-2.0,MIT", 28: "Apache-2.0,MIT", 29: "GPL-3.0-only,MIT", 30: "GPL-3.0-or-later", 31: "GPL-3.0-or-later"}
+WANT |= {32: "GPL-3.0-or-later", 33: "Apache-2.0 WITH LLVM-exception", 34: "GPL-2.0-or-later WITH Classpath-exception-2.0", 35: "", 36: "GPL-3.0-or-later"}
+WANT |= {37: "BSD-3-Clause,GPL-2.0-or-later,MIT", 38: "", 39: "MIT", 40: "ISC", 41: "GPL-2.0-only"}
 
 
 def test_every_known_sentence_is_legal_and_normal():
