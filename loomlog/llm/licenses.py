@@ -276,7 +276,7 @@ joined AS (
   SELECT n.nr, n.doc_id, coalesce(k.sentences, '') AS sentences
   FROM numbered n LEFT JOIN (SELECT nr, string_agg(id, '' ORDER BY pos) AS sentences FROM known GROUP BY nr) k ON n.nr = k.nr
 ),
-{", ".join(steps)}
+{", ".join(steps)},
 ended AS (
   SELECT doc_id, sentences, CASE WHEN len(found) = 0 AND contains(rest, '<{ELSE[0]}>') THEN ['{ELSE[1]}'] ELSE found END AS found FROM {last}
 )
