@@ -4,7 +4,7 @@ Rows of equal text are a group.  Groups that matter to a shard are placed one by
 the many small ones are dealt by hash into parcels of a bounded number, so that what is
 placed never grows with the input.  The largest goes first, each to the shard where the
 dot product of its size with the capacity left is highest.  A group that is more than
-half a shard in any of the three is split, as no balance is possible around it.
+a shard in any of the three is split, as no balance is possible around it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from .shared import written
 #: or more is placed by itself, so at most 3 times as many are.
 PARCELS = 512
 #: Share of a shard beyond which a group is split, into parcels of a PARCELS-th.
-SPLIT = 0.5
+SPLIT = 1.0
 #: Rows that are numbered together.
 NUMBERED = 100_000
 #: Bytes that each row has besides its text.

@@ -40,6 +40,14 @@ def test_hot_group_is_split(spark, monkeypatch):
     assert load.max() / load.mean() < 1.01
 
 
+def test_group_that_fits_a_shard_stays_whole(spark):
+    rows = [(i, "the same text, again and again") for i in range(180)] + [(1000 + i, f"another text of much the same length {i}") for i in range(1820)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    check(rows, got, 8)
+    load = np.bincount([r.shard for r in got], [r.size for r in got])
+    assert len({r.shard for r in got if r.doc_id < 1000}) == 1 and load.max() / load.mean() < 1.01
+
+
 def test_hard_rows(spark, tmp_path):
     rows = [(1, None), (2, None), (3, ""), (None, "x"), (4, "y"), (4, "y"), (5, "ü" * 50_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
