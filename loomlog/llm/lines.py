@@ -15,7 +15,7 @@ without losing a link.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import accumulate, combinations, takewhile
 
 import numpy as np
 import pandas as pd
@@ -225,8 +225,9 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - distance(a, b) / most if most else 1.0
 
 
-def distance(a: str | list[str], b: str | list[str]) -> int:
-    """Levenshtein distance of two sequences."""
+def distance(a: str | list[str], b: str | list[str], most: int | None = None) -> int:
+    """Levenshtein distance of two sequences; some number beyond ``most``, if given, as
+    soon as it is known to be so."""
     i = _shared_start(a, b)
     a, b = a[i:], b[i:]
     i = _shared_start(a[::-1], b[::-1])
@@ -239,11 +240,16 @@ def distance(a: str | list[str], b: str | list[str]) -> int:
         at[x] = at.get(x, 0) | 1 << n
     mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, found = mask, 0, len(a)
+    # Each element of b left over can take one edit away at most.
+    bound = len(b) + (len(a) + len(b) if most is None else most)
     for y in b:
         same = at.get(y, 0)
         diagonal = ((same & up) + up ^ up) | same | down
         right, left = down | ~(diagonal | up) & mask, up & diagonal
         found += bool(right & top) - bool(left & top)
+        bound -= 1
+        if found > bound:
+            return found
         right, left = right << 1 | 1, left << 1
         up, down = (left | ~(diagonal | right)) & mask, right & diagonal & mask
     return found
@@ -259,10 +265,11 @@ def _alike(a: str, b: str) -> bool:
         return False
     if most > 40:
         v, w = a.split(" "), b.split(" ")
-        longest = sorted(map(len, v + w), reverse=True)
-        if sum(n + 1 for n in longest[: distance(v, w)]) <= allowed:
+        costs = accumulate(n + 1 for n in sorted(map(len, v + w), reverse=True))
+        fit = sum(1 for _ in takewhile(lambda cost: cost <= allowed, costs))
+        if distance(v, w, fit) <= fit:
             return True
-    return edit_similarity(a, b) >= SIMILAR
+    return distance(a, b, int(allowed)) <= allowed
 
 
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]

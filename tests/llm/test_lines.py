@@ -190,3 +190,16 @@ def test_counts_of_letters_bound_the_edits():
     b = ["".join(c if rng.random() < 0.9 else "x" for c in t) for t in a]
     reach = lines.reachable(lines.letters(pa.array(a)), lines.letters(pa.array(b)))
     assert all(r for r, x, y in zip(reach, a, b) if lines.edit_similarity(x, y) >= 0.8) and not reach.all()
+
+
+def test_distance_gives_up_only_beyond_the_most():
+    rng = random.Random(5)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randrange(60))) for _ in range(2))
+        if rng.random() < 0.5:
+            b = "".join(x for x in a if rng.random() > 0.1)
+        true, most = lines.distance(a, b), rng.randrange(30)
+        found = lines.distance(a, b, most)
+        assert found == true if true <= most else found > most
+        similar = (1 - true / max(len(a), len(b)) if a or b else 1.0) >= lines.SIMILAR - 1e-9
+        assert lines._alike(a, b) == similar
