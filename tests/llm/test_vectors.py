@@ -109,6 +109,27 @@ def test_ann_recall_and_exact_scores(spark, monkeypatch):
     assert all(v == sorted(v) for v in of.values())
 
 
+def unlike_the_given(kind, n=3_000, dim=16):
+    """Near copies about a common mean; queries unlike all other rows; clusters one after another, of all lengths."""
+    rng = np.random.default_rng(8)
+    if kind == "near copies":
+        return (3 + rng.normal(size=(6, dim)))[rng.integers(0, 6, n)] + 1e-3 * rng.normal(size=(n, dim))
+    if kind == "queries apart":
+        x = 4 * rng.normal(size=(50, dim))[rng.integers(0, 50, n)] + 0.2 * rng.normal(size=(n, dim))
+        x[::20] = rng.normal(size=(len(x[::20]), dim))
+        return x
+    return (rng.normal(size=(30, dim)) * np.exp(rng.normal(size=(30, 1))))[np.arange(n) * 30 // n] + rng.normal(size=(n, dim)) * np.exp(rng.normal(size=(n, 1)) - 2)
+
+
+@pytest.mark.parametrize("kind", ["near copies", "queries apart", "in order"])
+def test_ann_misses_none_on_other_rows(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "ROWS", 1_000)
+    x = dict(enumerate(unlike_the_given(kind).astype(np.float32)))
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<float>")).collect()
+    want = brute(x, 20, 20, dot)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [w[:3] for w in want]
+
+
 def test_ann_returns_all_of_few(spark):
     rows = [(i, [float(i + 1), 1.0]) for i in range(5)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
