@@ -311,9 +311,9 @@ def similar(a: str, b: str) -> bool:
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``keep_one``, of groups linked by a Jaccard similarity of five-word shingles of
-    0.8 or more.  Texts meet under 16 MinHash bands of four; by calculation 0.02 %
-    of pairs at 0.8 don't.  Texts without a word are alike."""
+    """As ``keep_one``, of groups linked by fingerprints or by a Jaccard similarity of five-word shingles of
+    0.8 or more, which three bits mostly don't reach.  For the latter texts meet under 16 MinHash bands of
+    four; by calculation 0.02 % of pairs at 0.8 don't.  Texts without a word are alike."""
     from .lines import band_keys, bands, met_links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,21 +326,30 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 fresh = np.ones(len(order), bool)
                 fresh[1:] = (np.diff(hashes[order]) != 0) | (np.diff(row[order]) != 0)
                 sizes = np.bincount(row[order][fresh], minlength=part.num_rows)
-                columns = [part.column(0), text_hashes(part.column(1)), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "bits", "bands"])
+                fp = np.fromiter((fingerprint(t.as_py()) for t in part.column(1)), np.uint64, part.num_rows)
+                columns = [part.column(0), text_hashes(part.column(1)), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary()), pa.array(fp.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "bits", "bands", "fp"])
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = written(rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, th binary, bits long, bands binary"))
-    distinct = written(found.groupBy("th").agg(F.min("bits").alias("bits"), F.min("bands").alias("bands")).withColumn("number", F.monotonically_increasing_id()))
+    found = written(rows.mapInArrow(tidy(run), f"id {rows.schema['id'].dataType.simpleString()}, th binary, bits long, bands binary, fp long"))
+    distinct = written(
+        found.groupBy("th")
+        .agg(F.min("bits").alias("bits"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
+        .withColumn("number", F.monotonically_increasing_id())
+    )
 
     def texts(numbers: DataFrame) -> DataFrame:
         wanted = distinct.join(numbers, "number").select("number", "th")
         own = rows.select(_text_hash("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
         return own.join(wanted, "th").select("number", "text").dropDuplicates(["number"])
 
-    linked = components(met_links(band_keys(distinct, 16), texts, close, similar), "a", "b").withColumnRenamed("node", "number")
+    firsts = written(distinct.groupBy("fp").agg(F.min("number").alias("number")))
+    equal = distinct.select("fp", F.col("number").alias("b")).join(firsts.withColumnRenamed("number", "a"), "fp").select("a", "b")
+    near = links(firsts.select("fp")).toDF("left", "right").join(firsts.toDF("left", "a"), "left").join(firsts.toDF("right", "b"), "right").select("a", "b")
+    met = met_links(band_keys(distinct, 16), texts, close, similar)
+    linked = components(met.union(equal.where("a != b")).union(near), "a", "b").withColumnRenamed("node", "number")
     of = distinct.select("th", "number").join(linked, "number", "left").select("th", F.coalesce("component", "number").alias("component"))
     return keep_first(docs, found.select("id", "th").join(of, "th"), id_col, text_col)

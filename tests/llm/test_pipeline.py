@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+from loomlog.llm import simhash
 from tests.llm.test_lines import brute_dedup
 from tests.llm.test_simhash import brute_components
 
@@ -99,3 +100,17 @@ def test_near_dedup_finds_jaccard_of_five_words(spark):
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
     assert got == set(group) and len(got) < len(texts)
+
+
+def test_near_dedup_links_fingerprints_within_three_bits(spark):
+    # Long runs that repeat outweigh ten words that differ in a SimHash, but not in sets of shingles.
+    runs = [" ".join(f"g{g}w{i}" for i in range(10)) for g in range(4)]
+    texts = [" ".join([run] * 60 + [f"g{g}c{c}x{i}" for i in range(10)]) for g, run in enumerate(runs) for c in range(3)]
+    # Fingerprints of a chain of few bits, some equal.
+    labels = brute_components(list(enumerate(texts)))
+    heads = {label for _, label in labels.values()}
+    assert not any(simhash.similar(a, b) for i, a in enumerate(texts) for b in texts[:i])
+    assert len(heads) < len(texts) and len({fp for fp, _ in labels.values()}) > len(heads)
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert got == heads
