@@ -42,9 +42,16 @@ CROWD, CHUNK = 64, 512
 SAMPLED, SEEN, HEAVY = 64, 1_000, 10_000
 #: Bands of three minima under which lines meet, and bytes up to which trigrams count too.
 BANDS, SHORT = 16, 48
+#: Hashes of which minima are taken at once.
+CACHED = 1 << 14
+#: Keys dealt to a task.
+DEALT = 1 << 19
 #: Bits that tell which lines' texts are wanted, as a power of two.
 WANTED_BITS = 24
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Alike = Callable[[list[str], list[str]], np.ndarray]
+
 _SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1]).astype(np.uint8).copy().view("<u8").ravel()
 
 
@@ -100,14 +107,24 @@ def bands(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, count: int = B
     # What lies between two sets is cut off, so that each begins where the last one ends.
     edges = np.bincount(start, minlength=len(hashes) + 1) - np.bincount(end, minlength=len(hashes) + 1)
     hashes = hashes[np.cumsum(edges)[: len(hashes)] > 0]
-    first = np.cumsum(end - start) - (end - start)
-    factors = mixed(np.arange(1, count * rows + 1, dtype=np.uint64)) | np.uint64(1)
-    for n in range(count):
-        band = np.full(len(start), n, np.uint64)
-        for factor in factors[n * rows : (n + 1) * rows]:
-            least = np.minimum.reduceat((hashes * factor >> np.uint64(32)).astype(np.uint32), first)
-            band = mixed(band * np.uint64(0xBF58476D1CE4E5B9) + least)
-        out[:, n] = band >> np.uint64(32)
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    last = np.cumsum(end - start)
+    factors = (mixed(np.arange(1, count * rows + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    weights = mixed(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
+    begin = 0
+    while begin < len(start):  # so many sets at a time as the processor's cache holds
+        at = int(last[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(last, at + CACHED, "right")))
+        now = hashes[at : int(last[stop - 1])]
+        first = np.append(at, last[begin : stop - 1]) - at
+        least = np.empty((count, rows, stop - begin), np.uint32)
+        for n, factor in enumerate(factors):
+            np.minimum.reduceat(now * factor, first, out=least[n // rows, n % rows])
+        band = np.repeat(np.arange(1, count + 1, dtype=np.uint64)[:, None], stop - begin, axis=1)
+        for n in range(rows):
+            band += least[:, n] * weights[n]
+        out[begin:stop] = (mixed(band) >> np.uint64(32)).T
+        begin = stop
     return out
 
 
@@ -119,9 +136,13 @@ _LETTER = np.array([8 if 0x80 <= b < 0xC0 else (" etaoinsrhldcumfpgwybvk".find(c
 def letters(text: pa.Array) -> np.ndarray:
     """Eight counts of characters (255 at most) side by side in a signed long each."""
     data, at = _bytes(text)
-    line = np.repeat(np.arange(len(text)), np.diff(at))
-    counts = np.bincount(line * 9 + _LETTER[data], minlength=9 * len(text)).reshape(-1, 9)[:, :8]
-    return np.ascontiguousarray(np.minimum(counts, 255).astype(np.uint8)).view("<i8").ravel()
+    out = np.zeros((len(text), 8), np.uint8)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        of = _LETTER.astype(np.uint8)[data]
+        for n in range(8):
+            out[some, n] = np.minimum(np.add.reduceat((of == n).view(np.uint8), at[:-1][some], dtype=np.uint32), 255)
+    return out.view("<i8").ravel()
 
 
 def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +170,64 @@ def within_radius(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= RADIUS
 
 
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(of: np.uint64, count: int) -> np.ndarray:
+    out = np.full(count, of, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+#: Bytes of lines that are hashed at a time, and the powers for so many.
+PIECE = 1 << 16
+_UP = _powers(_POWER, PIECE + 1)
+_DOWN = _powers(np.uint64(pow(int(_POWER), -1, 1 << 64)), PIECE + 1)
+
+
+def _neighbours(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each two neighbouring words (a single one alone) of the lines, which have a space
+    between words, none at their ends, and no byte between one and the next; where each line's begin.
+
+    Of running sums of ``byte * p^i`` (modulo 2^64, p odd) the difference of two, over the
+    power at the first, is the same for the same bytes anywhere."""
+    end = begin + length
+    space = np.flatnonzero(data == 32)
+    words = np.searchsorted(space, end) - np.searchsorted(space, begin) + 1
+    at = np.append(0, np.cumsum(words))
+    # The starts of words: of lines, and behind each space; their ends likewise.
+    starts = np.empty(at[-1], np.int64)
+    inner = np.ones(at[-1], bool)
+    inner[at[:-1]] = False
+    starts[at[:-1]], starts[inner] = begin, space + 1
+    stops = np.empty(at[-1], np.int64)
+    inner[at[:-1]] = True
+    inner[at[1:] - 1] = False
+    stops[at[1:] - 1], stops[inner] = end, space
+    # Of a line of several words the last begins no pair.
+    lone = np.repeat(words == 1, words)
+    two = inner | lone
+    upto = np.where(lone, stops, np.append(stops[1:], 0))[two]
+    starts = starts[two]
+    up, down = _UP, _DOWN
+    if len(data) > PIECE:
+        up, down = _powers(up[1], len(data) + 1), _powers(down[1], len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mixed((sums[upto] - sums[starts]) * down[starts]), np.append(0, np.cumsum(words - (words > 1)))
+
+
 def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
     """The bands of each line: those over its pairs of words, and, of a short line, over
     its trigrams (of bytes, with a space at both ends)."""
-    at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
     found = np.zeros((len(words), 2 * BANDS), np.uint32)
     filled = np.zeros(found.shape, bool)
-    length = pc.binary_length(text.cast(pa.binary())).to_numpy(zero_copy_only=False)
-    some = np.flatnonzero(length)  # an empty line is given with an empty word
+    data, ends = _bytes(text)
+    length = np.diff(ends)
+    some = np.flatnonzero(length)
     if len(some):
-        flat = words.flatten().dictionary_encode()
-        distinct = flat.dictionary.cast(pa.binary()).to_pylist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[flat.indices.to_numpy()]
-        size = np.diff(at)[some]
-        found[some, :BANDS] = bands(np.append(_pairs(hashes, at), np.uint64(0)), at[:-1][some], at[:-1][some] + size - (size > 1))
+        pairs, at = _neighbours(data, ends[:-1][some], length[some])
+        found[some, :BANDS] = bands(np.append(pairs, np.uint64(0)), at[:-1], at[1:])
         filled[some, :BANDS] = True
         short = some[length[some] <= SHORT]
         data, ends = _bytes(pc.binary_join_element_wise(" ", text.take(pa.array(short)), " ", ""))
@@ -175,21 +240,77 @@ def signatures(words: pa.ListArray, text: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(found[filled])])
 
 
+def _keys_of(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of column ``bands``, and the row of each."""
+    size = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
+    band = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").astype(np.int64)
+    place = np.arange(len(band)) - np.repeat(np.cumsum(size) - size, size)
+    return place % width << 32 | band, np.repeat(np.arange(batch.num_rows), size)
+
+
 def band_keys(distinct: DataFrame, width: int) -> DataFrame:
     """``key, number, bits``: a row for each band of column ``bands``, of which a key
     names the place and ``width`` places follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 4
-            band = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").astype(np.int64)
-            place = np.arange(len(band)) - np.repeat(np.cumsum(size) - size, size)
-            row = pa.array(np.repeat(np.arange(batch.num_rows), size))
-            yield pa.RecordBatch.from_arrays([pa.array(place % width << 32 | band), batch.column(0).take(row), batch.column(1).take(row)], ["key", "number", "bits"])
+            key, row = _keys_of(batch, width)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(row), batch.column(1).take(row)], ["key", "number", "bits"])
 
     return distinct.select("number", "bits", "bands").mapInArrow(tidy(run), "key long, number long, bits long")
 
 
+def met_bands(distinct: DataFrame, width: int, heavy: DataFrame, most: int, close: Near) -> DataFrame:
+    """What ``_meetings`` gives of ``band_keys`` without the ``heavy`` keys, some ``DEALT`` of them to
+    a task.  Keys travel in runs, a row for those of a batch that go to one task, as most are
+    of a single line and a row each costs more than all that is done with them."""
+    count = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * width // DEALT))
+    left_out = np.sort(np.array([r.key for r in heavy.collect()], np.int64))  # HEAVY at most
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = _keys_of(batch, width)
+            if len(left_out):
+                kept = left_out[np.minimum(np.searchsorted(left_out, key), len(left_out) - 1)] != key
+                key, row = key[kept], row[kept]
+            part = (mixed(key.view(np.uint64)) % np.uint64(count)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            number, bits = (batch.column(n).to_numpy()[row[order]] for n in (0, 1))
+            run = np.stack([key[order], number, bits], axis=1)
+            parts, first = np.unique(part[order], return_index=True)
+            ends = np.append(first, len(order)).astype(np.int32) * run.itemsize * 3
+            runs = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(run)])
+            yield pa.RecordBatch.from_arrays([pa.array(parts), runs], ["part", "run"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), np.int64).reshape(-1, 3)
+        order = np.argsort(run[:, 0])
+        same = np.append(np.diff(run[order, 0]) == 0, False)[: len(run)]
+        run = run[order[same | np.append(False, same)[: len(run)]]]
+        if len(run):
+            yield from _meetings(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in run.T.copy()], ["key", "number", "bits"])]), most, close)
+
+    runs = distinct.select("number", "bits", "bands").mapInArrow(tidy(deal), "part int, run binary")
+    return runs.repartition(count, "part").mapInArrow(tidy(meet), "key long, a long, b long, bits long")
+
+
+def _pieces(text: pa.Array) -> Iterator[slice]:
+    """Lines in order, of ``PIECE`` bytes together or one alone."""
+    _, at = _bytes(text)
+    begin = 0
+    while begin < len(text):
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + PIECE, "right")) - 1)
+        yield slice(begin, end)
+        begin = end
+
+
+def _signed(words: pa.ListArray, text: pa.Array) -> tuple[pa.Array, pa.Array]:
+    found = [(letters(t), signatures(w, t)) for p in _pieces(text) for t, w in [(text[p], words[p])]]
+    if not found:
+        return pa.array([], pa.int64()), pa.array([], pa.binary())
+    return pa.array(np.concatenate([x for x, _ in found])), pa.concat_arrays([x for _, x in found])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 4):
@@ -200,9 +321,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.R
             words, text = normal(cut.flatten())
             keep = pc.not_equal(text, "")
             hashes = pa.array([xxhash.xxh3_128_digest(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())
-            bits, of = (letters(text), signatures(words, text)) if wide else (simhashes(words), pa.nulls(len(text), pa.binary()))
+            bits, of = _signed(words, text) if wide else (pa.array(simhashes(words)), pa.nulls(len(text), pa.binary()))
             out = pa.RecordBatch.from_arrays(
-                [part.column(0).take(row), part.column(2).take(row), pa.array(number, pa.int32()), hashes, pa.array(bits), of],
+                [part.column(0).take(row), part.column(2).take(row), pa.array(number, pa.int32()), hashes, bits, of],
                 ["id", "th", "nr", "line", "bits", "bands"],
             )
             yield out.filter(keep)
@@ -272,26 +393,136 @@ def _alike(a: str, b: str) -> bool:
     return distance(a, b, int(allowed)) <= allowed
 
 
-Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Cells that a step over many pairs takes at once, characters up to which lines are compared
+#: so, pairs from which it pays, and steps between two looks at what can still be alike.
+CELLS, LONGEST, FEW, LOOK = 1 << 15, 4096, 8, 64
+
+
+def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts as small numbers, and each text's length."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    top = int(flat.max(initial=0))
+    return flat.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _laid(texts: list[str], rows: int, backwards: bool = False) -> np.ndarray:
+    """A column a text; character ``n`` (from 1) in row ``n``, or so many from the last row."""
+    flat, size = _symbols(texts)
+    out = np.zeros((rows, len(texts)), flat.dtype)
+    n = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1
+    out[rows - 1 - n if backwards else n, np.repeat(np.arange(len(texts)), size)] = flat
+    return out
+
 
+def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distance of each pair is ``most`` at most.
+
+    The matrices of all pairs are filled together, one antidiagonal after another, on the
+    diagonals that a path of so many edits can touch.  Texts end in equal characters
+    without end, which change no distance, so that all pairs end on the last two."""
+    a, b = [max(x, y, key=len) for x, y in zip(a, b)], [min(y, x, key=len) for x, y in zip(a, b)]
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    more = size_a - size_b
+    spare = (most - more) // 2
+    below, steps = int(spare.max()), int((size_a + size_b).max())
+    diagonals = below + int((more + spare).max()) + 1
+    rows = (steps + diagonals) // 2 + 2
+    across, down = _laid(a, rows), _laid(b, rows, True)
+    limit = int(most.max())
+    kind, far = (np.uint8, 254) if limit < 254 - LOOK else (np.uint16, 60_000)
+    # Diagonal d is a - b + below: even and odd ones apart, as steps alternate between them.
+    cells = [np.full((diagonals // 2 + 3, len(a)), far, kind) for _ in range(2)]
+    cells[below % 2][below // 2 + 1] = 0
+    out, of = np.zeros(len(a), bool), np.arange(len(a))
+    for t in range(1, steps + 1):
+        odd = (t + below) % 2
+        low, high = max(0, below - t), min(diagonals - 1, below + t)
+        first, last = (low - odd + 1) // 2, (high - odd) // 2 + 1
+        if first < last:
+            n = last - first
+            i = (t + odd - below) // 2 + first
+            j = rows - 1 - (t - odd + below) // 2 + first
+            here, beside = cells[odd][first + 1 : last + 1], cells[1 - odd]
+            here += (across[i : i + n] != down[j : j + n]).view(np.uint8)
+            step = np.minimum(beside[first + odd : first + odd + n], beside[first + odd + 1 : first + odd + n + 1])
+            step += 1
+            np.minimum(here, step, out=here)
+        if t >= steps - 1:
+            ended = np.flatnonzero((size_a + size_b)[of] % 2 == t % 2)
+            place = more[of[ended]] + below
+            out[of[ended]] = cells[odd][place // 2 + 1, ended] <= most[of[ended]]
+        elif t % LOOK == 0:
+            for x in cells:
+                np.minimum(x, far - LOOK, out=x)
+            left = np.flatnonzero(np.minimum(cells[0].min(axis=0), cells[1].min(axis=0)) <= most[of])
+            if not len(left):
+                break
+            if 2 * len(left) < len(of):
+                across, down, of = across[:, left], down[:, left], of[left]
+                cells = [x[:, left] for x in cells]
+    return out
 
-def _forest(pdf: pd.DataFrame, close: Near, alike: Callable[[str, str], bool]) -> pd.DataFrame:
-    """A spanning forest of the links among the lines of one pair of blocks."""
+
+def alike_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """``_alike`` of each pair, many pairs of about one length at a time."""
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    longer = np.maximum(size_a, size_b)
+    allowed = ((1 - SIMILAR) * longer + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    order = np.flatnonzero(abs(size_a - size_b) <= allowed)
+    order = order[np.argsort(longer[order], kind="stable")]
+    while len(order):
+        # Pairs of up to a quarter more characters (and a few) go together, within the cells.
+        end = int(np.searchsorted(longer[order], longer[order[0]] * 5 // 4 + 8, "right"))
+        end = min(end, max(FEW, CELLS // (int(allowed[order[end - 1]]) // 2 + 1)))
+        now, order = order[:end], order[end:]
+        left, right = [a[n] for n in now], [b[n] for n in now]
+        if len(now) < FEW or longer[now[-1]] > LONGEST:
+            out[now] = [_alike(x, y) for x, y in zip(left, right)]
+        else:
+            out[now] = _within(left, right, allowed[now])
+    return out
+
+
+#: Pairs of a block that are compared at once, at first and at most.
+TOGETHER, AT_MOST = 1 << 10, 1 << 14
+
+
+def _forest(pdf: pd.DataFrame, close: Near, alike: Alike) -> pd.DataFrame:
+    """A spanning forest of the links among the lines of one pair of blocks.  Lines that are
+    linked already aren't compared, nor those that a smaller one of their crowded ``keys`` brings together."""
     pdf = pdf.drop_duplicates("number")
-    line, text, bits = pdf["number"].tolist(), pdf["text"].tolist(), pdf["bits"].to_numpy()
-    left, edges = np.ones(len(line), bool), []
-    for root in range(len(line)):
-        todo = [root] if left[root] else []
-        left[root] = False
-        while todo:
-            at = todo.pop()
-            others = np.flatnonzero(left)
-            near = others[close(bits[others], np.full(len(others), bits[at]))]
-            new = [n for n in near.tolist() if alike(text[at], text[n])]
-            left[new] = False
-            edges += [(line[at], line[n]) for n in new]
-            todo += new
-    return pd.DataFrame(np.array(edges, np.int64).reshape(-1, 2), columns=["a", "b"])
+    line, text, bits = pdf["number"].to_numpy(), pdf["text"].tolist(), pdf["bits"].to_numpy()
+    count, key = len(line), pdf["key"].iat[0]
+    elsewhere = np.zeros((count, count), bool)
+    if "keys" in pdf:
+        size = pdf["keys"].map(len).to_numpy()
+        other = pd.Series(np.repeat(np.arange(count), size)).groupby(np.concatenate(pdf["keys"].to_list()))
+        for k, members in other.indices.items():
+            if k < key and len(members) > 1:
+                at = other.obj.to_numpy()[members]
+                elsewhere[np.ix_(at, at)] = True
+    group, edges, at, together = np.arange(count), [np.zeros((0, 2), np.int64)], 0, TOGETHER
+    while at < count - 1:
+        # The first alone and with all, as it may be linked with all.
+        end = min(count, at + (max(1, together // (count - at)) if at else 1))
+        row, column = np.divmod(np.arange((end - at) * (count - at)), count - at)
+        row, column = row + at, column + at
+        new = (row < column) & (group[row] != group[column])
+        if at:
+            new &= ~elsewhere[row, column]
+        row, column, at = row[new], column[new], end
+        near = close(bits[column], bits[row])
+        row, column = row[near], column[near]
+        found = np.flatnonzero(alike([text[n] for n in row], [text[n] for n in column]))
+        merged = len(edges)
+        for a, b in zip(row[found].tolist(), column[found].tolist()):
+            if group[a] != group[b]:
+                group[group == group[b]] = group[a]
+                edges.append(np.array([[line[a], line[b]]]))
+        # Where few are linked, little is spared by looking often.
+        together = TOGETHER if 8 * (len(edges) - merged) > len(row) else min(2 * together, AT_MOST)
+    return pd.DataFrame(np.concatenate(edges), columns=["a", "b"])
 
 
 def _keys(bits: str, lines: int) -> Column:
@@ -413,32 +644,36 @@ def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def links(source: DataFrame, distinct: DataFrame, wide: bool = False) -> DataFrame:
     """Links ``a``, ``b`` between distinct lines (``number, bits, bands, id, th, nr``)."""
-    if wide:
-        keyed = band_keys(distinct, 2 * BANDS)
-    else:
-        keyed = distinct.select(F.explode(_keys("bits", distinct.count())).alias("key"), "number", "bits")
+    keys = None if wide else _keys("bits", distinct.count())
 
     def texts(numbers: DataFrame) -> DataFrame:
         return _texts_of(source, written(distinct.join(numbers, "number").select("number", "id", "th", "nr")))
 
-    return met_links(keyed, texts, reachable if wide else within_radius, _alike)
+    return met_links(distinct, keys, 2 * BANDS, texts, reachable if wide else within_radius, alike_pairs)
 
 
 def met_links(
-    keyed: DataFrame,
+    distinct: DataFrame,
+    keys: Column | None,
+    width: int,
     texts_of: Callable[[DataFrame], DataFrame],
     close: Near,
-    alike: Callable[[str, str], bool],
+    alike: Alike,
 ) -> DataFrame:
-    """Links ``a``, ``b`` between the texts that meet under a key (``key, number, bits``),
-    have ``close`` bits and are ``alike``.
+    """Links ``a``, ``b`` between the texts (``number, bits`` of ``distinct``) that meet under one of
+    ``keys`` (none: column ``bands``, ``width`` places), have ``close`` bits and are ``alike``.
 
-    Rows are sorted by key and compared as they stream by; no link of a key is lost.
+    Those of a key are compared as they follow one another; no link of a key is lost.
     The lines of a crowded key are dealt into blocks instead, whose pairs each give a
     spanning forest: neither a task nor the result holds all pairs.  The most crowded
     keys are told from a sample beforehand and not sorted into one task.
     """
-    sample = keyed.where(F.pmod(F.xxhash64("number"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+
+    def keyed_of(some: DataFrame) -> DataFrame:
+        return band_keys(some, width) if keys is None else some.select(F.explode(keys).alias("key"), "number", "bits")
+
+    keyed = keyed_of(distinct)
+    sample = keyed_of(distinct.where(F.pmod(F.xxhash64("number"), F.lit(SAMPLED)) == 0)).groupBy("key").agg(F.count("*").alias("n"))
     heavy = written(sample.where(F.col("n") > SEEN).orderBy(F.desc("n"), "key").limit(HEAVY).select("key"))
     # At most HEAVY keys: small enough to broadcast.
     rest = keyed.join(F.broadcast(heavy), "key", "left_anti")
@@ -449,12 +684,16 @@ def met_links(
 
     @F.arrow_udf(BooleanType())
     def alike_rows(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([alike(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+        return pa.array(alike(a.to_pylist(), b.to_pylist()), pa.bool_())
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         return _forest(pdf, close, alike)
 
-    met = written(rest.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(meet), "key long, a long, b long, bits long"))
+    if keys is None:
+        met = met_bands(distinct, width, heavy, most, close)
+    else:
+        met = rest.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(meet), "key long, a long, b long, bits long")
+    met = written(met)
     pairs = written(met.where("b is not null").select("a", "b").distinct())
     crowded = written(
         met.where("b is null").select("key", F.col("a").alias("number"), "bits").union(keyed.join(F.broadcast(heavy), "key"))
@@ -470,11 +709,13 @@ def met_links(
     if crowded.isEmpty():
         return found
     sizes = crowded.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+    others = crowded.groupBy("number").agg(F.collect_set("key").alias("keys"))
     dealt = (
         crowded.join(sizes, "key")
+        .join(others, "number")
         .withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "number", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("key", "keys", "number", "bits", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(texts, "number")
     )
     return found.union(dealt.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))

@@ -310,11 +310,15 @@ def similar(a: str, b: str) -> bool:
     return 5 * len(x & y) >= 4 * len(x | y)
 
 
+def similar_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    return np.fromiter(map(similar, a, b), bool, len(a))
+
+
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``keep_one``, of groups linked by fingerprints or by a Jaccard similarity of five-word shingles of
     0.8 or more, which three bits mostly don't reach.  For the latter texts meet under 16 MinHash bands of
     four; by calculation 0.02 % of pairs at 0.8 don't.  Texts without a word are alike."""
-    from .lines import band_keys, bands, met_links
+    from .lines import bands, met_links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,7 +353,7 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = written(distinct.groupBy("fp").agg(F.min("number").alias("number")))
     equal = distinct.select("fp", F.col("number").alias("b")).join(firsts.withColumnRenamed("number", "a"), "fp").select("a", "b")
     near = links(firsts.select("fp")).toDF("left", "right").join(firsts.toDF("left", "a"), "left").join(firsts.toDF("right", "b"), "right").select("a", "b")
-    met = met_links(band_keys(distinct, 16), texts, close, similar)
+    met = met_links(distinct, None, 16, texts, close, similar_pairs)
     linked = components(met.union(equal.where("a != b")).union(near), "a", "b").withColumnRenamed("node", "number")
     of = distinct.select("th", "number").join(linked, "number", "left").select("th", F.coalesce("component", "number").alias("component"))
     return keep_first(docs, found.select("id", "th").join(of, "th"), id_col, text_col)

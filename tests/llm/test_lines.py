@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -203,3 +204,44 @@ def test_distance_gives_up_only_beyond_the_most():
         assert found == true if true <= most else found > most
         similar = (1 - true / max(len(a), len(b)) if a or b else 1.0) >= lines.SIMILAR - 1e-9
         assert lines._alike(a, b) == similar
+
+
+def test_pairs_compare_together_as_alone():
+    rng = random.Random(6)
+    a = ["".join(rng.choice("abcé 漢😀"[: rng.choice([2, 5, 7])]) for _ in range(rng.choice([0, 1, 4, 5, 30, 60, 200, 1200]))) for _ in range(900)]
+    b = ["".join(c if rng.random() > share else rng.choice(["", "x", "yz"]) for c in t) for t in a for share in [rng.choice([0, 0.05, 0.15, 0.5])]]
+    alone = [lines._alike(x, y) for x, y in zip(a, b)]
+    assert lines.alike_pairs(a, b).tolist() == lines.alike_pairs(b, a).tolist() == alone and 200 < sum(alone) < 800
+
+
+def test_a_crowd_is_compared_together(monkeypatch):
+    """Of a crowd of unlike lines few are compared one by one, and none that meet elsewhere."""
+    rng = random.Random(7)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(150)]
+    text = [t for t in base for t in (t, t[:60] + "x" + t[60:])]
+    pdf = pd.DataFrame({"key": 5, "number": range(300), "bits": 0, "text": text})
+    calls = []
+
+    def counted(a, b):
+        calls.append(len(a))
+        return lines.alike_pairs(a, b)
+
+    near = lambda x, y: np.ones(len(x), bool)
+    got = lines._forest(pdf, near, counted)
+    assert sorted(zip(got.a, got.b)) == [(n, n + 1) for n in range(0, 300, 2)] and len(calls) < 30
+    full, calls[:] = sum(calls), []
+    got = lines._forest(pdf.assign(keys=[[5, 3]] * 200 + [[5]] * 100), near, counted)
+    assert sorted(zip(got.a, got.b)) == [(0, 1)] + [(n, n + 1) for n in range(200, 300, 2)] and sum(calls) < full
+
+
+def test_hashes_of_neighbours_are_of_their_bytes_alone(monkeypatch):
+    text = lines.normal(pa.array(["a b c", "b c", "word", "c", "é ü " * 20, "b c d"]))[1]
+    data, at = lines._bytes(text)
+    hashes, of = lines._neighbours(data, at[:-1], np.diff(at))
+    rows = [hashes[x:y].tolist() for x, y in zip(of, of[1:])]
+    assert rows[0][1] == rows[1][0] == rows[5][0] and [len(r) for r in rows] == [2, 1, 1, 1, 39, 2]
+    assert len({h for r in rows for h in r}) == 7
+    words, form = lines.normal(text)
+    whole = [x.to_pylist() for x in lines._signed(words, form)]
+    monkeypatch.setattr(lines, "PIECE", 8)
+    assert [x.to_pylist() for x in lines._signed(words, form)] == whole
