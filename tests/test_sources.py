@@ -38,6 +38,29 @@ def test_state_as_of_from_checkpoints(spark, tmp_path):
     assert {p for r in files for p in r.f.split("/") if "=" in p} <= {"at=5", "part=5", "part=2", "at=2"}
 
 
+def test_states_kept_at_once_hold_a_row_once(spark, tmp_path):
+    rows = [("s", n, "deleteRow" if n % 41 == 3 else "putRow", "t", f"[{n if n < 200 else n % 7}]", n) for n in range(1, 641)]
+    log = spark.createDataFrame(rows, LOG)
+    kept = StateCheckpoints(spark, str(tmp_path / "all"), log.schema, 4)
+    kept.write(log)
+    held = [spark.read.parquet(str(f)).count() for f in Path(tmp_path / "all").rglob("*.parquet") if "log" not in f.parent.parts[-1]]
+    assert 0 < sum(held) <= len(rows) and len(held) < 20
+    for sequence in (127, 128, 257, 512, 639, 700):
+        assert rows_of(kept.at(sequence)) == rows_of(M.state(log, sequence)), sequence
+
+
+def test_states_extended_after_all_at_once(spark, tmp_path):
+    log = a_log(spark)
+    kept = StateCheckpoints(spark, str(tmp_path / "both"), log.schema, 10)
+    kept.write(log.where("sequence <= 44"))
+    for part in range(4, 10):
+        kept.extend(log.where(f"sequence > {part * 10} and sequence <= {part * 10 + 10}"), part)
+    for sequence in (23, 44, 57, 99):
+        assert rows_of(kept.at(sequence)) == rows_of(M.state(log, sequence)), sequence
+    kept.write(log.where("sequence <= 57"))
+    assert rows_of(kept.at(99)) == rows_of(M.state(log, 57))
+
+
 def test_projection_rewrites_touched_buckets_only(spark, tmp_path):
     rows = spark.range(40).selectExpr("id", "'old' AS a", "cast(null AS string) AS b")
     log = spark.createDataFrame([("s", 1, "putRow", 3, "x", "y"), ("s", 2, "deleteRow", 5, None, None), ("s", 3, "putRow", 3, "z", None), ("t", 1, "putRow", 77, "n", "m")], "stream_id string, sequence long, op string, id long, a string, b string")
