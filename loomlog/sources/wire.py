@@ -61,7 +61,9 @@ def encode_responses(pages: DataFrame, entries: DataFrame, decisions: DataFrame
     through_sequence, head_sequence``), their entries (``stream_id, page, sequence,
     operation_id, client_id, client_sequence, intent_hash, operation``) and decisions
     (``stream_id, page, decision_ord, operation_id, status, sequence, operation, reason``;
-    ``operation`` and ``reason`` canonical JSON)."""
+    ``operation`` and ``reason`` canonical JSON).  Entries and decisions of other pages are left out before any list is
+    gathered, since only those of a page are few."""
+    asked = pages.select("stream_id", "page")
     origin = json_object(
         {
             "clientId": json_string(F.col("client_id")),
@@ -77,7 +79,7 @@ def encode_responses(pages: DataFrame, entries: DataFrame, decisions: DataFrame
             "operation": F.col("operation"),
         }
     )
-    lists = entries.groupBy("stream_id", "page").agg(_ordered(one, "sequence").alias("listed"))
+    lists = entries.join(asked, ["stream_id", "page"], "left_semi").groupBy("stream_id", "page").agg(_ordered(one, "sequence").alias("listed"))
     response = json_object(
         {
             "requestedBaseSequence": json_integer(F.col("base_sequence")),
@@ -93,7 +95,8 @@ def encode_responses(pages: DataFrame, entries: DataFrame, decisions: DataFrame
         accepted = json_object(common | {"sequence": json_integer(F.col("sequence")), "operation": F.col("operation")})
         rejected = json_object(common | {"reason": F.col("reason")})
         item = F.when(F.col("status") == "accepted", accepted).otherwise(rejected)
-        rows = rows.join(decisions.groupBy("stream_id", "page").agg(_ordered(item, "decision_ord").alias("decided")), ["stream_id", "page"], "left")
+        told = decisions.join(asked, ["stream_id", "page"], "left_semi").groupBy("stream_id", "page").agg(_ordered(item, "decision_ord").alias("decided"))
+        rows = rows.join(told, ["stream_id", "page"], "left")
     return rows.select(
         "stream_id", "page", _envelope(F.col("stream_id"), "response", response).alias("envelope")
     )

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from loomlog.sources import wire as W
 
 
@@ -24,6 +26,14 @@ def test_empty_page_round_trips(spark):
     assert (row.through_sequence, row.head_sequence, row.sequence, row.error) == (5, 5, None, None)
 
 
+def test_lists_of_other_pages_are_not_gathered(spark, monkeypatch):
+    pages = spark.createDataFrame([("s", 0, 5, 5, 5)], "stream_id string, page long, base_sequence long, through_sequence long, head_sequence long")
+    entries = spark.createDataFrame([("s", p, 6 + p, "o", "c", 1, "h", "{}") for p in (0, -1)], "stream_id string, page long, sequence long, operation_id string, client_id string, client_sequence long, intent_hash string, operation string")
+    decisions = entries.selectExpr("stream_id", "page", "1 AS decision_ord", "operation_id", "'accepted' AS status", "sequence", "operation", "cast(null AS string) AS reason")
+    monkeypatch.setattr(W, "_ordered", lambda json, by: F.max(F.when(F.col("page") < 0, F.raise_error(F.lit("gathered"))).otherwise("[]")))
+    assert len(W.encode_responses(pages, entries, decisions).collect()) == 1
+
+
 def test_decisions_that_are_neither_have_an_error_with_a_path(spark):
     good = '{"protocolVersion":1,"streamId":"s","response":{"requestedBaseSequence":0,"throughSequence":0,"headSequence":9,"entries":[],"decisions":[{"operationId":"a","status":"accepted","sequence":7,"operation":{"x":1}},{"operationId":"b","status":"rejected","reason":{"code":"no"}}]}}'
     rows = [("good", good), ("status", good.replace("rejected", "deferred")), ("sequence", good.replace('"sequence":7,', "")), ("text", "{")]
