@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .validate import PROPOSALS, identity_ok, sequence_ok
+from .validate import ENTRIES, PROPOSALS, identity_ok, sequence_ok
 
 REPLICA = ["stream_id", "client_id"]
 
@@ -56,6 +56,20 @@ def new_entries(replicas: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def entries_between(replicas: DataFrame, entries: DataFrame, after: Column, through: Column, part: int = ENTRIES) -> DataFrame:
+    """A stream's entries as each of its replicas has them, with the replica's ``client_id``: those after one of its
+    sequences, up to another.  Entries are looked up by the parts of the log that the bounds lie in, and once for all
+    replicas of the same bounds, so no replica is held against a whole log."""
+    low, high = F.col("__after"), F.col("__through")
+    spans = replicas.select(*REPLICA, after.cast("long").alias("__after"), through.cast("long").alias("__through")).where(low < high)
+    asked = spans.select("stream_id", "__after", "__through").distinct()
+    asked = asked.withColumn("__part", F.explode(F.sequence(F.floor(low / part), F.floor((high - 1) / part))))
+    cut = entries.withColumn("__part", F.floor((F.col("sequence") - 1) / part))
+    found = cut.join(asked, ["stream_id", "__part"]).where((F.col("sequence") > low) & (F.col("sequence") <= high))
+    mine = [c for c in entries.columns if c not in REPLICA]
+    return found.select("stream_id", "__after", "__through", *mine).join(spans, ["stream_id", "__after", "__through"]).select(*REPLICA, *mine)
+
+
 def merge_gaps(replicas: DataFrame, pages: DataFrame) -> DataFrame:
     """Replicas whose page begins after what they have confirmed."""
     return replicas.join(pages, "stream_id").where(F.col("base_sequence") > F.col("confirmed_sequence"))

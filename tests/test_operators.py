@@ -192,6 +192,18 @@ def test_replicas_of_a_stream_keep_apart(spark):
     assert sorted((r.client_id, r.pk, r.v) for r in view.collect()) == [("a", "[1]", 5), ("b", "[1]", 7), ("b", "[2]", 9)]
 
 
+def test_entries_between_two_sequences_of_each_replica(spark):
+    """Each entry meets the replicas whose bounds reach its part of the log, not all of its stream."""
+    entries = spark.createDataFrame([(s, f"by{n % 3}", n, f"{s}{n}") for s in "st" for n in range(1, 41)], "stream_id string, client_id string, sequence long, operation_id string")
+    spans = [("s", "a", 0, 4), ("s", "b", 3, 4), ("s", "c", 4, 4), ("s", "d", 7, 3), ("s", "e", 3, 17), ("s", "f", 3, 17), ("t", "a", 38, 60), ("u", "a", 0, 9), ("s", "g", None, 5)]
+    replicas = spark.createDataFrame(spans, "stream_id string, client_id string, lo long, hi long")
+    found = R.entries_between(replicas, entries, F.col("lo"), F.col("hi"), 4)
+    want = sorted((s, c, n, f"{s}{n}") for s, c, lo, hi in spans if lo is not None and s in "st" for n in range(1, 41) if lo < n <= hi)
+    assert sorted(map(tuple, found.collect())) == want
+    joins = [p for p in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in p]
+    assert len(joins) == 2 and all("Inner" in p and ("__part" in p or "__through" in p) for p in joins)
+
+
 def test_merge_conflicts(spark):
     replica = "stream_id string, client_id string, "
     replicas = spark.createDataFrame([("s", c, 1, 3) for c in "abcdefg"], replica + "retained_base long, confirmed_sequence long")
