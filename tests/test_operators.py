@@ -192,6 +192,23 @@ def test_replicas_of_a_stream_keep_apart(spark):
     assert sorted((r.client_id, r.pk, r.v) for r in view.collect()) == [("a", "[1]", 5), ("b", "[1]", 7), ("b", "[2]", 9)]
 
 
+@pytest.mark.parametrize("most", [1, 3, 256])
+def test_many_replicas_see_what_each_sees_alone(spark, most):
+    rng = random.Random(most)
+    log = [(s, f"c{rng.randrange(9)}", n, rng.choice(["putRow", "putRow", "deleteRow"]), "t", f"[{rng.randrange(12)}]", n) for s in "st" for n in range(1, 60)]
+    replicas = [(s, f"c{n}", rng.choice([0, 20, 20, 59])) for s in "st" for n in range(9)]
+    box = [(s, f"c{rng.randrange(9)}", n, rng.choice(["putRow", "deleteRow"]), "t", f"[{rng.randrange(14)}]", -n) for s in "st" for n in range(30)]
+    log = spark.createDataFrame(log, "stream_id string, client_id string, sequence long, op string, table_name string, pk string, v int")
+    replicas = spark.createDataFrame(replicas, "stream_id string, client_id string, confirmed_sequence long")
+    box = spark.createDataFrame(box, "stream_id string, client_id string, client_sequence long, op string, table_name string, pk string, v int")
+    rows = lambda df: sorted((r.stream_id, r.client_id, r.pk, r.v) for r in df.collect())
+    seen = M.optimistic_of_replicas(log, replicas, box, most)
+    assert rows(seen) == rows(M.optimistic(M.of_replicas(log, replicas), box, [*M.KEY, "client_id"]))
+    # No window sorts a row of each replica and key: all are below the rows given out.
+    above, _ = seen._jdf.queryExecution().optimizedPlan().toString().split("Generate explode", 1)
+    assert "Window" not in above
+
+
 def test_entries_between_two_sequences_of_each_replica(spark):
     """Each entry meets the replicas whose bounds reach its part of the log, not all of its stream."""
     entries = spark.createDataFrame([(s, f"by{n % 3}", n, f"{s}{n}") for s in "st" for n in range(1, 41)], "stream_id string, client_id string, sequence long, operation_id string")
