@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,22 @@ def merge_responses(replicas: DataFrame, outbox: DataFrame, retained: DataFrame,
         replica, key = None, None
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
-                mine = row["stream_id"], row["client_id"]
+            new: list[pa.RecordBatch] = []
+            tags, sequences = (pc.fill_null(batch[c], -1).to_numpy(zero_copy_only=False) for c in ("tag", "sequence"))
+            cuts = [0, *_changes(batch), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                mine = batch["stream_id"][start].as_py(), batch["client_id"][start].as_py()
                 if mine != key:
-                    out += replica.end() if replica else []
+                    if replica:
+                        out += replica.end(new)
                     replica, key = _Replica(mine), mine
-                replica.take(row)
+                replica.take_all(batch.slice(start, end - start), tags[start:end], sequences[start:end])
             yield _rows(out)
+            yield from _entries(new)
         if replica:
-            yield _rows(replica.end())
+            new = []
+            yield _rows(replica.end(new))
+            yield from _entries(new)
 
     return dealt.mapInArrow(run, MERGED)
 
@@ -81,6 +90,24 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
+def _changes(batch: pa.RecordBatch) -> list[int]:
+    """Where another replica's rows may begin."""
+    found = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for c in REPLICA if batch.num_rows > 1 else ():
+        found |= pc.fill_null(pc.not_equal(batch[c].slice(1), batch[c].slice(0, batch.num_rows - 1)), True).to_numpy(zero_copy_only=False)
+    return (np.flatnonzero(found) + 1).tolist()
+
+
+def _entries(new: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries to append, as they came."""
+    if new:
+        rows = pa.Table.from_batches(new).combine_chunks()
+        none = pa.nulls(len(rows), pa.string())
+        fixed = {"kind": pa.repeat(pa.scalar("entry"), len(rows)), "detail": none, "status": none}
+        names = [f.split()[0] for f in MERGED.split(", ")]
+        yield from pa.table({n: fixed.get(n, rows[n] if n not in fixed else None) for n in names}).to_batches()
+
+
 class _Replica:
     """The merge of one replica's rows as they come."""
 
@@ -89,9 +116,34 @@ class _Replica:
         self.before: list[dict[str, Any]] = []
         self.outbox: dict[str, dict[str, Any]] = {}
         self.accepted: dict[int, str] | None = None  # by sequence; what decisions accept counts
-        self.new: list[dict[str, Any]] = []
+        self.new: list[pa.RecordBatch] = []  # entries to append, without gaps
+        self.added = 0
         self.learned: list[dict[str, Any]] = []
 
+    def take_all(self, rows: pa.RecordBatch, tags: np.ndarray, sequences: np.ndarray) -> None:
+        """Rows in their order.  Entries beyond what is confirmed, most of all rows, stay in their columns; only those
+        that the outbox knows are looked at one by one."""
+        told = int(np.searchsorted(tags >= TAGS["retained"], True))
+        for row in rows.slice(0, told).to_pylist():
+            self.take(row)
+        if self.at is None or self.conflict is not None or told == len(tags):
+            return
+        fresh = (tags == TAGS["entry"]) & (sequences > max(self.base, self.confirmed))
+        first = int(np.argmax(fresh)) if fresh.any() else len(tags)
+        for row in rows.slice(told, first - told).to_pylist():
+            self.take(row)
+        if first == len(tags) or self.conflict is not None:
+            return
+        rows, fresh = rows.slice(first), fresh[first:]
+        if not fresh.all():
+            for row in rows.filter(pa.array(~fresh)).to_pylist():
+                self.take(row)
+            rows = rows.filter(pa.array(fresh))
+        try:
+            self._append(rows, sequences[first:][fresh])
+        except Conflict as why:
+            self.conflict = str(why)
+
     def take(self, row: dict[str, Any]) -> None:
         tag = row.pop("tag")
         if tag == TAGS["replica"]:
@@ -132,20 +184,42 @@ class _Replica:
     def _entry(self, row: dict[str, Any]) -> None:
         if row["sequence"] <= self.base:
             return
-        if row["sequence"] <= self.confirmed:
-            held = self.last
-            if held is None or held["sequence"] != row["sequence"]:
-                raise Conflict(f"log-gap: expected {self.confirmed + 1}, received {row['sequence']}")
-            for c, name in IDENTITY:
-                if held[c] != row[c]:
-                    raise Conflict(f"log-divergence: {name} differs")
-            if held["operation"] != row["operation"]:
-                raise Conflict("log-divergence: canonical operation payload differs")
-        else:
-            after = self.new[-1]["sequence"] if self.new else self.confirmed
-            if row["sequence"] != after + 1:
-                raise Conflict(f"log-gap: expected {after + 1}, received {row['sequence']}")
-            self.new.append(row)
+        held = self.last
+        if held is None or held["sequence"] != row["sequence"]:
+            raise Conflict(f"log-gap: expected {self.confirmed + 1}, received {row['sequence']}")
+        for c, name in IDENTITY:
+            if held[c] != row[c]:
+                raise Conflict(f"log-divergence: {name} differs")
+        if held["operation"] != row["operation"]:
+            raise Conflict("log-divergence: canonical operation payload differs")
+        self._resolve(row)
+
+    def _append(self, rows: pa.RecordBatch, sequences: np.ndarray) -> None:
+        """Entries beyond what is confirmed, up to the first that doesn't follow the one before it."""
+        after = self.confirmed + self.added
+        follows = sequences == after + 1 + np.arange(len(sequences))
+        dense = len(sequences) if follows.all() else int(np.argmin(follows))
+        if self.outbox:
+            for at, name in enumerate(rows["operation_id"].slice(0, dense).to_pylist()):
+                if name in self.outbox:
+                    (row,) = rows.slice(at, 1).to_pylist()
+                    self._resolve(row)
+        self.new.append(rows.slice(0, dense))
+        self.added += dense
+        if dense < len(sequences):
+            raise Conflict(f"log-gap: expected {after + dense + 1}, received {sequences[dense]}")
+
+    def _added(self, sequence: int) -> dict[str, Any] | None:
+        """The entry of a sequence among those to append."""
+        at = sequence - self.confirmed - 1
+        for rows in self.new if at >= 0 else ():
+            if at < rows.num_rows:
+                return rows.slice(at, 1).to_pylist()[0]
+            at -= rows.num_rows
+        return None
+
+    def _resolve(self, row: dict[str, Any]) -> None:
+        """What an entry says of an operation of the outbox."""
         local = self.outbox.get(row["operation_id"])
         if local is None:
             return
@@ -172,14 +246,13 @@ class _Replica:
 
     def _reconcile(self) -> None:
         """Receipts that came before their entries."""
-        through = self.new[-1]["sequence"] if self.new else self.confirmed
-        fresh = {row["sequence"]: row for row in self.new}
+        through = self.confirmed + self.added
         for name, local in list(self.outbox.items()):
             if local["status"] != "accepted" or local["sequence"] > through:
                 continue
             if local["sequence"] <= self.base:
                 raise Conflict(f"compacted-entry: {local['sequence']}")
-            row = fresh.get(local["sequence"]) or local.get("committed")
+            row = self._added(local["sequence"]) or local.get("committed")
             if row is None:
                 raise Conflict(f"log-gap: expected {local['sequence']}, received {through + 1}")
             self._same(local, row)
@@ -187,7 +260,8 @@ class _Replica:
                 raise Conflict("decision-conflict")
             del self.outbox[name]
 
-    def end(self) -> list[tuple]:
+    def end(self, new: list[pa.RecordBatch]) -> list[tuple]:
+        """The rows of the result but for the entries to append, which go to ``new``."""
         if self.at is None:
             return []
         if self.conflict is None:
@@ -201,8 +275,8 @@ class _Replica:
 
         if self.conflict is not None:
             return [row("conflict", {}, self.conflict), *(row("outbox", r) for r in self.before)]
-        through = self.new[-1]["sequence"] if self.new else self.confirmed
+        through = self.confirmed + self.added
+        new += self.new
         out = [row("replica", {}, sequence=through, status="caught-up" if through >= self.head else "behind")]
         out += [row("outbox", r) for r in self.outbox.values()]
-        out += [row("entry", r, status=None) for r in self.new]
         return out + [row("resolution", r, ord=n) for n, r in enumerate(self.learned)]

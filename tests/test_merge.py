@@ -3,6 +3,8 @@
 import copy
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from loomlog.operators import merge as G
@@ -102,6 +104,50 @@ def random_replica(rng, client):
     return base, confirmed, outbox, [e for e in log if base < e["seq"] <= confirmed], (start, n), decisions, entries
 
 
+def test_new_entries_stay_in_columns():
+    """Of a page, what the replica has and what its outbox knows is looked at row by row, in batches of any size."""
+    class Counted(G._Replica):
+        looked = 0
+
+        def take(self, row):
+            Counted.looked += 1
+            super().take(row)
+
+    fields = [f.split() for f in f"stream_id string, client_id string, tag long, {G.FIELDS}".split(", ")]
+    schema = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in fields])
+    row = lambda tag, ord_, **more: {"stream_id": "s", "client_id": "a", "tag": G.TAGS[tag], "ord": ord_} | more
+    entry = lambda tag, n: row(tag, n, sequence=n, operation_id=f"e{n}", origin_client="a", client_sequence=n, intent_hash="h", operation="{}")
+    rows = [row("replica", 0, sequence=2), row("page", 1, sequence=300)]
+    rows.append(row("outbox", 40, operation_id="e40", client_sequence=40, intent_hash="h", status="pending"))
+    rows.append(row("outbox", 50, operation_id="e50", client_sequence=50, intent_hash="h", status="accepted", sequence=50, operation="{}"))
+    rows += [entry("retained", 1), entry("retained", 2), entry("entry", 2), *(entry("entry", n) for n in range(3, 258))]
+    for size in (1, 2, 7, 100, 1000):
+        Counted.looked, replica, new = 0, Counted(("s", "a")), []
+        for at in range(0, len(rows), size):
+            batch = pa.RecordBatch.from_pylist(rows[at : at + size], schema=schema)
+            replica.take_all(batch, batch["tag"].to_numpy(), pc.fill_null(batch["sequence"], -1).to_numpy())
+        out = [dict(zip([f.split()[0] for f in G.MERGED.split(", ")], r)) for r in replica.end(new)]
+        assert Counted.looked == 7, size
+        assert [n for b in new for n in b["sequence"].to_pylist()] == list(range(3, 258))
+        assert [(r["kind"], r["operation_id"], r["status"], r["sequence"]) for r in out] == [("replica", None, "behind", 257), ("resolution", "e40", "accepted", 40)]
+        broken = G._Replica(("s", "a"))
+        for at in range(0, len(rows), size):
+            batch = pa.RecordBatch.from_pylist([r for r in rows if r.get("sequence") != 100][at : at + size], schema=schema)
+            if batch.num_rows:
+                broken.take_all(batch, batch["tag"].to_numpy(), pc.fill_null(batch["sequence"], -1).to_numpy())
+        assert broken.end(new := [])[0][3] == "log-gap: expected 100, received 101" and not new
+
+
+@pytest.mark.parametrize("size", ["3", "10000"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_in_batches(spark, seed, size):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        test_against_a_plain_replica(spark, seed + 10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_a_plain_replica(spark, seed):
     rng, want, tables = random.Random(seed), {}, [[] for _ in range(6)]
